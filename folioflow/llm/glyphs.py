@@ -7,8 +7,8 @@ from functools import lru_cache
 
 #: What a recognizer reads for a letter (letter, misreading), Latin and Cyrillic.
 CONFUSED = [
-    ("e", "c"), ("i", "!"), ("n", "ri"), ("o", "0"), ("t", "f"), ("s", "5"), ("l", "1"), ("u", "ii"), ("g", "9"), ("h", "b"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("b", "6"), ("z", "2"), ("q", "9"), ("i", "1"), ("l", "i"), ("l", "|"), ("i", "|"), ("l", "!"), ("b", "h"),
-    ("е", "с"), ("о", "0"), ("н", "п"), ("т", "г"), ("и", "н"), ("л", "д"), ("ч", "4"), ("з", "3"), ("ы", "ьт"), ("б", "6"), ("ё", "ö"), ("ш", "щ"), ("и", "й"), ("ю", "10"), ("м", "rn"), ("і", "!"), ("і", "1"), ("ї", "і"),
+    ("e", "c"), ("i", "!"), ("n", "ri"), ("o", "0"), ("t", "f"), ("s", "5"), ("l", "1"), ("u", "ii"), ("g", "9"), ("h", "b"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("b", "6"), ("z", "2"), ("q", "9"), ("i", "1"), ("l", "i"), ("l", "|"), ("i", "|"), ("l", "!"), ("b", "h"), ("n", "r!"), ("u", "!i"), ("u", "i!"),
+    ("е", "с"), ("о", "0"), ("н", "п"), ("т", "г"), ("и", "н"), ("л", "д"), ("ч", "4"), ("з", "3"), ("ы", "ьт"), ("б", "6"), ("ё", "ö"), ("ш", "щ"), ("и", "й"), ("м", "rn"), ("і", "!"), ("і", "1"), ("ї", "і"),
 ]
 LOST = "�"  # stands for any one letter
 
@@ -30,16 +30,16 @@ def _classes() -> dict[str, str]:
 
 
 SIGN = _classes()
-PAIRS = [(b, a) for a, b in CONFUSED if len(b) == 2]
-_FOLD = re.compile("|".join(re.escape(b) for b, _ in PAIRS))
-_TO = dict(PAIRS)
 _TABLE = str.maketrans(SIGN)
+#: Two-sign misreadings, in class signs, and the class of the letter they stand for.
+_TO = {b.translate(_TABLE): a.translate(_TABLE) for a, b in CONFUSED if len(b) == 2}
+_FOLD = re.compile("|".join(re.escape(b) for b in sorted(_TO)))
 
 
 @lru_cache(maxsize=200_000)
 def skeleton(word: str) -> str:
-    """Class signs of a lower-case word. Equal for a word and every misreading of it by the table."""
-    return _FOLD.sub(lambda m: _TO[m.group()], word).translate(_TABLE)
+    """Class signs of a lower-case word. Equal for a word and its misreadings by the table, but for rare overlaps."""
+    return _FOLD.sub(lambda m: _TO[m.group()], word.translate(_TABLE))
 
 
 _BY_FIRST: dict[str, list[tuple[str, str]]] = {}
