@@ -28,44 +28,70 @@ def _chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def statistics(text: Column, common: list[str] | None = None) -> dict[str, Column]:
-    """Named statistics of a text column."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    out = {
+def _sub(text: Column, part: str) -> Column:
+    """Occurrences of a fixed string."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def base_statistics(text: Column) -> dict[str, Column]:
+    """Statistics that every text needs."""
+    return {
         "n_chars": F.length(text),
-        "n_words": F.size(words),
-        "n_digits": _chars(text, "0123456789"),
-        "n_spaces": _chars(text, " \n\t "),
+        "n_digits": _n(text, r"\d"),
+        "n_spaces": _sub(text, " ") + _sub(text, "\n"),
         "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", "")),
-        "n_pipes": _chars(text, "|"),
-        "n_moji": _chars(text, "ÐÑÃÂ�□■"),
-        "n_ends": _n(text, r"[\p{L}\p{M}]{2,}[)»”\"’]?[.!?。！？।؟…]+(?=[\s»”\"’)]|$|[\p{Lo}\p{Lu}])"),
-        "n_bullets": _n(text, r"(?:^|\s)(?:[•*–—‣◦▪·-](?=\s[^\s\d])|\(?(?:\p{L}|\d{1,2})[.)](?=\s\p{L}{3,})|\[\d{1,2}\])"),
-        "n_leaders": _n(text, r"(?:\.\s?){4,}\s*\d"),
-        "n_refs": _n(text, r"\s//\s"),
-        "n_cells": _n(text, r"</?t[drh]>"),
-        "n_gaps": _n(text, r"\S {3,}(?=\S)"),
-        "n_numbers": _n(text, r"(?:^|[\s|>])[+-]?\d+(?:[.,]\d+)*%?(?=[\s|<]|$)"),
-        "n_long": _n(text, r"(?=[^\s]*\d)(?=[^\s]*\p{Lu})[\p{L}\d+/=]{24,}"),
-        "n_delimited": _n(text, r"[;,\t]\d+(?:\.\d+)?%?(?=[;,\t\s]|$)"),
-        "n_repeats": _n(text, r"([^\s.])\1{9,}"),
-        "n_mixed": _n(text, r"\p{Ll}\d\p{L}|\p{Lu}\d\p{L}|\p{L}\d\p{Lu}"),
-        "n_unspaced": _n(text, r"[\p{Lo}\p{Mn}\p{Mc}]{16,}"),
-        "n_short": _n(text, r"(?:^|\s)[^\s\p{Lo}]{1,2}(?=\s|$)"),
-        "n_lower": _n(text, r"(?:^|\s)\p{Ll}{4,}(?=[\s,.;])"),
+        "n_pipes": _sub(text, "|"),
+        "n_refs": _sub(text, " // "),
+        "n_cells": _sub(text, "<t") + _sub(text, "</t"),
+        "n_ends": _n(text, r"[\p{L}\p{M}]{2}[)»”\"’]?[.!?。！？।؟…]+(?=[\s»”\"’)]|$|[\p{Lo}\p{Lu}])"),
+    }
+
+
+def gated_statistics(text: Column) -> dict[str, Column]:
+    """Statistics that need only be measured where the base ones leave them possible; zero elsewhere."""
+    c = F.col
+    words = c("n_spaces") + 1
+    symbols = c("n_chars") - c("n_letters") - c("n_digits") - c("n_spaces")
+    figures = c("n_digits") > 0.05 * c("n_chars")
+    few_ends = c("n_ends") * 12 < words
+    none = F.lit(0)
+
+    def gate(cond: Column, pattern: str) -> Column:
+        return F.when(cond, _n(text, pattern)).otherwise(none)
+
+    return {
+        "n_words": words,
+        "n_moji": F.when(c("n_letters") + c("n_digits") + c("n_spaces") < 0.95 * c("n_chars"), _chars(text, "ÐÑÃÂ�□■")).otherwise(F.when(few_ends, _chars(text, "ÐÑÃÂ")).otherwise(none)),
+        "n_bullets": gate(few_ends, r"(?:^|\s)(?:[•*–—‣◦▪·-](?=\s[^\s\d])|\(?(?:\p{L}|\d{1,2})[.)](?=\s\p{L}{3,})|\[\d{1,2}\])"),
+        "n_leaders": gate(F.contains(text, F.lit("....")) | F.contains(text, F.lit(". . .")), r"(?:\.\s?){4,}\s*\d"),
+        "n_gaps": gate(F.contains(text, F.lit("   ")), r"\S {3,}(?=\S)"),
+        "n_numbers": gate(figures, r"(?:^|[\s|>])[+-]?\d+(?:[.,]\d+)*%?(?=[\s|<]|$)"),
+        "n_delimited": gate(figures & (F.contains(text, F.lit(";")) | F.contains(text, F.lit(",")) | F.contains(text, F.lit("\t"))), r"[;,\t]\d+(?:\.\d+)?%?(?=[;,\t\s]|$)"),
+        "n_long": gate(figures, r"(?=[^\s]*\d)(?=[^\s]*\p{Lu})[\p{L}\d+/=]{24,}"),
+        "n_mixed": gate(figures, r"\p{Ll}\d\p{L}|\p{Lu}\d\p{L}|\p{L}\d\p{Lu}"),
+        "n_repeats": gate(c("n_chars") > 12 * words, r"([^\s.])\1{9,}"),
+        "n_unspaced": gate(c("n_chars") > 14 * words, r"[\p{Lo}\p{Mn}\p{Mc}]{16,}"),
+        "n_short": gate(symbols > 0.12 * c("n_chars"), r"(?:^|\s)[^\s\p{Lo}]{1,2}(?=\s|$)"),
+        "n_lower": gate(c("n_letters") <= 0.7 * c("n_chars"), r"(?:^|\s)\p{Ll}{4,}(?=[\s,.;])"),
+    }
+
+
+def document_statistics(text: Column, common: list[str]) -> dict[str, Column]:
+    """Further statistics of whole documents."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return {
+        "words": F.size(words),
         "n_lines": F.size(F.split(text, "\n")),
         "n_line_ends": _n(text, r"(?m)[.!?。！？।؟…][»”\"’)]?\s*$"),
+        "n_common": F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}’']+"), lambda w: w.isin(*common))) if common else F.lit(0),
     }
-    if common is not None:
-        out["n_common"] = F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}’']+"), lambda w: w.isin(*common))) if common else F.lit(0)
-    return out
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-SENTENCES = "n_ends >= 1 and n_chars / greatest(n_ends, 1) < 400"
+SENTENCES = "n_ends >= 1 and n_moji <= 0.05 * n_chars and n_chars / greatest(n_ends, 1) < 400"
 WORDS = "greatest(n_words, 1)"
 SYMBOLS = "(n_chars - n_letters - n_digits - n_spaces)"
 
@@ -73,8 +99,8 @@ SYMBOLS = "(n_chars - n_letters - n_digits - n_spaces)"
 VOTES = [
     ("sentences", "prose", f"{SENTENCES} and n_letters > 0.65 * n_chars"),
     ("lower_run", "prose", f"n_lower >= 4 and n_lower > 0.25 * {WORDS} and n_ends >= 1"),
-    ("few_symbols", "prose", f"{SYMBOLS} < 0.06 * n_chars and n_numbers < 0.2 * {WORDS} and n_ends >= 1"),
-    ("several_ends", "prose", "n_ends >= 2 and n_cells = 0 and n_leaders = 0 and n_refs < 2 and n_bullets < 3"),
+    ("few_symbols", "prose", f"{SYMBOLS} < 0.06 * n_chars and n_numbers < 0.2 * {WORDS} and n_ends >= 1 and n_moji <= 0.05 * n_chars"),
+    ("several_ends", "prose", "n_ends >= 2 and n_cells = 0 and n_leaders = 0 and n_refs < 2 and n_bullets < 3 and n_moji <= 0.05 * n_chars"),
     ("unspaced", "prose", "n_unspaced >= 2 and n_letters > 0.7 * n_chars and n_numbers < 4"),
     ("bullets", "list", f"n_bullets >= 3 and n_bullets > 0.1 * {WORDS}"),
     ("leaders", "list", "n_leaders >= 2"),
@@ -144,7 +170,10 @@ def typed(df: DataFrame, common: list[str] | None = None, keep: list[str] | None
     ``2 ** N_VOTES`` entries (only those patterns that occur).
     """
     rest = [c for c in df.columns if c != "text"]
-    st = df.select(*rest, "text", *[e.alias(k) for k, e in statistics(F.coalesce(F.col("text"), F.lit("")), common).items()]).withColumn("votes", vote_mask())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    st = df.select(*rest, text.alias("text"), *[e.alias(k) for k, e in base_statistics(text).items()])
+    more = gated_statistics(F.col("text")) | (document_statistics(F.col("text"), common) if common is not None else {})
+    st = st.select("*", *[e.alias(k) for k, e in more.items()]).withColumn("votes", vote_mask())
     st = written(st.drop("text") if keep is None else st.select(*keep, "n_chars", "votes"), "textstats")
     counts = {r.votes: r["count"] for r in st.where("n_chars > 0").groupBy("votes").count().collect()}
     if not counts:
@@ -178,10 +207,10 @@ def p3_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = typed(table(spark, sf_dir, "documents").select("doc_id", "text"), _common(spark, sf_dir))
     c = F.col
     return t.select(
-        "doc_id", "n_words",
-        F.round(ratio(c("n_chars") - c("n_spaces"), c("n_words")), 6).alias("mean_word_len"),
+        "doc_id", c("words").alias("n_words"),
+        F.round(ratio(c("n_chars") - c("n_spaces"), c("words")), 6).alias("mean_word_len"),
         F.round(ratio(c("n_chars") - c("n_letters") - c("n_digits") - c("n_spaces"), c("n_chars")), 6).alias("symbol_ratio"),
         F.round(ratio(c("n_line_ends"), c("n_lines")), 6).alias("line_end_share"),
-        F.round(ratio(c("n_common"), c("n_words")), 6).alias("common_share"),
+        F.round(ratio(c("n_common"), c("words")), 6).alias("common_share"),
         "kind", "kind_prob",
     )
