@@ -77,18 +77,21 @@ ELAPSED = Universe(hi=1e6, log=True)
 
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, value): percent values are brought to shares."""
-    b = table(spark, sf_dir, "blocks").select("block_id", "label", "confidence").distinct()
+    return scaled(table(spark, sf_dir, "blocks").select("block_id", "label", "confidence").distinct()).select("label", "value")
+
+
+def scaled(b: DataFrame) -> DataFrame:
     v = F.col("confidence")
-    return b.select(F.lower(F.trim("label")).alias("label"), F.when((v > 1) & (v <= 100), v / 100).when(v <= 1, v).alias("value"))
+    return b.withColumns({"label": F.lower(F.trim("label")), "value": F.when((v > 1) & (v <= 100), v / 100).when(v <= 1, v)})
 
 
-def elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def elapsed(spark: SparkSession, sf_dir: str, more: list[str] | None = None) -> DataFrame:
     """(extractor, day, value): the latest record of each extraction; the day is that of the UTC time."""
     e = table(spark, sf_dir, "extractions").groupBy("extraction_id").agg(F.max_by(F.struct("processed_at", "elapsed_seconds", "extractor"), F.struct("received_at", "processed_at", "elapsed_seconds")).alias("r"))
     at = F.regexp_replace(F.col("r.processed_at"), r"(\.\d{6})\d+", "$1")
     zoned = F.when(at.rlike(r"(Z|[+-]\d\d:?\d\d)$"), at).otherwise(F.concat(at, F.lit("Z")))
     day = F.floor(F.unix_seconds(zoned.try_cast("timestamp")) / 86400)
-    return e.select(F.col("r.extractor").alias("extractor"), day.alias("day"), F.col("r.elapsed_seconds").alias("value"))
+    return e.select(*(more or []), F.col("r.extractor").alias("extractor"), day.alias("day"), F.col("r.elapsed_seconds").alias("value"))
 
 
 def with_unusable(q: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,6 +102,18 @@ def with_unusable(q: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame
     return u.join(q, cond, "left").select(*[F.col(f"u_{k}").alias(k) for k in keys], F.coalesce("n", F.lit(0)).alias("n"), "unusable", F.coalesce("rank_error", F.lit(0)).alias("rank_error"), *[c for c in q.columns if c[0] == "p"])
 
 
+def p6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form: digests of confidence per label and day and of elapsed seconds per extractor and day, ready to merge."""
+    days = elapsed(spark, sf_dir, ["extraction_id"]).select("extraction_id", "day")
+    b = table(spark, sf_dir, "blocks").select("block_id", "extraction_id", "label", "confidence").distinct()
+    v = scaled(b).join(days, "extraction_id", "left")
+    out = []
+    for measure, df, key, u in (("confidence", v, "label", CONFIDENCE), ("elapsed_seconds", elapsed(spark, sf_dir), "extractor", ELAPSED)):
+        d = digest(df, [key, "day"], "value", u, EPS)
+        out.append(d.select(F.lit(measure).alias("measure"), F.col(key).alias("key"), "day", "level", "node", "own", "n"))
+    return out[0].unionByName(out[1])
+
+
 def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = confidences(spark, sf_dir)
     return with_unusable(quantiles(digest(v, ["label"], "value", CONFIDENCE, EPS), ["label"], CONFIDENCE, PROBS, EPS), v, ["label"])
