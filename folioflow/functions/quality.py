@@ -54,7 +54,7 @@ def accumulate(lines: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """Trimmed non-empty lines of a text."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def not_blank(text: Column) -> Column:

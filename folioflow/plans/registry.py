@@ -60,9 +60,7 @@ def lines_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def blocks_of(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "blocks").where("block_id is not null").distinct().drop("label").join(
-        table(s, d, "blocks").groupBy("block_id").agg(F.max("label").alias("label")), "block_id"
-    ).dropDuplicates(["block_id"])
+    return table(s, d, "blocks").where("block_id is not null").dropDuplicates(["block_id"])
 
 
 LINES = "(select distinct on (line_id) * from text_lines order by line_id)"
@@ -191,14 +189,14 @@ _OV = f"""select b.extraction_id, b.page_no, b.block_idx, r.det_idx, b.confidenc
 @query(f"select extraction_id, page_no, block_idx, det_idx, round_even(overlap, 6) as overlap from ({_OV}) where overlap >= 0.5")
 def overlap_pairs(s, d):
     """Blocks with every detection they overlap by half."""
-    b = table(s, d, "blocks").dropDuplicates(["block_id"])
+    b = blocks_of(s, d)
     return layout.overlaps(table(s, d, "detections"), b).select(*PAGE_KEY, "block_idx", "det_idx", r6(F.col("overlap")).alias("overlap"))
 
 
 @query(f"select extraction_id, page_no, block_idx, det_idx, round_even(overlap, 6) as overlap from ({_OV}) where overlap >= 0.5 qualify row_number() over (partition by extraction_id, page_no, block_idx order by overlap desc, det_idx) = 1")
 def assigned_blocks(s, d):
     """Each block with the one detection it overlaps most."""
-    b = table(s, d, "blocks").dropDuplicates(["block_id"])
+    b = blocks_of(s, d)
     return layout.assign(table(s, d, "detections"), b).select(*PAGE_KEY, "block_idx", "det_idx", r6(F.col("overlap")).alias("overlap"))
 
 
@@ -310,7 +308,7 @@ def jenks_lengths(s, d):
 @query(f"""select extraction_id, page_no, det_idx, round_even(avg(confidence), 6) as mean_confidence, count(*) as blocks from (select * from ({_OV}) where overlap >= 0.5 and confidence between 0 and 1 qualify row_number() over (partition by extraction_id, page_no, block_idx order by overlap desc, det_idx) = 1) group by all having avg(confidence) >= 0.75""")
 def confidence_gate(s, d):
     """Detections whose blocks are sure enough on average."""
-    b = table(s, d, "blocks").dropDuplicates(["block_id"]).where("confidence between 0 and 1")
+    b = blocks_of(s, d).where("confidence between 0 and 1")
     pairs = layout.assign(table(s, d, "detections").drop("confidence"), b)
     return cascade.gate(pairs, CascadeOptions()).select(*PAGE_KEY, "det_idx", r6(F.col("mean_confidence")).alias("mean_confidence"), "blocks")
 
@@ -387,7 +385,7 @@ g as (select *, sum(case when m is null or box.y >= m then 1 else 0 end) over (p
 select extraction_id, page_no, block_idx, band::int as band, (row_number() over (partition by extraction_id, page_no order by band, box.x, box.y, block_idx) - 1)::int as reading_no from g""")
 def reading_order(s, d):
     """Bands of blocks from top to bottom, inside a band from left to right."""
-    return order.reading_order(table(s, d, "blocks").dropDuplicates(["block_id"])).select(*PAGE_KEY, "block_idx", "band", "reading_no")
+    return order.reading_order(blocks_of(s, d)).select(*PAGE_KEY, "block_idx", "band", "reading_no")
 
 
 @query(f"""with w as (select extraction_id, page_no, list({{'o': (box.y + box.h), 'i': line_id, 'l': box.x, 'h': box.h}} order by box.y + box.h, line_id) as ws from {LINES} where text is not null group by all),
@@ -413,7 +411,7 @@ def paragraphs(s, d):
 
 
 def _mergeable(s, d):
-    b = table(s, d, "blocks").dropDuplicates(["block_id"]).where("text is not null and confidence between 0 and 1")
+    b = blocks_of(s, d).where("text is not null and confidence between 0 and 1")
     h = lines_of(s, d).where("box.h > 0").groupBy("block_id").agg(F.avg("box.h").alias("line_height"))
     return order.reading_order(b.join(h, "block_id", "left")).withColumn("label", F.coalesce("label", F.lit("")))
 
@@ -421,7 +419,6 @@ def _mergeable(s, d):
 @query(f"""with h as (select block_id, avg(box.h) as lh from {LINES} where box.h > 0 group by 1), b as (select b.*, lh, max(box.y + box.h) over (partition by extraction_id, page_no order by box.y, block_idx rows between unbounded preceding and 1 preceding) as m from {BLOCKS} b left join h on b.block_id = h.block_id where text is not null and confidence between 0 and 1),
 g as (select *, sum(case when m is null or box.y >= m then 1 else 0 end) over (partition by extraction_id, page_no order by box.y, block_idx rows unbounded preceding) as band from b),
 p as (select extraction_id, page_no, list({{'label': coalesce(label, ''), 'c': confidence, 'x': box.x, 'y': box.y, 'w': box.w, 'h': box.h, 't': text, 'n': 1::int, 'lh': lh}} order by band, box.x, box.y, block_idx) as bs from g group by all),
-z as (select *, lambda_dummy from (select *, 1 as lambda_dummy from p)),
 f as (select extraction_id, page_no, list_reduce(bs, lambda a, x: case when len(a) > 0 and a[-1].label = 'Text' and x.label = 'Text' and a[-1].t <> '' and x.t <> '' and coalesce(greatest(least(a[-1].x + a[-1].w, x.x + x.w) - greatest(a[-1].x, x.x), 0) / nullif(least(a[-1].w, x.w), 0) >= 0.5, false)
  and coalesce((coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0), 0) > 0
  and x.y - (a[-1].y + a[-1].h) >= -1.0 * ((coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0))
@@ -429,7 +426,7 @@ f as (select extraction_id, page_no, list_reduce(bs, lambda a, x: case when len(
  and (trim(a[-1].t) like '%-' or (not regexp_matches(trim(a[-1].t), '[.!?:;]$') and regexp_matches(x.t, '^\\p{{Ll}}')))
  then list_append(a[1:-2], {{'label': a[-1].label, 'c': (a[-1].c + x.c) / 2, 'x': least(a[-1].x, x.x), 'y': least(a[-1].y, x.y), 'w': greatest(a[-1].x + a[-1].w, x.x + x.w) - least(a[-1].x, x.x), 'h': greatest(a[-1].y + a[-1].h, x.y + x.h) - least(a[-1].y, x.y),
   't': case when trim(a[-1].t) like '%-' then left(trim(a[-1].t), length(trim(a[-1].t)) - 1) || x.t else a[-1].t || ' ' || x.t end, 'n': a[-1].n + 1, 'lh': (coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0)}})
- else list_append(a, x) end, bs[1:0]) as r from z), u as (select extraction_id, page_no, unnest(r) as m, generate_subscripts(r, 1) - 1 as merged_no from f)
+ else list_append(a, x) end, bs[1:0]) as r from p), u as (select extraction_id, page_no, unnest(r) as m, generate_subscripts(r, 1) - 1 as merged_no from f)
 select extraction_id, page_no, merged_no::int as merged_no, m.n as blocks, round_even(m.c, 6) as confidence, round_even(m.h, 6) as height, length(m.t)::int as chars, m.t as text from u""")
 def merged_paragraphs(s, d):
     """Blocks that go on the paragraph before them joined to it."""
@@ -575,19 +572,20 @@ def pdf_scales(s, d):
     return table(s, d, "page_info").select(*PAGE_KEY, F.bround(files.pdf_scale(F.col("pdf_w_pt")), 9).alias("scale"))
 
 
-@query("""with b as """ + BLOCKS + """, n as (select extraction_id, count(*) as blocks, round_even(avg(case when confidence between 0 and 1 then confidence end), 4) as confidence from b group by 1),
+@query("""with b as """ + BLOCKS + """, n as (select extraction_id, count(*) as blocks, round_even(sum(case when confidence between 0 and 1 then round(confidence * 10000)::bigint end)::double / count(case when confidence between 0 and 1 then 1 end) / 10000, 6) as confidence from b group by 1),
 e as (select extraction_id, max(case when not isnan(elapsed_seconds) then elapsed_seconds end) as s, count(*) as records from extractions group by 1) select e.extraction_id, coalesce(blocks, 0) as block_count, round_even(s, 2) as elapsed_seconds, confidence, records from e left join n on e.extraction_id = n.extraction_id""")
 def extraction_headers(s, d):
     """Block count, rounded seconds and confidence of every extraction."""
-    b = table(s, d, "blocks").dropDuplicates(["block_id"])
-    n = b.groupBy("extraction_id").agg(F.count(F.lit(1)).alias("blocks"), F.bround(F.avg(F.when(F.col("confidence").between(0, 1), F.col("confidence"))), 4).alias("confidence"))
+    b = blocks_of(s, d)
+    ok = F.col("confidence").between(0, 1)
+    n = b.groupBy("extraction_id").agg(F.count(F.lit(1)).alias("blocks"), F.bround(F.sum(F.when(ok, F.round(F.col("confidence") * 10000).cast("bigint"))).cast("double") / F.count(F.when(ok, 1)) / 10000, 6).alias("confidence"))
     e = table(s, d, "extractions").groupBy("extraction_id").agg(F.max(F.when(~F.isnan("elapsed_seconds"), F.col("elapsed_seconds"))).alias("s"), F.count(F.lit(1)).alias("records"))
     return e.join(n, "extraction_id", "left").select("extraction_id", F.coalesce("blocks", F.lit(0)).alias("block_count"), sinks.rounded(F.col("s"), 2).alias("elapsed_seconds"), "confidence", "records")
 
 
 def _with_lines(s, d):
     l = lines_of(s, d).where("text is not null").groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"))
-    b = table(s, d, "blocks").dropDuplicates(["block_id"]).drop("text").join(l, "block_id")
+    b = blocks_of(s, d).drop("text").join(l, "block_id")
     e = table(s, d, "extractions").groupBy("extraction_id").agg(F.max_by("input_file", "received_at").alias("input_file"), F.max_by("processed_at", "received_at").alias("processed_at"), F.max_by("elapsed_seconds", "received_at").alias("seconds"))
     return b.join(e, "extraction_id")
 
@@ -621,7 +619,7 @@ def sql_functions(s, d):
 
 
 def _stage_blocks(s, d, extractor: int) -> DataFrame:
-    b = table(s, d, "blocks").dropDuplicates(["block_id"]).where("confidence between 0 and 1")
+    b = blocks_of(s, d).where("confidence between 0 and 1")
     return b.where(F.col("block_idx") % 2 == extractor)
 
 
