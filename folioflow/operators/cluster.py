@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,32 +57,54 @@ def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, ga
 
 
 def groups(nodes: DataFrame, edges: DataFrame, keys: list[str], idx: str) -> DataFrame:
-    """Connected groups: each node with the least index of its group. One pass of union-find per page."""
+    """Connected groups: each node with the least index of its group.
+
+    Nodes and edges of a group meet in one partition, ordered by key; a partition is read as Arrow batches and whole
+    groups of a batch are closed together by spreading least labels, so there is no call per page.
+    """
     both = nodes.select(*keys, F.col(idx).cast("bigint").alias("a"), F.col(idx).cast("bigint").alias("b")).unionByName(edges.select(*keys, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")))
     kinds = dict(both.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{idx}` bigint, cluster bigint"
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        pairs = list(zip(pdf["a"].tolist(), pdf["b"].tolist()))
-        for a, b in pairs:
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-        for a, b in pairs:
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-        ids = sorted(parent)
-        out = pd.DataFrame({idx: ids, "cluster": [find(i) for i in ids]})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return both.groupBy(*keys).applyInPandas(close, schema)
+    def close(part: pa.Table) -> pa.RecordBatch:
+        """Labels of all nodes of a table that holds whole groups."""
+        code = np.zeros(part.num_rows, np.int64)
+        for k in keys:
+            c = part[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = code * (c.max() + 2) + c + 1
+        a, b = part["a"].to_numpy(), part["b"].to_numpy()
+        own = np.flatnonzero(a == b)
+        ids = np.stack([code[own], a[own]], 1)
+        uniq, first = np.unique(ids, axis=0, return_index=True)  # ordered by group, then index: the least row is the least index
+        pos = {(g, n): i for i, (g, n) in enumerate(map(tuple, uniq.tolist()))}
+        link = np.flatnonzero(a != b)
+        x = np.array([pos[k] for k in zip(code[link].tolist(), a[link].tolist())], np.int64)
+        y = np.array([pos[k] for k in zip(code[link].tolist(), b[link].tolist())], np.int64)
+        label = np.arange(len(uniq))
+        while len(link):
+            before = label.copy()
+            low = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, low)
+            np.minimum.at(label, y, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        rows = pa.array(own[first])
+        return pa.RecordBatch.from_arrays([*[part[k].take(rows).combine_chunks() for k in keys], pa.array(uniq[:, 1]), pa.array(uniq[label, 1])], names=[*keys, idx, "cluster"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            last = [t[k][t.num_rows - 1].as_py() for k in keys] if t.num_rows else []
+            cut = t.num_rows
+            while cut and [t[k][cut - 1].as_py() for k in keys] == last:
+                cut -= 1
+            if cut:
+                yield close(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield close(held.combine_chunks())
+
+    return both.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)

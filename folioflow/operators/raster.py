@@ -9,7 +9,7 @@ from ..schema import PreprocessOptions
 
 def luma(img: np.ndarray) -> np.ndarray:
     """Weights 299, 587, 114."""
-    return img if img.ndim == 2 else ((img[..., 0] * 299 + img[..., 1].astype(np.int64) * 587 + img[..., 2].astype(np.int64) * 114) // 1000).astype(np.uint8)
+    return img if img.ndim == 2 else ((img[..., 0].astype(np.int64) * 299 + img[..., 1].astype(np.int64) * 587 + img[..., 2].astype(np.int64) * 114) // 1000).astype(np.uint8)
 
 
 def mean_grey(img: np.ndarray) -> np.ndarray:
