@@ -65,7 +65,8 @@ CLASS = _classes()
 
 def representative(token: str) -> str:
     """Class representatives of a token's visible characters: equal for tokens that look the same, and only for those."""
-    return unicodedata.normalize("NFC", IGNORABLE.sub("", token)).translate(CLASS)
+    # composed twice: a look-alike base may only compose with its mark once it is replaced
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", IGNORABLE.sub("", token)).translate(CLASS))
 
 
 def clean(token: str) -> bool:
@@ -110,7 +111,7 @@ class Canonicalizer:
             plain = representative(run)
             form.append(hit if hit is not None else _by_script(run))
             key.append(representative(hit) if hit is not None else plain)
-        return "".join(form), "".join(key)
+        return unicodedata.normalize("NFC", "".join(form)), unicodedata.normalize("NFC", "".join(key))
 
     def text(self, text: str, part: int) -> str:
         cache, out = self.cache, []

@@ -8,7 +8,7 @@ from functools import lru_cache
 #: What a recognizer reads for a letter (letter, misreading), Latin and Cyrillic.
 CONFUSED = [
     ("e", "c"), ("i", "!"), ("n", "ri"), ("o", "0"), ("t", "f"), ("s", "5"), ("l", "1"), ("u", "ii"), ("g", "9"), ("h", "b"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("b", "6"), ("z", "2"), ("q", "9"), ("i", "1"), ("l", "i"), ("l", "|"), ("i", "|"), ("l", "!"), ("b", "h"), ("n", "r!"), ("u", "!i"), ("u", "i!"),
-    ("е", "с"), ("о", "0"), ("н", "п"), ("т", "г"), ("и", "н"), ("л", "д"), ("ч", "4"), ("з", "3"), ("ы", "ьт"), ("б", "6"), ("ё", "ö"), ("ш", "щ"), ("и", "й"), ("м", "rn"), ("і", "!"), ("і", "1"), ("ї", "і"),
+    ("е", "с"), ("о", "0"), ("н", "п"), ("т", "г"), ("и", "н"), ("л", "д"), ("ч", "4"), ("з", "3"), ("ы", "ьт"), ("б", "6"), ("ё", "ö"), ("ш", "щ"), ("и", "й"), ("і", "!"), ("і", "1"), ("ї", "і"),
 ]
 LOST = "�"  # stands for any one letter
 

@@ -41,15 +41,15 @@ class Universe:
 
 
 def digest(df: DataFrame, keys: list[str], value: str, u: Universe, eps: float = 0.01) -> DataFrame:
-    """Rows (keys, level, node, own, n): the digest of ``value`` for every group of ``keys``. ``node`` counts from 0 in its level."""
-    leaves = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0)).groupBy(*keys, u.cell(F.col(value)).alias("cell")).agg(F.count(F.lit(1)).alias("k"))
+    """Rows (keys, level, node, own, n; keys may not have these names): the digest of ``value`` for every group of ``keys``. ``node`` counts from 0 in its level."""
+    leaves = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0)).groupBy(*keys, u.cell(F.col(value)).alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
     level = F.explode(F.sequence(F.lit(0), F.lit(u.bits)))
-    nodes = leaves.select(*keys, "cell", "k", level.alias("level")).groupBy(*keys, "level", F.expr(f"shiftright(cell, {u.bits} - level)").alias("node")).agg(F.sum("k").alias("under"))
-    n = F.sum(F.when(F.col("level") == 0, F.col("under"))).over(Window.partitionBy(*keys))
-    heavy = nodes.withColumn("n", n).where(F.col("under") >= F.greatest(F.floor(F.col("n") * eps / (2 * u.bits)), F.lit(1)))
+    nodes = leaves.select(*keys, "_cell", "_c", level.alias("level")).groupBy(*keys, "level", F.expr(f"shiftright(_cell, {u.bits} - level)").alias("node")).agg(F.sum("_c").alias("_under"))
+    n = F.sum(F.when(F.col("level") == 0, F.col("_under"))).over(Window.partitionBy(*keys))
+    heavy = nodes.withColumn("n", n).where(F.col("_under") >= F.greatest(F.floor(F.col("n") * eps / (2 * u.bits)), F.lit(1)))
     # own count: what is under a node less what is under its kept children
-    parts = F.explode(F.array(F.struct("level", "node", F.col("under").alias("d")), F.struct((F.col("level") - 1).alias("level"), F.expr("shiftright(node, 1)").alias("node"), (-F.col("under")).alias("d"))))
-    own = heavy.select(*keys, "n", parts.alias("p")).where("p.level >= 0").groupBy(*keys, "n", "p.level", "p.node").agg(F.sum("p.d").alias("own"))
+    parts = F.explode(F.array(F.struct("level", "node", F.col("_under").alias("d")), F.struct((F.col("level") - 1).alias("level"), F.expr("shiftright(node, 1)").alias("node"), (-F.col("_under")).alias("d"))))
+    own = heavy.select(*keys, "n", parts.alias("_p")).where("_p.level >= 0").groupBy(*keys, "n", F.col("_p.level").alias("level"), F.col("_p.node").alias("node")).agg(F.sum("_p.d").alias("own"))
     return own.where("own > 0").select(*keys, "level", "node", "own", "n")
 
 
@@ -62,11 +62,11 @@ def merge(digests: DataFrame, keys: list[str]) -> DataFrame:
 def quantiles(digests: DataFrame, keys: list[str], u: Universe, probs: tuple[float, ...], eps: float) -> DataFrame:
     """One row per group: n, rank error bound, and a column per probability (upper end of the cell)."""
     right = F.expr(f"shiftleft(node + 1, {u.bits} - level) - 1")
-    order = Window.partitionBy(*keys).orderBy("right", F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    c = digests.withColumn("right", right).withColumn("upto", F.sum("own").over(order))
-    cells = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p), F.col("right"))).alias(f"c{i}") for i, p in enumerate(probs)]
+    order = Window.partitionBy(*keys).orderBy("_right", F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    c = digests.withColumn("_right", right).withColumn("_upto", F.sum("own").over(order))
+    cells = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("n") * p), F.col("_right"))).alias(f"_q{i}") for i, p in enumerate(probs)]
     g = c.groupBy(*keys).agg(F.max("n").alias("n"), *cells)
-    return g.select(*keys, "n", F.floor(F.col("n") * eps).cast("bigint").alias("rank_error"), *[F.round(u.upper(F.col(f"c{i}")), 9).alias(f"p{round(100 * p)}") for i, p in enumerate(probs)])
+    return g.select(*keys, "n", F.floor(F.col("n") * eps).cast("bigint").alias("rank_error"), *[F.round(u.upper(F.col(f"_q{i}")), 9).alias(f"p{round(100 * p)}") for i, p in enumerate(probs)])
 
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -140,12 +140,12 @@ def _sql(source: str, keys: list[str], u: Universe, merged: list[str] | None = N
     cells = ", ".join(f"min(case when upto >= ceil(n * {p}::double) then rgt end) as c{i}" for i, p in enumerate(PROBS))
     cols = ", ".join(f"round({up(f'c{i}')}, 9) as p{round(100 * p)}" for i, p in enumerate(PROBS))
     tail = f"""select {", ".join("v." + x for x in keys)}, coalesce(n, 0)::bigint as n, unusable, coalesce(floor(n * {EPS}::double), 0)::bigint as rank_error, {cols}
-from (select {k}, sum(case when value is null or isnan(value) or value < 0 then 1 else 0 end)::bigint as unusable from v group by {k}) v
+from (select {k}, sum(case when value is null or value::varchar = 'nan' or value < 0 then 1 else 0 end)::bigint as unusable from v group by {k}) v
 left join q on {" and ".join(f"v.{x} is not distinct from q.{x}" for x in keys)}"""
     if merged:
         tail = f"select {out}, n::bigint as n, floor(n * {EPS}::double)::bigint as rank_error, {cols} from q"
     return f"""with v as ({source}),
-leaves as (select {k}, least(floor({y} * {1 << bits}), {(1 << bits) - 1})::bigint as cell, count(*) as c from v where value is not null and not isnan(value) and value >= 0 group by all),
+leaves as (select {k}, least(floor({y} * {1 << bits}), {(1 << bits) - 1})::bigint as cell, count(*) as c from v where value is not null and value::varchar <> 'nan' and value >= 0 group by all),
 nodes as (select {k}, level, cell >> ({bits} - level) as node, sum(c)::bigint as under from leaves, (select unnest(range({bits + 1}))::int as level) group by all),
 heavy as (select *, sum(case when level = 0 then under end) over (partition by {k}) as n from nodes qualify under >= greatest(floor(n * {EPS}::double / {2 * bits}), 1)),
 own as (select {k}, level, node, sum(d)::bigint as own from (select {k}, level, node, under as d from heavy union all select {k}, level - 1, node >> 1, -under from heavy where level > 0) group by all having sum(d) > 0),

@@ -32,12 +32,12 @@ NEVER_FINAL = frozenset(
     sr sra dra dña srta secc núm pág págs art cap avda tel tél tf mme mlle bd chap sect tabl janv févr avr juil env réf
     рис табл разд гл стр см ср ок тел ул пер пр просп пл наб им проф доц акад инв корп кв вул буд бул просп див пор розд
     мал янв февр мар апр авг сент окт нояб дек січ лют бер квіт трав черв лип серп вер жовт лист груд
-    ene feb abr jul ago sept oct nov dic jan aug dec jr eds ed pp p с""".split()
+    ene feb abr jul ago sept oct nov dic jan aug dec jr eds ed pp p с okt dez mär sep""".split()
 )
 #: Abbreviations that may stand last in a sentence.
 MAY_END = frozenset("etc usw ff f д п др пр т е i e g m h a руб тыс коп грн млн uhr jh".split())
 #: Months after a German ordinal number.
-MONTHS = frozenset("januar jan februar feb märz april mai juni juli august aug september sept oktober okt november nov dezember dez".split())
+MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 
 RESET, LOW, UP, ABN, ABF, INI, NUM, NUMD, YEAR, MON, DOT, STRONG, CJKT, CLOSE, OPEN, SPACE, DASH, CASELESS, OTHER, QUOTATIVE, THAI, PARA, CAPS, NUML = range(24)
 N_CLASSES = 24
@@ -113,7 +113,7 @@ STATES = [
     "cjk", "cjk_closed",
 ]
 STATE = {name: i for i, name in enumerate(STATES)}
-AFTER_WORD = {LOW: "low", UP: "body", ABN: "abn", ABF: "abf", INI: "ini", NUM: "num", NUMD: "num", NUML: "num", CAPS: "body", MON: "abf", YEAR: "abn", CASELESS: "body", QUOTATIVE: "body", THAI: "thai", OTHER: "body", DASH: "body", OPEN: "body", CLOSE: "body"}
+AFTER_WORD = {LOW: "low", UP: "body", ABN: "abn", ABF: "abf", INI: "ini", NUM: "num", NUMD: "num", NUML: "num", CAPS: "body", MON: "body", YEAR: "abn", CASELESS: "body", QUOTATIVE: "body", THAI: "thai", OTHER: "body", DASH: "body", OPEN: "body", CLOSE: "body"}
 DOT_AFTER = {"body": "plain", "low": "plain", "abn": "never", "abf": "may", "ini": "never", "num": "number", "date": "date_dot", "thai": "plain", "thai_sp": "plain"}
 STARTERS = {UP, CAPS, NUML, OPEN, CASELESS, INI, MON, THAI, NUM, NUMD, QUOTATIVE}
 
