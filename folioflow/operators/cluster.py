@@ -40,15 +40,38 @@ def word_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 5, across:
     return e.where(near).select(*keys, "a", "b")
 
 
+def natural_breaks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, break_at, p90): two-class natural break and nearest-rank 90th percentile per group, by running sums.
+
+    Fewer than ten values: 1.2 times the greatest; no clear gap at the best cut: the percentile.
+    """
+    whole = Window.partitionBy(*keys)
+    sorted_ = whole.orderBy(value)
+    upto = sorted_.rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col(value).cast("double")
+    d = df.where(v.isNotNull()).select(*keys, v.alias(value))
+    d = d.select(*keys, F.col(value).alias("_v"), F.row_number().over(sorted_).alias("_i"), F.count(F.lit(1)).over(whole).alias("_n"), F.sum(value).over(upto).alias("_s"), F.sum(F.col(value) * F.col(value)).over(upto).alias("_q"), F.sum(value).over(whole).alias("_t"), F.sum(F.col(value) * F.col(value)).over(whole).alias("_u"), F.lead(value).over(sorted_).alias("_x"))
+    c = F.col
+    least = F.greatest(F.lit(2), F.floor(c("_n") / 10))
+    wss = F.round(c("_q") - c("_s") * c("_s") / c("_i") + (c("_u") - c("_q")) - (c("_t") - c("_s")) * (c("_t") - c("_s")) / F.nullif(c("_n") - c("_i"), F.lit(0)), 6)
+    cut = F.when((c("_i") >= least) & (c("_i") <= F.greatest(c("_n") - least, least)) & (c("_i") < c("_n")), F.struct(wss.alias("w"), c("_i").alias("i"), c("_v").alias("lo"), c("_x").alias("hi")))
+    rank = F.when(c("_i") == F.least(c("_n") - 1, F.floor(c("_n") * 0.9)) + 1, c("_v"))
+    g = d.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_v").alias("_top"), F.min(cut).alias("_c"), F.max(rank).alias("p90"))
+    at = F.when(c("_n") < 10, c("_top") * 1.2).when(c("_c.hi") >= 2 * F.greatest(F.lit(1.0), c("_c.lo")), (c("_c.hi") + c("_c.lo")) / 2).otherwise(c("p90"))
+    return g.select(*keys, at.alias("break_at"), "p90")
+
+
 def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, gaps: Column | None = None) -> DataFrame:
     """Edges between components of a raster: 90th percentile across, natural break down; none across a column gap.
 
-    ``gaps``: array of (l, r) column gaps of the group, or none.
+    ``gaps``: array of (l, r) column gaps of the group, or none. Without neighbours in a direction the limit is 1.5
+    (across) or 2 (down) average heights.
     """
     n = neighbours(boxes, keys, idx, k).withColumn("flat", G.is_horizontal(F.col("angle")))
-    lim = n.groupBy(*keys).agg(F.collect_list(F.when(F.col("flat"), F.col("distance"))).alias("hs"), F.collect_list(F.when(~F.col("flat"), F.col("distance"))).alias("vs"), F.avg("box_a.h").alias("height"))
-    th, tv = S.nearest_rank(F.col("hs"), 0.9), S.jenks_break(F.col("vs"))
-    lim = lim.select(*keys, F.when(th > 0, th).otherwise(F.col("height") * 1.5).alias("th"), F.when(tv > 0, tv).otherwise(F.col("height") * 2.0).alias("tv"))
+    across = natural_breaks(n.where("flat"), keys, "distance").select(*keys, F.col("p90").alias("_th"))
+    down = natural_breaks(n.where("not flat"), keys, "distance").select(*keys, F.col("break_at").alias("_tv"))
+    lim = boxes.groupBy(*keys).agg(F.avg("box.h").alias("_h")).join(across, keys, "left").join(down, keys, "left")
+    lim = lim.select(*keys, F.when(F.col("_th") > 0, F.col("_th")).otherwise(F.col("_h") * 1.5).alias("th"), F.when(F.col("_tv") > 0, F.col("_tv")).otherwise(F.col("_h") * 2.0).alias("tv"))
     e = n.join(lim, keys)
     ca, cb = F.col("box_a.x") + F.col("box_a.w") / 2, F.col("box_b.x") + F.col("box_b.w") / 2
     crosses = F.lit(False) if gaps is None else F.exists(gaps, lambda g: ((g["l"] + g["r"]) / 2 > F.least(ca, cb)) & ((g["l"] + g["r"]) / 2 < F.greatest(ca, cb)))

@@ -86,3 +86,20 @@ def words_in_regions(words: DataFrame, regions: DataFrame) -> DataFrame:
     """Words lying wholly inside a region of their page, bounds included."""
     r = regions.select(*PAGE_KEY, "det_idx", F.col("box").alias("region_box"))
     return words.join(r, PAGE_KEY).where(G.contains(F.col("region_box"), F.col("box"))).drop("region_box")
+
+
+def text_components(parts: DataFrame, keys: list[str], page_w: Column, page_h: Column) -> DataFrame:
+    """Components (box, area) of text size: not too large, sides within 30 to 1, at least the adaptive area of the group."""
+    from pyspark.sql import Window
+
+    from ..functions import stats as S
+
+    w, h = F.col("box.w"), F.col("box.h")
+    fit = parts.where((F.col("area") <= F.least(F.lit(50_000), page_w * page_h / 2)) & (F.greatest(w, h) <= 30 * F.greatest(F.least(w, h), F.lit(1.0))))
+    least = S.adaptive_min_area(F.collect_list("box.h").over(Window.partitionBy(*keys)))
+    return fit.withColumn("_least", least).where("area >= _least").drop("_least")
+
+
+def line_components(parts: DataFrame, line_h: Column) -> DataFrame:
+    """Components of a line that may be letters."""
+    return parts.where((F.col("box.h") >= F.greatest(F.lit(2), F.floor(line_h / 6))) & (F.col("area") >= 4))

@@ -131,3 +131,34 @@ def width_batches(lines: DataFrame, keys: list[str], width: Column, order: str,
     """Batches of similar width for a recognizer: sorted by width, ``size`` at a time."""
     by = Window.partitionBy(*keys).orderBy(width, order)
     return lines.withColumn("batch", F.floor((F.row_number().over(by) - 1) / size).cast("int"))
+
+
+def runs(columns: DataFrame, keys: list[str], pos: str, on: Column, least_gap: int = 1) -> DataFrame:
+    """Maximal runs (start, end) of positions where ``on`` holds; a run ends at a gap of at least ``least_gap`` others."""
+    by = Window.partitionBy(*keys).orderBy(pos)
+    d = columns.where(on).withColumn("_new", F.coalesce((F.col(pos) - F.lag(pos).over(by) > least_gap).cast("int"), F.lit(1)))
+    d = d.withColumn("run", (F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    return d.groupBy(*keys, "run").agg(F.min(pos).alias("start"), F.max(pos).alias("end"))
+
+
+def column_gaps(profile: DataFrame, keys: list[str], pos: str, count: str, height: Column, width: Column) -> DataFrame:
+    """Gaps (start, end) between text columns: columns with at most 5 % ink, at least max(8, W / 50) wide, inside 10 % margins.
+
+    ``profile``: one row per column; height and width are columns of it.
+    """
+    p = profile.withColumns({"_h": height.cast("double"), "_w": width.cast("double")})
+    size = p.groupBy(*keys).agg(F.max("_w").alias("_w"))
+    r = runs(p, keys, pos, F.col(count) <= F.col("_h") * 0.05).join(size, keys)
+    wide = F.col("end") - F.col("start") + 1 >= F.greatest(F.lit(8.0), F.floor(F.col("_w") / 50))
+    return r.where(wide & (F.col("start") > F.col("_w") * 0.1) & (F.col("end") < F.col("_w") * 0.9)).select(*keys, "start", "end")
+
+
+def component_order(boxes: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """Components from top to bottom, then left to right."""
+    by = Window.partitionBy(*keys).orderBy("box.y", "box.x", idx)
+    return boxes.withColumn("component_no", (F.row_number().over(by) - 1).cast("int"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

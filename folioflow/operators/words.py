@@ -14,11 +14,12 @@ def segment_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.withColumn("span_no", (F.row_number().over(by) - 1).cast("int")).withColumn("gap", F.greatest(F.col("left") - F.lag("right").over(by), F.lit(0)))
 
 
-def boundaries(gaps: DataFrame, keys: list[str], method: str) -> DataFrame:
+def boundaries(gaps: DataFrame, keys: list[str], method: str, deep: Column | None = None) -> DataFrame:
     """Add word: number of the word a span belongs to. All spans of a line without a clear split are one word.
 
-    ``cca`` and ``aom`` split at gaps over the Otsu threshold, ``rlsa`` at gaps over the rounded mean; a line splits only
-    when its widest gap is at least twice its narrowest, for ``rlsa`` also when the mean wide gap is twice the narrow.
+    ``cca`` and ``aom`` split at gaps over the Otsu threshold, ``rlsa`` at gaps over the rounded mean. For ``cca`` and
+    ``rlsa`` a line splits only when its widest gap is at least twice its narrowest, for ``rlsa`` also when the mean wide
+    gap is twice the narrow. For ``aom`` a gap must also be ``deep`` (nearly free of ink).
     """
     by = Window.partitionBy(*keys)
     order = Window.partitionBy(*keys).orderBy("span_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -30,5 +31,7 @@ def boundaries(gaps: DataFrame, keys: list[str], method: str) -> DataFrame:
     if method == "rlsa":
         mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v) / F.nullif(F.size(a), F.lit(0))
         clear = clear & F.coalesce(mean(wide) >= 2 * mean(narrow), F.lit(False))
+    if method == "aom":
+        clear = F.lit(True) if deep is None else F.coalesce(deep, F.lit(False))
     cut = F.when(clear & F.coalesce(F.col("gap") > F.col("_limit"), F.lit(False)), 1).otherwise(0)
     return d.withColumn("word", F.sum(cut).over(order).cast("int")).select(*gaps.columns, "word")

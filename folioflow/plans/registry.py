@@ -301,8 +301,8 @@ p as (select extraction_id, page_no, any_value(n) as n, max(x) as top, list_sort
 select p.extraction_id, p.page_no, round_even(case when n < 10 then top * 1.2 when b.b.hi >= 2 * greatest(1, b.b.lo) then (b.b.hi + b.b.lo) / 2 else s[least(n - 1, floor(n * 0.9)::int)::int + 1] end, 6) as break_at from p left join b on p.extraction_id = b.extraction_id and p.page_no = b.page_no""")
 def jenks_lengths(s, d):
     """Natural break of the line lengths of a page."""
-    g = lines_of(s, d).where("text is not null").groupBy(*PAGE_KEY).agg(F.collect_list(F.length("text").cast("double")).alias("v"))
-    return g.select(*PAGE_KEY, r6(S.jenks_break(F.col("v"))).alias("break_at"))
+    v = lines_of(s, d).where("text is not null").select(*PAGE_KEY, F.length("text").alias("chars"))
+    return cluster.natural_breaks(v, PAGE_KEY, "chars").select(*PAGE_KEY, r6(F.col("break_at")).alias("break_at"))
 
 
 @query(f"""select extraction_id, page_no, det_idx, round_even(avg(confidence), 6) as mean_confidence, count(*) as blocks from (select * from ({_OV}) where overlap >= 0.5 and confidence between 0 and 1 qualify row_number() over (partition by extraction_id, page_no, block_idx order by overlap desc, det_idx) = 1) group by all having avg(confidence) >= 0.75""")
@@ -499,6 +499,129 @@ def width_batches(s, d):
     return order.width_batches(lines_of(s, d), PAGE_KEY, F.col("box.w"), "line_id").select("line_id", "block_id", "batch")
 
 
+@query(f"""with {_SP}, {_OTSU} select ga.block_id, span_no, sum(case when lft % 3 <> 0 and coalesce(gap > lim, false) then 1 else 0 end) over (partition by ga.block_id order by span_no rows unbounded preceding)::int as word from ga left join oo on ga.block_id = oo.block_id""")
+def word_boundaries_aom(s, d):
+    """Words from gaps that are deep and over Otsu's threshold."""
+    return words.boundaries(words.segment_gaps(_spans(s, d), ["block_id"]), ["block_id"], "aom", F.col("left") % 3 != 0).select("block_id", "span_no", "word")
+
+
+_CHARS = f"(select line_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) - 1 as pos from {LINES} where length(text) > 0)"
+
+
+@query(f"""with i as (select *, pos - lag(pos) over (partition by line_id order by pos) as step from {_CHARS} where c not in (' ', '.', ',', '-')), g as (select *, sum(case when step is null or step > 2 then 1 else 0 end) over (partition by line_id order by pos rows unbounded preceding) - 1 as run from i)
+select line_id, run::int as run, min(pos)::int as st, max(pos)::int as en from g group by line_id, run""")
+def ink_runs(s, d):
+    """Runs of inked columns of a line; two empty ones end a run."""
+    c = lines_of(s, d).where("length(text) > 0").select("line_id", F.posexplode(F.split("text", "")).alias("pos", "c")).where("c <> ''")
+    return order.runs(c, ["line_id"], "pos", ~F.col("c").isin(" ", ".", ",", "-"), 2).withColumnsRenamed({"start": "st", "end": "en"})
+
+
+@query(f"""with p as (select extraction_id, page_no, unnest(range(0, 600, 1))::int as x from (select distinct extraction_id, page_no from text_lines)), l as {LINES},
+n as (select p.extraction_id, p.page_no, x, count(l.line_id) as n from p left join l on p.extraction_id = l.extraction_id and p.page_no = l.page_no and l.box.x + l.line_no % 2 * 250 <= x and x < l.box.x + l.line_no % 2 * 250 + l.box.w / 4 group by all),
+h as (select extraction_id, page_no, count(*) as h from l group by all), o as (select n.*, h, x - lag(x) over (partition by n.extraction_id, n.page_no order by x) as step from n join h on n.extraction_id = h.extraction_id and n.page_no = h.page_no where n <= h * 0.05::double),
+g as (select *, sum(case when step is null or step > 1 then 1 else 0 end) over (partition by extraction_id, page_no order by x rows unbounded preceding) as r from o)
+select extraction_id, page_no, st, en from (select extraction_id, page_no, r, min(x) as st, max(x) as en from g group by all) where en - st + 1 >= 12 and st > 60 and en < 540""")
+def page_column_gaps(s, d):
+    """Gaps between columns of a page from the cover of its lines (shifted and shortened so that there are some)."""
+    l = lines_of(s, d)
+    n = l.groupBy(*PAGE_KEY).agg(F.count(F.lit(1)).alias("h"))
+    x0 = F.col("box.x") + F.col("line_no") % 2 * 250
+    x1 = F.least(F.ceil(x0 + F.col("box.w") / 4) - 1, F.lit(599))
+    cover = l.where(x1 >= F.ceil(x0)).select(*PAGE_KEY, F.explode(F.sequence(F.ceil(x0).cast("int"), x1.cast("int"))).alias("x")).groupBy(*PAGE_KEY, "x").agg(F.count(F.lit(1)).alias("n"))
+    grid = n.select(*PAGE_KEY, "h", F.explode(F.sequence(F.lit(0), F.lit(599))).alias("x"))
+    prof = grid.join(cover, [*PAGE_KEY, "x"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return order.column_gaps(prof, PAGE_KEY, "x", "n", F.col("h"), F.lit(600)).withColumnsRenamed({"start": "st", "end": "en"})
+
+
+@query(f"""select line_id, (row_number() over (partition by block_id order by box.y, box.x, line_id) - 1)::int as component_no from {LINES} qualify row_number() over (partition by block_id order by line_id) <= 5""")
+def component_order(s, d):
+    """The first five pieces of a block, numbered from the top."""
+    l = order.component_order(lines_of(s, d), ["block_id"], "line_id")
+    return order.first_rows(l, ["block_id"], ["line_id"], 5).select("line_id", "component_no")
+
+
+@query(f"""with f as (select *, trunc(box.w * box.h / 4)::int as area from {LINES} where trunc(box.w * box.h / 4)::int <= least(50000, 600 * 850 / 2.0) and greatest(box.w, box.h) <= 30 * greatest(least(box.w, box.h), 1)),
+h as (select *, list_sort(list(box.h) over (partition by extraction_id, page_no)) as s from f), m as (select *, s[floor(len(s) / 4)::int + 1 : floor(len(s) * 3 / 4)::int] as mid from h)
+select line_id, area, box.h >= greatest(2, floor(12 / 6.0)) and area >= 4 as letter from m where area >= case when len(mid) = 0 then 4 else greatest(4, floor(power(list_sum(mid) / len(mid) * 0.25, 2))::int) end""")
+def component_filters(s, d):
+    """Components of text size, and whether they may be letters of a line."""
+    p = lines_of(s, d).withColumn("area", (F.col("box.w") * F.col("box.h") / 4).cast("int"))
+    kept = layout.text_components(p, PAGE_KEY, F.lit(600), F.lit(850))
+    letters = layout.line_components(kept, F.lit(12)).select("line_id", F.lit(True).alias("letter"))
+    return kept.join(letters, "line_id", "left").select("line_id", "area", F.coalesce("letter", F.lit(False)).alias("letter"))
+
+
+@query()
+def component_clusters(s, d):
+    """Connected groups of components by percentile and natural-break thresholds."""
+    l = lines_of(s, d)
+    return cluster.groups(l, cluster.component_edges(l, PAGE_KEY, "line_id"), PAGE_KEY, "line_id")
+
+
+@query(f"""with i as (select extraction_id, page_no, trunc(box.y)::int as top, trunc(box.y + box.h)::int as bottom from {LINES} where trunc(box.y + box.h)::int - trunc(box.y)::int >= 3 and trunc(box.x + box.w)::int - trunc(box.x)::int >= 2),
+m as (select *, max(bottom) over (partition by extraction_id, page_no order by top, bottom rows between unbounded preceding and 1 preceding) as m from i), g as (select *, sum(case when m is null or top > m then 1 else 0 end) over (partition by extraction_id, page_no order by top, bottom rows unbounded preceding) as strip from m)
+select extraction_id, page_no, greatest(min(top) - 4, 0) as top, max(bottom) as bottom from g group by extraction_id, page_no, strip""")
+def raster_strips(s, d):
+    """Text strips found by the pixel kernel in pages drawn from the lines' boxes."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators import raster
+
+    boxes = lines_of(s, d).groupBy(*PAGE_KEY).agg(F.collect_list("box").alias("boxes"))
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for e, p, bs in zip(b["extraction_id"], b["page_no"], b["boxes"]):
+                rects = [(int(x["x"]), int(x["y"]), int(x["x"] + x["w"]), int(x["y"] + x["h"])) for x in bs]
+                img = np.full((max(r[3] for r in rects) + 1, max(r[2] for r in rects) + 1), 255, np.uint8)
+                for l, t, r, q in rects:
+                    img[t:q, l:r] = 0
+                out += [(e, p, t, q) for t, q in raster.line_strips(img)]
+            yield pd.DataFrame(out, columns=["extraction_id", "page_no", "top", "bottom"])
+
+    return boxes.mapInPandas(draw, "extraction_id bigint, page_no int, top int, bottom int")
+
+
+_ANCH = "(select extraction_id, page_no, det_idx, (box.x + box.w / 2) * 0.5 + 20 as cx, (box.y + box.h / 2) * 0.5 as cy, box.w * 0.5 as w, box.h * 0.5 as h, det_idx % 11 as k, confidence as p from detections)"
+
+
+@query(f"""with c as (select *, least(greatest(cx - w / 2, 0), 640) as x0, least(greatest(cy - h / 2, 0), 640) as y0, least(greatest(cx + w / 2, 0), 640) as x1, least(greatest(cy + h / 2, 0), 640) as y1 from {_ANCH} where p >= 0.25),
+u as (select *, least(greatest((x0 - 20) / 0.5, 0), 1200) as a, least(greatest(y0 / 0.5, 0), 1280) as b, least(greatest((x1 - 20) / 0.5, 0), 1200) as c, least(greatest(y1 / 0.5, 0), 1280) as e from c)
+select extraction_id, page_no, det_idx, k::int as class_idx, ['{"','".join(LABELS)}'][k + 1] as label, {sql_flat('a', 'b', 'u.c - a', 'e - b')} from u where u.c - a > 0 and e - b > 0""")
+def decoded_anchors(s, d):
+    """Anchors made from the detections decoded back to image boxes."""
+    c = F.col
+    rows = table(s, d, "detections").select(*PAGE_KEY, c("det_idx").alias("anchor"), ((c("box.x") + c("box.w") / 2) * 0.5 + 20).alias("cx"), ((c("box.y") + c("box.h") / 2) * 0.5).alias("cy"), (c("box.w") * 0.5).alias("w"), (c("box.h") * 0.5).alias("h"),
+        F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.when(k == c("det_idx") % 11, c("confidence")).otherwise(c("confidence") / 2)).alias("scores"), F.lit(0.5).alias("scale"), F.lit(20.0).alias("pad_x"), F.lit(0.0).alias("pad_y"), F.lit(1200).alias("img_w"), F.lit(1280).alias("img_h"))
+    return layout.decode_anchors(rows).select(*PAGE_KEY, "det_idx", "class_idx", "label", *flat(c("box")))
+
+
+@query(f"""select extraction_id, page_no, det_idx, case when class_idx between 0 and 10 then ['{"','".join(LABELS)}'][class_idx + 1] else 'Unknown' end as label, -1 as class_idx, {sql_flat('box.x / 600 * 640', 'box.y / 900 * 640', '((box.x + box.w) / 600 - box.x / 600) * 640', '((box.y + box.h) / 900 - box.y / 900) * 640')} from detections where confidence >= 0.5""")
+def decoded_corners(s, d):
+    """Normalised corners made from the detections decoded to the model square."""
+    c = F.col
+    rows = table(s, d, "detections").select(*PAGE_KEY, c("det_idx").alias("anchor"), (c("box.x") / 600).alias("x0"), (c("box.y") / 900).alias("y0"), ((c("box.x") + c("box.w")) / 600).alias("x1"), ((c("box.y") + c("box.h")) / 900).alias("y1"), "class_idx", "confidence")
+    return layout.decode_corners(rows).select(*PAGE_KEY, "det_idx", "label", "class_idx", *flat(c("box")))
+
+
+@query("""select doc_id, strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%fZ') as ingested_utc, strftime(processed_at, '%Y-%m-%dT%H:%M:%S.%fZ') as processed_utc from documents""")
+def utc_strings(s, d):
+    """Times as ISO strings in UTC."""
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    utc = lambda c: F.date_format(F.convert_timezone(F.lit(s.conf.get("spark.sql.session.timeZone")), F.lit("UTC"), F.col(c).cast("timestamp_ntz")), fmt)
+    return table(s, d, "documents").select("doc_id", utc("ingested_at").alias("ingested_utc"), utc("processed_at").alias("processed_utc"))
+
+
+@query("""select input_file, count(*) as batches, count(distinct page_no) as pages, sum(w) as width_sum, round_even(avg(w), 6) as mean_width, round_even(100.0::double * count(*) / sum(count(*)) over (), 6) as share from (select distinct on (line_id) line_id, input_file, page_no, trunc(box.w)::bigint as w from text_lines order by line_id) group by input_file""")
+def recognition_profile(s, d):
+    """Counters of a recognition run by input: lines, pages, widths and shares."""
+    p = lines_of(s, d).select("input_file", "page_no", F.col("box.w").cast("bigint").alias("w")).groupBy("input_file").agg(F.count(F.lit(1)).alias("batches"), F.count_distinct("page_no").alias("pages"), F.sum("w").alias("width_sum"), F.avg("w").alias("m"))
+    total = lines_of(s, d).count()
+    return p.select("input_file", "batches", "pages", "width_sum", r6(F.col("m")).alias("mean_width"), r6(F.lit(100.0) * F.col("batches") / F.lit(total)).alias("share"))
+
+
 # -- decoding ---------------------------------------------------------------------------------------------------------
 
 SYMBOLS = [chr(97 + i) for i in range(26)]
