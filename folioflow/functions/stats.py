@@ -64,7 +64,7 @@ def otsu(values: Column) -> Column:
 
 
 def jenks_break(values: Column) -> Column:
-    """Two-class natural break. Few values: 1.2 times the greatest; no clear gap: the 90th percentile."""
+    """Two-class natural break of a short array (quadratic; ``cluster.natural_breaks`` is the table form). Few values: 1.2 times the greatest; no clear gap: the 90th percentile."""
     s = F.array_sort(values)
     n = F.size(s)
     least = F.greatest(F.lit(2), F.floor(n / 10).cast("int"))

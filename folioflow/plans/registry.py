@@ -614,7 +614,7 @@ def utc_strings(s, d):
     return table(s, d, "documents").select("doc_id", utc("ingested_at").alias("ingested_utc"), utc("processed_at").alias("processed_utc"))
 
 
-@query("""select input_file, count(*) as batches, count(distinct page_no) as pages, sum(w) as width_sum, round_even(avg(w), 6) as mean_width, round_even(100.0::double * count(*) / sum(count(*)) over (), 6) as share from (select distinct on (line_id) line_id, input_file, page_no, trunc(box.w)::bigint as w from text_lines order by line_id) group by input_file""")
+@query("""select input_file, count(*) as batches, count(distinct page_no) as pages, sum(w)::bigint as width_sum, round_even(avg(w), 6) as mean_width, round_even(100.0::double * count(*) / sum(count(*)) over (), 6) as share from (select distinct on (line_id) line_id, input_file, page_no, trunc(box.w)::bigint as w from text_lines order by line_id) group by input_file""")
 def recognition_profile(s, d):
     """Counters of a recognition run by input: lines, pages, widths and shares."""
     p = lines_of(s, d).select("input_file", "page_no", F.col("box.w").cast("bigint").alias("w")).groupBy("input_file").agg(F.count(F.lit(1)).alias("batches"), F.count_distinct("page_no").alias("pages"), F.sum("w").alias("width_sum"), F.avg("w").alias("m"))
