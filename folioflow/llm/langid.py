@@ -114,7 +114,11 @@ def _sgd(feats: list[np.ndarray], y: np.ndarray, p: Params, rng: np.random.Gener
             g_mean = grad @ w
             w -= rate * grad.T @ mean
             b -= rate * 0.1 * grad.sum(0)
-            np.add.at(emb, idx, np.repeat(-rate * g_mean, lens, axis=0) / np.repeat(lens, lens)[:, None] * 8)
+            by = np.argsort(idx, kind="stable")  # sums per bucket, much faster than adding one by one
+            same = idx[by]
+            first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+            step = (-8 * rate * g_mean / lens[:, None]).astype(np.float32)
+            emb[same[first]] += np.add.reduceat(step[np.repeat(np.arange(len(lens)), lens)[by]], first, axis=0)
     return emb, w, b
 
 
