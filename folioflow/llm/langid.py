@@ -346,16 +346,18 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit(spark, sf_dir))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer, p = Scorer(shared.value), shared.value.params
         for b in batches:
             out: list[tuple] = []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 bounds = [0, *(m.end() for m in SPLIT.finditer(t)), len(t)]
                 spans = [(x, y) for x, y in zip(bounds, bounds[1:]) if y > x]
                 lang, prob, words = scorer.score([t[x:y] for x, y in spans])
+                main = np.bincount(lang[lang >= 0], words[lang >= 0], len(LANGS)).argmax()
+                lang = np.where((lang != main) & (words < 8) & (prob < p.context_prob), -1, lang)
                 runs: list[list] = []
                 for (x, y), k, q, n in zip(spans, lang, prob, words):
-                    if k < 0 or n < shared.value.params.min_words and k < LANGS.index("zh"):
+                    if k < 0 or n < p.min_words and k < LANGS.index("zh"):
                         if runs:
                             runs[-1][2] = y
                         continue
