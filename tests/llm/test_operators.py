@@ -57,6 +57,18 @@ def test_personal_data_held_out():
     assert tp / (tp + fp) > 0.97 and tp / (tp + fn) > 0.97
 
 
+def test_every_address_is_a_candidate():
+    forms = ["Avda. de Velmolm, 53, 00724 Camskine", "Pza. de Velmolm, 3", "12 impasse Velmolm", "12 chemin de Velmolm", "4 quai Velmolm", "7 cours Velmolm", "бульв. Ленина, д. 5", "Am Velmolm 12", "Im Velmolm 12", "Zum Velmolm 4", "Zur Velmolm 4", "An der Velmolm 7", "Auf der Velmolm 9"]
+    for s in forms:
+        assert (0, len(s), 3) in {c[:3] for c in pii.candidates(s)}, s
+    for text, gold in pii.samples(pii.Params(sentences=400, seed=31)):
+        for a, b, k in gold:
+            if k == 3:  # alone: no other datum of the text opens the way for it
+                assert any(c[0] == 0 and c[2] == 3 for c in pii.candidates(text[a:b])), text[a:b]
+    text = "La carpeta se devuelve en Avda. de Velmolm, 155, 00182 Sutwoth."
+    assert [(text[a:b], k) for a, b, k in pii.decode(text, pii.train())] == [("Avda. de Velmolm, 155, 00182 Sutwoth", 3)]
+
+
 def test_segmentation_is_best():
     r = random.Random(1)
     for _ in range(200):
