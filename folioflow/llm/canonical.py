@@ -42,7 +42,7 @@ class Params:
 ALIKE = """a а α; c с ϲ; e е; i і ι; j ј; o о ο; p р ρ; s ѕ; x х χ; y у; h һ; d ԁ; q ԛ; w ԝ; v ѵ ν; k к κ;
 A А Α; B В Β; C С Ϲ; E Е Ε; H Н Η; I І Ι; J Ј; K К Κ; M М Μ; N Ν; O О Ο; P Р Ρ; S Ѕ; T Т Τ; X Х Χ; Y У Υ Ү; Z Ζ; - ‐ ‑"""
 #: Look-alikes that differ visibly in common type and are therefore kept apart.
-DISTINCT = "αικκκρνχкУ"
+DISTINCT = "αικκκρχкУ"
 IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 PLAIN = re.compile(r"[!-~\s]*")
 RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")

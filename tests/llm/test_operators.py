@@ -250,6 +250,15 @@ def test_look_alikes(spark):
     assert got == want
 
 
+def test_nu_looks_like_v(spark):
+    base = "Der Prüfer verbindet die Seiten; le lecteur vérifie l'archive et l'archivera. " * 2
+    rows = [(1, base), (2, base.replace("v", "ν")), (3, base.replace("archive", "archiνe")), (4, base.replace("v", "u"))]
+    got = {(x.a, x.b) for x in canonical.same_looking(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+    lines = {x.text for x in canonical.canonical_texts(spark.createDataFrame([(1, "vérifie"), (2, "νérifie")], "id bigint, text string")).collect()}
+    assert len(lines) == 1
+
+
 @given(st.text(alphabet="aеo оcс​ｅexхé́", max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_keys_follow_classes(text):
