@@ -9,7 +9,7 @@
 * Page numbers are lines that are nothing else. Running headers are short lines whose digit-masked, shape-folded text
   recurs on several pages of an extraction or stands as page furniture across extractions.
 * ``paragraphs`` applies all of it: furniture leaves, misreadings are replaced, broken words are joined, and lines flow
-  together within their block by SQL windows.
+  together by SQL windows, within their block and on into the block that continues its last word.
 
 Tables: all lines are read, whole. Counting words and masks are sums with map-side combination; only lines that end in a
 hyphen, short lines, and words' counts are shuffled. The table of misreadings is broadcast only after its size is known,
@@ -241,7 +241,8 @@ def junk(text: str) -> bool:
 
 
 def broken_words(lines: DataFrame, blocks: DataFrame, furniture: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
-    """(line_id): lines whose last word is broken by the typesetting.
+    """(line_id, next_id): lines whose last word is broken by the typesetting; next_id is the block that continues it, null
+    for the line's own.
 
     ``lines``: line_id, block_id, line_no, text; ``blocks``: block_id, extraction_id, label, skip (no running text);
     ``furniture``: line_id of headers and page numbers, which the continuation jumps over.
@@ -253,7 +254,7 @@ def broken_words(lines: DataFrame, blocks: DataFrame, furniture: DataFrame, coun
     first = F.regexp_extract(F.ltrim("text"), rf"^([\p{{L}}\p{{M}}{LOST}\d!][\p{{L}}\p{{M}}’'{LOST}\d!-]*)", 1)
     heads = lines.select("block_id", "line_no", first.alias("right"))
     inner = h.join(heads.withColumn("line_no", F.col("line_no") - 1), ["block_id", "line_no"], "left")
-    here = inner.where("right is not null").select("line_id", "left", "mark", "right")
+    here = inner.where("right is not null").select("line_id", "left", "mark", "right", F.lit(None).cast("bigint").alias("next_id"))
     # last line of its block: the first line of the next block that is running text
     last = inner.where("right is null").select("line_id", "block_id", "left", "mark")
     top = lines.where("line_no <= 1").select("line_id", "block_id", "line_no", first.alias("right")).join(furniture, "line_id", "left_anti")
@@ -261,15 +262,15 @@ def broken_words(lines: DataFrame, blocks: DataFrame, furniture: DataFrame, coun
     starts = top.join(blocks.where("not skip"), "block_id")
     starts = starts.where(F.col("right").rlike(r"^\p{Ll}")).select(F.col("block_id").alias("next_id"), "extraction_id", "right")
     reach = last.join(blocks.select("block_id", "extraction_id"), "block_id").select("*", F.explode(F.sequence(F.lit(1), F.lit(p.reach))).alias("k")).withColumn("next_id", F.col("block_id") + F.col("k"))
-    across = reach.join(starts, ["extraction_id", "next_id"]).groupBy("line_id", "left", "mark").agg(F.min_by("right", "k").alias("right"))
-    pairs = here.unionByName(across.select("line_id", "left", "mark", "right"))
+    across = reach.join(starts, ["extraction_id", "next_id"]).groupBy("line_id", "left", "mark").agg(F.min_by(F.struct("right", "next_id"), "k").alias("r"))
+    pairs = here.unionByName(across.select("line_id", "left", "mark", "r.right", "r.next_id"))
     pairs = pairs.withColumn("right", F.lower("right")).withColumn("joined", F.concat("left", "right")).withColumn("hyphened", F.concat("left", F.lit("-"), "right"))
     c = counts.select("word", "n")
     pairs = pairs.join(c.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
     pairs = pairs.join(c.select(F.col("word").alias("hyphened"), F.col("n").alias("n_hyphened")), "hyphened", "left")
     better = F.coalesce("n_hyphened", F.lit(0)) > F.coalesce("n_joined", F.lit(0))
     soft = F.col("mark").isin("­", "¬")
-    return pairs.where(F.col("right").rlike(r"^[\p{L}\d!" + LOST + "]") & (soft | ~better)).select("line_id")
+    return pairs.where(F.col("right").rlike(r"^[\p{L}\d!" + LOST + "]") & (soft | ~better)).select("line_id", "next_id")
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -322,7 +323,7 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise(spark: SparkSession, sf_dir: str, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(line_id, kind) for all four kinds, and the misreadings (word, right)."""
+    """(line_id, kind, next_id) for all four kinds, next_id as of ``broken_words``, and the misreadings (word, right)."""
     lines, b = labelled_lines(spark, sf_dir)
     counts = written(word_counts(lines, p), "word-counts")
     bad = written(in_context(lines, written(misreadings(counts, p), "candidates"), p), "misreadings")
@@ -341,13 +342,13 @@ def noise(spark: SparkSession, sf_dir: str, p: Params = Params()) -> tuple[DataF
     parts = [(hyphen, "hyphen"), (glyph, "glyph"), (header, "header"), (pageno, "pageno")]
     out = None
     for df, kind in parts:
-        part = df.select("line_id", F.lit(kind).alias("kind"))
+        part = df.select("line_id", F.lit(kind).alias("kind"), F.col("next_id") if kind == "hyphen" else F.lit(None).cast("bigint").alias("next_id"))
         out = part if out is None else out.unionByName(part)
-    return out.distinct(), bad
+    return out.groupBy("line_id", "kind").agg(F.min("next_id").alias("next_id")), bad
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return noise(spark, sf_dir)[0]
+    return noise(spark, sf_dir)[0].select("line_id", "kind")
 
 
 def corrected(lines: DataFrame, bad: DataFrame, p: Params) -> DataFrame:
@@ -380,18 +381,42 @@ def corrected(lines: DataFrame, bad: DataFrame, p: Params) -> DataFrame:
     return lines.mapInArrow(fix, lines.schema)
 
 
+def chained(links: DataFrame) -> DataFrame:
+    """(block_id, root): for every block that continues another the first block of its chain. ``links``: block_id, next_id.
+
+    A block continues at most one other and ids rise along a chain; every round doubles the reach, so there are about as
+    many as the logarithm of the longest chain.
+    """
+    up = written(links.select(F.col("next_id").alias("block_id"), F.col("block_id").alias("root")), "chains")
+    while True:
+        above = up.select(F.col("block_id").alias("root"), F.col("root").alias("above"))
+        far = written(up.join(above, "root", "left"), "chains")
+        up = far.select("block_id", F.coalesce("above", "root").alias("root"))
+        if far.where("above is not null").isEmpty():
+            return up
+
+
 def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block_id, text): repaired running text of every block that is not only furniture."""
+    """(block_id, text): repaired running text of every block that is not only furniture.
+
+    Blocks that continue a broken word of another have no row of their own: their text goes on in that of the first
+    block of the chain. Where several blocks could be continued by the same one, the nearest is; the others keep their hyphen.
+    """
     p = Params()
     kinds, bad = noise(spark, sf_dir, p)
     kinds = written(kinds, "noise")
     lines = lines_of(spark, sf_dir).select("line_id", "block_id", "line_no", "text").dropDuplicates(["line_id"]).where("block_id is not null")
+    broken = kinds.where("kind = 'hyphen'").select("line_id", "next_id")
+    links = lines.select("line_id", "block_id").join(broken.where("next_id is not null"), "line_id")
+    links = links.groupBy("next_id").agg(F.max(F.struct("block_id", "line_id")).alias("s")).select("next_id", "s.block_id", "s.line_id")
+    links = written(links, "links")
+    roots = chained(links)
+    joined = broken.where("next_id is null").select("line_id").unionByName(links.select("line_id")).withColumn("broken", F.lit(True))
     lines = corrected(lines, bad, p)
     lines = lines.join(kinds.where("kind in ('header', 'pageno')").select("line_id"), "line_id", "left_anti")
-    broken = kinds.where("kind = 'hyphen'").select("line_id", F.lit(True).alias("broken"))
-    lines = lines.join(broken, "line_id", "left")
-    by = Window.partitionBy("block_id").orderBy("line_no", "line_id")
+    lines = lines.join(joined, "line_id", "left").join(roots, "block_id", "left").withColumn("root", F.coalesce("root", "block_id"))
+    by = Window.partitionBy("root").orderBy("block_id", "line_no", "line_id")
     body = F.when(F.col("broken"), F.regexp_replace("text", rf"[{HYPHENS}]\s*$", "")).otherwise(F.trim("text"))
     glue = F.when(F.lag("line_id").over(by).isNull() | F.coalesce(F.lag("broken").over(by), F.lit(False)), F.lit("")).otherwise(F.lit(" "))
-    flow = lines.select("block_id", F.struct("line_no", "line_id", F.concat(glue, body).alias("piece")).alias("s"))
-    return flow.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["piece"]), "").alias("text"))
+    flow = lines.select("root", F.struct("block_id", "line_no", "line_id", F.concat(glue, body).alias("piece")).alias("s"))
+    return flow.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["piece"]), "").alias("text")).withColumnRenamed("root", "block_id")

@@ -205,6 +205,22 @@ def test_scan_noise(spark, tmp_path):
     assert "The reader counts every page of the document and keeps a copy of it." in paras and "See the document here today" in " ".join(paras) and not any("Guide" in p for p in paras)
 
 
+def test_word_broken_over_pages(spark, tmp_path):
+    rows = [  # block, page, label, lines
+        (1, 1, "Text", ["The reader counts every", "page of the docu-"]), (2, 1, None, ["- 41 -"]), (3, 2, "Figure", ["Lamp"]),
+        (4, 2, "Text", ["ment and keeps the regis-"]), (5, 3, "Text", ["ter of it here."]), (6, 3, "Text", ["Nothing goes on here."]),
+        (7, 3, "Text", ["They note the foot-"]), (8, 3, "Text", ["A word of the pas-"]), (9, 4, "Text", ["sage is here."]),
+    ]
+    box, B = (0.0, 0.0, 10.0, 12.0), "struct<x:double,y:double,w:double,h:double>"
+    lines = [(10 * b + i, b, 1, "f", page, i, t, 0.9, box) for b, page, _, ts in rows for i, t in enumerate(ts)]
+    blocks = [(b, 1, page, b, label, 0.9, box, " ".join(ts)) for b, page, label, ts in rows]
+    spark.createDataFrame(lines, f"line_id bigint, block_id bigint, extraction_id bigint, input_file string, page_no int, line_no int, text string, score float, box {B}").write.parquet(f"{tmp_path}/text_lines.parquet")
+    spark.createDataFrame(blocks, f"block_id bigint, extraction_id bigint, page_no int, block_idx int, label string, confidence double, box {B}, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = {x.block_id: x.text for x in ocrfix.p5_paragraphs(spark, str(tmp_path)).collect()}
+    assert got[1] == "The reader counts every page of the document and keeps the register of it here." and not {4, 5} & set(got)
+    assert got[6] == "Nothing goes on here." and got[7] == "They note the foot-" and got[8] == "A word of the passage is here." and 9 not in got
+
+
 def test_glyph_join_equals_broadcast(spark, tmp_path):
     scan_tables(spark, str(tmp_path))
     lines = ocrfix.lines_of(spark, str(tmp_path))
