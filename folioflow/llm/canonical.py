@@ -1,12 +1,12 @@
 """Problem 7: one consistent form for text that looks the same.
 
 The vocabulary of clean spellings (no ignorables, no compatibility forms, one script) is counted over all texts, and its
-most frequent ``Params.vocabulary`` entries form a trie. A token is run through the trie by a weighted edit automaton:
-replacing a character by one of its look-alike class and skipping an ignorable cost nothing, any other edit costs more
-than the budget, so a token reaches exactly the spellings it looks like and takes the most frequent. Tokens that reach
-nothing are normalized by table, to the class representatives. White space of any width is one space.
+most frequent ``Params.vocabulary`` entries form a trie over look-alike classes. A token is folded by table (ignorables
+leave, each character becomes the representative of its class) and looked up exactly; there are no edit costs. It takes the
+most frequent spelling it looks like; tokens that reach nothing keep the table's form. White space of any width is one space.
 
-Two texts then look the same when their canonical token sequences are equal; that is compared by a 128-bit hash. Groups
+Two texts look the same when their folded token sequences are equal; that is compared by a 128-bit hash. A spelling folds
+to the path it is stored at, so the keys are those of the table alone and the vocabulary decides only the form. Groups
 of copies never meet in one task as lists: groups are found by sums of hashes and joined by key, which splits when skewed.
 
 Null and empty texts stay as they are and form no pairs. Exact copies are no pair (same characters). Repeated rows of a
@@ -89,7 +89,7 @@ class Trie:
             node.setdefault("", word)  # the most frequent spelling of a class comes first
 
     def find(self, token: str) -> str | None:
-        """Zero-cost walk of the automaton."""
+        """The most frequent spelling of the token's class, by exact lookup."""
         node = self.root
         for c in representative(token):
             node = node.get(c)
