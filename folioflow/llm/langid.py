@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import written
 from .common import LANG_CODES, LANGS, table
 
 
@@ -341,34 +342,64 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case.select("tbl", "rec_id", F.explode("langs").alias("lang")).distinct()
 
 
+SCORED = "tbl string, rec_id bigint, block_id bigint, ends array<int>, langs array<int>, probs array<double>, words array<double>, totals array<double>"
+STRETCH = "tbl string, rec_id bigint, block_id bigint, start_char int, end_char int, lang string, confidence double"
+
+
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of one language in documents that hold several: (doc_id, start_char, end_char, lang, confidence)."""
+    """Stretches of one language in texts that hold another than the main one of their record.
+
+    (tbl, rec_id, block_id, start_char, end_char, lang, confidence): positions are those in the document's text, or in the
+    text of the extraction's block; block_id is null for documents. A text that holds several languages gives all its
+    stretches, a block wholly in another language than its extraction gives the one. Texts are scored once; only spans
+    are written and joined.
+    """
     shared = spark.sparkContext.broadcast(fit(spark, sf_dir))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, p = Scorer(shared.value), shared.value.params
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for b in batches:
-            out: list[tuple] = []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ends, langs, probs, counts, totals = [], [], [], [], []
+            for t in b.column(3).to_pylist():
                 bounds = [0, *(m.end() for m in SPLIT.finditer(t)), len(t)]
                 spans = [(x, y) for x, y in zip(bounds, bounds[1:]) if y > x]
                 lang, prob, words = scorer.score([t[x:y] for x, y in spans])
-                main = np.bincount(lang[lang >= 0], words[lang >= 0], len(LANGS)).argmax()
-                lang = np.where((lang != main) & (words < 8) & (prob < p.context_prob), -1, lang)
+                ends.append([y for _, y in spans])
+                langs.append(lang.tolist())
+                probs.append(prob.tolist())
+                counts.append(words.tolist())
+                totals.append(np.bincount(lang[lang >= 0], words[lang >= 0], len(LANGS)).tolist())
+            ints, floats = pa.list_(pa.int32()), pa.list_(pa.float64())
+            cols = [pa.array(ends, ints), pa.array(langs, ints), pa.array(probs, floats), pa.array(counts, floats), pa.array(totals, floats)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["tbl", "rec_id", "block_id", "ends", "langs", "probs", "words", "totals"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value.params
+        for b in batches:
+            out: list[tuple] = []
+            for x in b.to_pylist():
                 runs: list[list] = []
-                for (x, y), k, q, n in zip(spans, lang, prob, words):
-                    if k < 0 or n < p.min_words and k < LANGS.index("zh"):
+                start = 0
+                for y, k, q, n in zip(x["ends"], x["langs"], x["probs"], x["words"]):
+                    if k != x["main"] and n < 8 and q < p.context_prob or k < 0 or n < p.min_words and k < LANGS.index("zh"):
                         if runs:
-                            runs[-1][2] = y
-                        continue
-                    if runs and runs[-1][3] == k:
-                        runs[-1][2] = y
-                        runs[-1][4].append(q)
+                            runs[-1][1] = y
+                    elif runs and runs[-1][2] == k:
+                        runs[-1][1] = y
+                        runs[-1][3].append(q)
                     else:
-                        runs.append([key, x, y, k, [q]])
-                if len(runs) > 1:
-                    out += [(r[0], r[1], r[2], LANGS[r[3]], round(float(np.mean(r[4])), 4)) for r in runs]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start_char", "end_char", "lang", "confidence"), r)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) > 0")
-    return docs.mapInArrow(cut, "doc_id bigint, start_char int, end_char int, lang string, confidence double")
+                        runs.append([start, y, k, [q]])
+                    start = y
+                if len(runs) > 1 or runs and runs[0][2] != x["main"]:
+                    out += [(x["tbl"], x["rec_id"], x["block_id"], r[0], r[1], LANGS[r[2]], round(float(np.mean(r[3])), 4)) for r in runs]
+            names = [c.split()[0] for c in STRETCH.split(", ")]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=pa.schema(list(zip(names, kinds))))
+
+    blocks = table(spark, sf_dir, "blocks").select(F.lit("extractions").alias("tbl"), F.col("extraction_id").alias("rec_id"), "block_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), F.lit(None).cast("bigint").alias("block_id"), "text")
+    texts = blocks.unionByName(docs).where("rec_id is not null and length(text) > 0")
+    scored = written(texts.mapInArrow(score, SCORED).distinct(), "stretches")
+    sums = scored.select("tbl", "rec_id", F.posexplode("totals").alias("k", "n")).where("n > 0").groupBy("tbl", "rec_id", "k").agg(F.sum("n").alias("n"))
+    main = sums.groupBy("tbl", "rec_id").agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("main"))
+    return scored.drop("totals").join(main, ["tbl", "rec_id"]).mapInArrow(cut, STRETCH)

@@ -45,6 +45,18 @@ def test_labels(spark, tmp_path):
     assert [langid.label_of(x) for x in ("EN", "rus", "en-US", "??", None, "")] == ["en", "ru", "en", None, None, None]
 
 
+def test_stretches_in_blocks(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    model = langid.train([(made(k, r, 6), k) for k in WORDS for _ in range(60)], [("the", "en")], langid.Params(buckets=1 << 13, epochs=3))
+    monkeypatch.setattr(langid, "fit", lambda *_: model)
+    en, ru = made("en", r, 3), made("ru", r, 3)
+    spark.createDataFrame([(1, 7, en + " " + en), (2, 7, en + " " + ru), (3, 7, ru), (3, 7, ru), (4, 7, None)], "block_id bigint, extraction_id bigint, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    spark.createDataFrame([(9, en + " " + ru), (10, en)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.tbl, x.rec_id, x.block_id or 0, x.start_char, x.end_char, x.lang) for x in langid.p1_segments(spark, str(tmp_path)).collect())
+    assert [(a, b, c, k) for a, b, c, _, _, k in got] == [("documents", 9, 0, "en"), ("documents", 9, 0, "ru"), ("extractions", 7, 2, "en"), ("extractions", 7, 2, "ru"), ("extractions", 7, 3, "ru")]
+    assert got[2][4] == got[3][3] and abs(got[3][3] - len(en)) <= 1 and got[4][3:5] == (0, len(ru))
+
+
 # -- 2 personal data --------------------------------------------------------------------------------------------------
 
 
