@@ -202,15 +202,25 @@ def _common(spark: SparkSession, sf_dir: str) -> list[str]:
     return sorted({r.word.lower() for r in table(spark, sf_dir, "common_words").select("word").limit(1000).collect() if r.word})
 
 
-def p3_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and kind of every document."""
-    t = typed(table(spark, sf_dir, "documents").select("doc_id", "text"), _common(spark, sf_dir))
+def _reported(t: DataFrame, id_col: str) -> DataFrame:
+    """The reported statistics, all of them measured on every text."""
     c = F.col
     return t.select(
-        "doc_id", c("words").alias("n_words"),
+        id_col, c("words").alias("n_words"),
         F.round(ratio(c("n_chars") - c("n_spaces"), c("words")), 6).alias("mean_word_len"),
         F.round(ratio(c("n_chars") - c("n_letters") - c("n_digits") - c("n_spaces"), c("n_chars")), 6).alias("symbol_ratio"),
         F.round(ratio(c("n_line_ends"), c("n_lines")), 6).alias("line_end_share"),
         F.round(ratio(c("n_common"), c("words")), 6).alias("common_share"),
         "kind", "kind_prob",
     )
+
+
+def p3_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    return _reported(typed(table(spark, sf_dir, "documents").select("doc_id", "text"), _common(spark, sf_dir)), "doc_id")
+
+
+def p3_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and kind of every block, whatever its label and length."""
+    b = table(spark, sf_dir, "blocks").select("block_id", "text").where("block_id is not null").distinct()
+    return _reported(typed(b, _common(spark, sf_dir)), "block_id")

@@ -76,5 +76,12 @@ def test_sql(spark, name):
     assert sorted((tuple(norm(r[k]) for k in sorted(cols)) for r in df.collect()), key=str) == sorted((tuple(norm(r[cols.index(k)]) for k in sorted(cols)) for r in cur.fetchall()), key=str)
 
 
+def test_block_statistics(spark):
+    got = {r.block_id: r for r in Q.queries()["p3_block_stats"](spark, SF).collect()}
+    texts = {r.block_id: r.text for r in spark.read.parquet(f"{SF}/blocks.parquet").where("block_id is not null").select("block_id", "text").distinct().collect()}
+    assert set(got) == set(texts)
+    assert all(got[i].n_words == len((t or "").split()) for i, t in texts.items() if (t or "").isascii()) and all(got[i].kind for i, t in texts.items() if t)
+
+
 def test_stable():
     assert zlib.crc32(",".join(ALL).encode()) and all(f"p{n}_" in ",".join(ALL) for n in range(1, 11))
