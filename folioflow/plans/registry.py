@@ -459,15 +459,23 @@ def merged_spans(s, d):
 
 
 def _segments(s, d):
-    return lines_of(s, d).where("text is not null").select("block_id", F.posexplode(F.split("text", " ")).alias("i", "w"), "line_no", "line_id").where("line_no = 0 and i < 1000000").select("block_id", "line_id", (F.col("i") * 120).alias("start"), (F.col("i") * 120 + F.length("w") * 12).alias("end"))
+    return lines_of(s, d).where("text is not null").select("block_id", F.posexplode(F.split("text", " ")).alias("i", "w"), "line_no", "line_id").select("block_id", "line_no", "line_id", (F.col("i") * 120).alias("start"), (F.col("i") * 120 + F.length("w") * 12).alias("end"))
 
 
 @query(f"""with s as (select block_id, line_id, (i - 1) * 120 as st, (i - 1) * 120 + length(w) * 12 as en from (select block_id, line_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from {LINES} where text is not null and line_no = 0)),
 g as (select block_id, list({{'s': st::int, 'e': en::int}} order by st, en) as l from s group by block_id), f as (select block_id, list_reduce(l, lambda a, x: case when len(a) > 0 and x.e - a[-1].s + 1 <= 600 then list_append(a[1:-2], {{'s': a[-1].s, 'e': x.e}}) else list_append(a, x) end, l[1:0]) as r from g)
 select block_id, (generate_subscripts(r, 1) - 1)::int as window_no, unnest(r).s as st, unnest(r).e as en from f""")
 def packed_windows(s, d):
-    """Segments of a line packed into windows of at most 600 pixels."""
-    return order.pack_windows(_segments(s, d), ["block_id"]).withColumnsRenamed({"start": "st", "end": "en"})
+    """Segments of the first line of a block packed into windows of at most 600 pixels."""
+    return order.pack_windows(_segments(s, d).where("line_no = 0"), ["block_id"]).withColumnsRenamed({"start": "st", "end": "en"})
+
+
+@query(f"""with s as (select line_id, (i - 1) * 120 as st, (i - 1) * 120 + length(w) * 12 as en from (select line_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from {LINES} where text is not null)),
+g as (select line_id, list({{'s': st::int, 'e': en::int}} order by st, en) as l from s group by line_id), f as (select line_id, list_reduce(l, lambda a, x: case when len(a) > 0 and x.e - a[-1].s + 1 <= 600 then list_append(a[1:-2], {{'s': a[-1].s, 'e': x.e}}) else list_append(a, x) end, l[1:0]) as r from g)
+select line_id, (generate_subscripts(r, 1) - 1)::int as window_no, unnest(r).s as st, unnest(r).e as en from f""")
+def packed_line_windows(s, d):
+    """Segments of every line packed into windows of at most 600 pixels."""
+    return order.pack_windows(_segments(s, d), ["line_id"]).withColumnsRenamed({"start": "st", "end": "en"})
 
 
 def _spans(s, d):

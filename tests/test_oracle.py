@@ -40,6 +40,11 @@ def test_same_rows(spark, duck, name):
     assert mine == theirs
 
 
+def test_every_line_is_packed(spark):
+    got = {r.line_id for r in registry.queries()["packed_line_windows"](spark, SF).select("line_id").distinct().collect()}
+    assert got == {r.line_id for r in registry.lines_of(spark, SF).where("text is not null").select("line_id").collect()}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
