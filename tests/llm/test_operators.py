@@ -321,16 +321,59 @@ def test_leaks_against_brute_force(spark):
             ws = ws[:6] + cut + ws[10:]
         docs.append((d, ("Some text. " + " ".join(ws).upper() if d % 5 == 0 else "Some text. " + " ".join(ws)).replace("scanner", "scan-\nner")))
     docs += [(100, None), (101, ""), (102, items[3][1])]
-    norm = {i: [w for w in map(leakage.norm, leakage.words(t)) if w] for i, t in items}
+    norm = {i: leakage.plain_words(t) for i, t in items}
     want = set()
     for d, t in docs:
-        ws = [w for w in map(leakage.norm, leakage.words(t or "")) if w]
+        ws = leakage.plain_words(t or "")
         for i, iw in norm.items():
-            if any(leakage.longest_run(ws, iw, s) >= p.least for s in range(-len(iw), len(ws))):
+            if any(leakage.follow(ws, iw, x, y)[0] >= p.least for x in range(len(ws)) for y in range(len(iw)) if ws[x] == iw[y]):
                 want.add((d, i))
-    got = {(x.doc_id, x.item_id) for x in leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items, p).collect()}
-    assert got == want and (102, 3) in got
-    assert leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), [], p).count() == 0
+    df = spark.createDataFrame(docs + docs[:5], "doc_id bigint, text string")
+    its = spark.createDataFrame(items + items[:3] + [(None, "x"), (900, None), (901, "")], "item_id bigint, item_text string")
+    for params in (p, leakage.Params(item_words=0)):  # probed in the scan, and joined
+        got = {(x.doc_id, x.item_id) for x in leakage.leaks(df, its, params).collect()}
+        assert got == want and (102, 3) in got
+        assert leakage.leaks(df, its.limit(0), params).count() == 0 and leakage.leaks(df.limit(0), its, params).count() == 0
+
+
+UNRELATED = [
+    "The quick brown fox jumps over the lazy dog while seven green parrots sing.",
+    "Which planet in our solar system has the largest number of known natural moons today?",
+    "Water boils at a lower temperature on top of a high mountain than at sea.",
+    "Name the author who wrote the novel about a white whale and its captain.",
+    "How many litres of paint cover 48 m of fence when one litre covers 6 m of it?",
+    "这个问题考察学生对古代汉语语法的理解能力。",
+    "この問題は学生の文法の理解を調べるものです。",
+    "ข้อสอบนี้วัดความเข้าใจของนักเรียนเรื่องไวยากรณ์",
+]
+
+
+def test_unrelated_items_are_found_in_their_own_text(spark):
+    for few in (UNRELATED, UNRELATED[:1], UNRELATED[3:5]):
+        its = spark.createDataFrame(list(enumerate(few)), "item_id bigint, item_text string")
+        docs = spark.createDataFrame([(i, f"Something before. {t.upper()} And after.") for i, t in enumerate(few)], "doc_id bigint, text string")
+        for p in (leakage.Params(), leakage.Params(item_words=0)):
+            assert {(x.doc_id, x.item_id) for x in leakage.leaks(docs, its, p).collect()} == {(i, i) for i in range(len(few))}
+
+
+def test_every_passage_of_twelve_words_is_found():
+    r = random.Random(4)
+    items = [(i, item(r)) for i in range(40)] + list(enumerate(UNRELATED, 100))
+    shapes = [{glyphs.skeleton(w) for w in leakage.plain_words(t) if not any(c.isdigit() for c in w)} for _, t in items]
+    const = frozenset(s for s in set().union(*shapes) if sum(s in x for x in shapes) >= 4)
+    sc = leakage.Scanner(leakage.Template(const), items)
+    for i, t in items[:45]:
+        ws = t.split()
+        cuts = [" ".join(ws[k : k + 12]) for k in range(len(ws) - 11)]
+        assert {k for k, e, n in sc.leaked(cuts) if e == i and n >= 12} == set(range(len(cuts)))
+        split = [c.replace("scanner", "scan ner") for c in cuts]  # a word fallen in two
+        assert {k for k, e, _ in sc.leaked(split) if e == i} == set(range(len(cuts)))
+
+
+def test_units_are_slots_after_numbers():
+    t = leakage.Template(frozenset())
+    ids, ends = t.read(["covers 48 m of fence", "m covers it"])
+    assert t.signs(ids).tolist() == [leakage.NAME, leakage.NUM, leakage.UNIT, leakage.NAME, leakage.NAME, leakage.NAME, leakage.NAME, leakage.NAME]
 
 
 # -- 9 mixing ---------------------------------------------------------------------------------------------------------
