@@ -1,6 +1,7 @@
 """Text operators against brute force, held-out accuracy and round trips."""
 
 import itertools
+import os
 import random
 import re
 
@@ -10,6 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from .held_out import MARKED, unmarked
+
 from folioflow.llm import canonical, glyphs, langid, leakage, mixing, ocrfix, pii, qdigest, sentences, textstats, truncation
 
 # -- 1 languages ------------------------------------------------------------------------------------------------------
@@ -69,6 +72,26 @@ def test_personal_data_held_out():
     assert tp / (tp + fp) > 0.97 and tp / (tp + fn) > 0.97
 
 
+def test_personal_data_of_another_hand():
+    """Names, countries and wordings that the field has not learned from."""
+    w = pii.train()
+    tp = fp = fn = 0
+    for line in MARKED:
+        text, gold = unmarked(line)
+        g, f = {(a, k) for a, _, k in gold}, {(a, k) for a, _, k in pii.decode(text, w)}
+        tp, fp, fn = tp + len(g & f), fp + len(f - g), fn + len(g - f)
+    assert tp / (tp + fn) >= 0.9 and tp / (tp + fp) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_training_sentences_are_not_those_of_the_tables():
+    import duckdb
+
+    texts = "\n".join(x for (x,) in duckdb.sql("select distinct text from '/root/testdata/sf0.01/blocks.parquet' where text is not null").fetchall())
+    parts = {p for t in pii.TEMPLATES for p in re.split(r"\{\w+\}", t) if len(p) > 15}
+    assert parts and not {p for p in parts if p in texts}
+
+
 def test_every_address_is_a_candidate():
     forms = ["Avda. de Velmolm, 53, 00724 Camskine", "Pza. de Velmolm, 3", "12 impasse Velmolm", "12 chemin de Velmolm", "4 quai Velmolm", "7 cours Velmolm", "бульв. Ленина, д. 5", "Am Velmolm 12", "Im Velmolm 12", "Zum Velmolm 4", "Zur Velmolm 4", "An der Velmolm 7", "Auf der Velmolm 9"]
     for s in forms:
@@ -77,7 +100,7 @@ def test_every_address_is_a_candidate():
         for a, b, k in gold:
             if k == 3:  # alone: no other datum of the text opens the way for it
                 assert any(c[0] == 0 and c[2] == 3 for c in pii.candidates(text[a:b])), text[a:b]
-    text = "La carpeta se devuelve en Avda. de Velmolm, 155, 00182 Sutwoth."
+    text = "El paquete vuelve a Avda. de Velmolm, 155, 00182 Sutwoth."
     assert [(text[a:b], k) for a, b, k in pii.decode(text, pii.train())] == [("Avda. de Velmolm, 155, 00182 Sutwoth", 3)]
 
 
