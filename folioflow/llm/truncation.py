@@ -3,15 +3,19 @@
 Lengths are read as discrete lifetimes. For each source and unit (characters, bytes) the hazard of a length is the
 share of the texts still running that end exactly there; windows give the hazards of the neighbouring lengths, a
 Poisson tail gives the chance of so many endings if the neighbours' hazard held, and the Benjamini-Hochberg procedure
-over all tests picks the lengths at which a source cuts. At such a length any ending that is not complete is a cut;
-elsewhere the ending must show it by itself (an open word or sentence in running text).
+over all lengths of all sources picks those at which a source cuts. At such a length any ending that is not complete is a
+cut (``by`` is 'limit'). Elsewhere the text must show it by itself: something appended at the cut ('mark'), or an open word
+or sentence in running text ('ending'); these are counted apart.
 
 Null and empty texts are not cut. Copies of a document are each reported. The source may be null; such rows form one
-source. Only counts by source and length and one row per document (its ending) are shuffled, never whole texts.
+source. Texts are read once: what an ending shows is judged in the scan, and only numbers about it, one row per document,
+are shuffled. The step-up procedure needs no ordering of all tests: chances are rounded up to one of ``Params.steps`` per
+power of e, which keeps the error rate, and their histogram, of bounded size, gives the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +30,7 @@ from .sentences import NEVER_FINAL
 class Params:
     neighbours: int = 40  # lengths on either side that give the expected hazard
     fdr: float = 0.001
-    least: int = 3  # endings a limit must have
+    steps: int = 64  # values of a chance that are told apart, per power of e
     support: int = 3  # documents of different length ending in the same line that make the line a complete one
 
 
@@ -57,71 +61,88 @@ def hazards(lengths: DataFrame, p: Params = Params()) -> DataFrame:
     # Chernoff bound of the Poisson tail P(X >= ends)
     k, lam = F.col("ends"), F.col("expected")
     h = h.withColumn("p_value", F.when(k > lam, F.exp(k - lam - k * F.log(k / lam))).otherwise(F.lit(1.0)))
-    rank = Window.partitionBy("unit").orderBy("p_value", "source", "n")
-    # only lengths with enough endings are tested, a few per source, so that the ranking stays small
-    tests = h.where(F.col("ends") >= p.least).withColumn("rank", F.row_number().over(rank)).withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy("unit")))
-    limit = F.max(F.when(F.col("p_value") <= p.fdr * F.col("rank") / F.col("tests"), F.col("rank"))).over(Window.partitionBy("unit"))
-    tests = tests.withColumn("last", F.coalesce(limit, F.lit(0))).withColumn("significant", F.col("rank") <= F.col("last"))
-    return tests.select("source", "unit", "n", "ends", "at_risk", F.round("expected", 6).alias("expected"), F.round("p_value", 12).alias("p_value"), "significant")
-
-
-def _last(text: Column, lines: Column, back: int) -> Column:
+    # rounded up, never under the smallest positive double: at most 745 * steps values, whatever the number of tests
+    h = written(h.withColumn("step", F.floor(-F.log(F.greatest("p_value", F.lit(1e-300))) * p.steps).cast("int")), "hazards")
+    last = threshold({(r.unit, r.step): r["count"] for r in h.groupBy("unit", "step").count().collect()}, p)
+    lows = F.create_map(*[F.lit(x) for kv in last.items() for x in kv]) if last else F.create_map().cast("map<string,int>")
+    h = h.withColumn("significant", F.coalesce(F.col("step") >= F.try_element_at(lows, F.col("unit")), F.lit(False)))
+    return h.select("source", "unit", "n", "ends", "at_risk", F.round("expected", 6).alias("expected"), F.round("p_value", 12).alias("p_value"), "significant")
+
+
+def threshold(counts: dict[tuple[str, int], int], p: Params = Params()) -> dict[str, int]:
+    """Least step of the significant tests of each unit, by the step-up procedure over the histogram of steps."""
+    out = {}
+    for unit in {u for u, _ in counts}:
+        steps = sorted(((s, n) for (u, s), n in counts.items() if u == unit), reverse=True)
+        tests, rank = sum(n for _, n in steps), 0
+        for s, n in steps:
+            rank += n
+            if s > 0 and math.exp(-s / p.steps) <= p.fdr * rank / tests:
+                out[unit] = s
+    return out
+
+
+def _last(lines: Column, back: int) -> Column:
     return F.coalesce(F.get(lines, F.size(lines) - back), F.lit(""))
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """One row per document about how its text ends."""
+    """One row per document about how its text ends; no part of the text but the last letters of unspaced scripts is kept."""
     text = F.col("text")
     whole = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
     d = docs.where("length(text) > 0 and doc_id is not null").select("doc_id", "source", F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), whole.alias("t"))
     d = d.withColumn("body", F.regexp_replace("t", APPENDED, "")).withColumn("appended", (F.length("body") < F.length("t")) & (F.length("body") > 0))
     d = d.withColumn("body", F.when(F.col("appended"), F.col("body")).otherwise(F.col("t")))
     lines = F.split("body", "\n")
-    d = d.withColumn("ls", F.slice(lines, F.greatest(F.size(lines) - 3, F.lit(1)), F.lit(4))).drop("t", "body")
-    ls = F.col("ls")
-    return d.select("doc_id", "source", "chars", "bytes", "appended", _last(text, ls, 1).alias("line"), _last(text, ls, 2).alias("before"), _last(text, ls, 3).alias("before2"))
+    # scripts without full stops: endings of all their parts between spaces
+    tails = F.when(F.col("t").rlike(UNSTOPPED), F.transform(F.filter(F.split("t", r"\s+"), lambda x: x.rlike(UNSTOPPED)), lambda x: F.right(x, F.lit(6))))
+    d = d.select("doc_id", "source", "chars", "bytes", "appended", F.slice(lines, F.greatest(F.size(lines) - 3, F.lit(1)), F.lit(4)).alias("ls"), tails.alias("tails"))
+    d = d.select("doc_id", "source", "chars", "bytes", "appended", "tails", _last(F.col("ls"), 1).alias("line"), _last(F.col("ls"), 2).alias("before"), _last(F.col("ls"), 3).alias("before2"))
+    c = F.col
+    line, short = c("line"), lambda x: F.length(x) < 45
+    word = F.lower(F.regexp_extract(line, r"([\p{L}]+)\.$", 1))
+    items = ~c("before").rlike(FINAL) & ~c("before2").rlike(FINAL) & short(c("before")) & short(line) & (c("before") != "") & (c("before2") != "") & short(c("before2"))
+    return d.select(
+        "doc_id", "source", "chars", "bytes", "appended", "tails", F.xxhash64(F.regexp_replace(line, r"\d+", "#")).alias("line_key"), line.rlike(FINAL).alias("final"),
+        (word.isin(*sorted(NEVER_FINAL)) & ~line.rlike(r"^\s*\p{L}{1,12}\.$")).alias("abbreviation"),
+        (line.rlike(PAGE_NUMBER) | line.rlike(APPENDIX) | line.rlike(SIGNATURE) | line.rlike(REFERENCE)).alias("furniture"),
+        line.rlike(ROW).alias("row"), line.rlike(r"(?:>|\||\.{4,}\s*\d+)\s*$").alias("row_end"), (line.rlike(ITEM) | items).alias("item"),
+    )
 
 
 def judged(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, source, chars, bytes, at_limit, evidence, cut) for every non-empty document."""
-    e = written(endings(docs.select("doc_id", "source", "text").distinct()), "endings")
-    lengths = e.select("source", F.lit("chars").alias("unit"), F.col("chars").alias("n")).unionByName(e.select("source", F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))
-    sig = hazards(lengths, p).where("significant").select("source", "unit", "n")
+    """(doc_id, source, chars, bytes, at_limit, appended, final, cut, by) for every non-empty document; ``by`` is null where nothing is cut."""
+    e = written(endings(docs).distinct(), "endings")
+    sig = hazards(_lengths(e), p).where("significant").select("source", "unit", "n")
     limits = sig.groupBy(F.col("source").alias("limit_source")).agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("n"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("n"))).alias("byte_limits"))
-    # few rows: at most a few limits of each source pass the test; the planner broadcasts it by size
+    # one row per source, the planner broadcasts it by size
     e = e.join(limits, F.col("source").eqNullSafe(F.col("limit_source")), "left").drop("limit_source")
-    at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | F.coalesce(
-        F.exists("byte_limits", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4)), F.lit(False)
-    )
     c = F.col
-    line = c("line")
+    at_limit = F.coalesce(F.array_contains("char_limits", c("chars")), F.lit(False)) | F.coalesce(
+        F.exists("byte_limits", lambda b: (c("bytes") <= b) & (c("bytes") > b - 4)), F.lit(False)
+    )
     # a last line that documents of several lengths share is a heading, an item or page furniture, not a cut
-    shared = e.groupBy(F.xxhash64(F.regexp_replace(line, r"\d+", "#")).alias("line_key")).agg(F.count_distinct("chars").alias("sharing")).where(c("sharing") >= p.support)
-    e = e.withColumn("line_key", F.xxhash64(F.regexp_replace(line, r"\d+", "#"))).join(shared, "line_key", "left")
+    shared = e.groupBy("line_key").agg(F.count_distinct("chars").alias("sharing")).where(c("sharing") >= p.support).select("line_key", F.lit(True).alias("shared"))
+    e = e.join(shared, "line_key", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     # scripts without full stops: the last letters must be ones that stand before a space elsewhere
-    segments = F.explode(F.split("text", r"\s+")).alias("segment")
-    stops = docs.where(F.col("text").rlike(UNSTOPPED)).select("doc_id", segments).where(F.col("segment").rlike(UNSTOPPED))
-    tails = docs.where(F.col("text").rlike(UNSTOPPED)).select("doc_id", F.element_at(F.split(F.regexp_replace("text", r"\s+$", ""), r"\s+"), -1).alias("segment"))
-    stops = stops.groupBy(F.expr("right(segment, 6)").alias("tail")).agg(F.count(F.lit(1)).alias("n"))
-    tails = tails.withColumn("tail", F.expr("right(segment, 6)")).join(stops, "tail").where(F.col("n") > 3).select("doc_id", F.lit(True).alias("stopped")).distinct()
-    e = e.join(tails, "doc_id", "left")
-    final = line.rlike(FINAL) | c("stopped").isNotNull()
-    word = F.lower(F.regexp_extract(line, r"([\p{L}]+)\.$", 1))
-    abbreviation = word.isin(*sorted(NEVER_FINAL)) & ~line.rlike(r"^\s*\p{L}{1,12}\.$")
-    furniture = line.rlike(PAGE_NUMBER) | line.rlike(APPENDIX) | line.rlike(SIGNATURE) | line.rlike(REFERENCE)
-    row = line.rlike(ROW)
-    item_line = line.rlike(ITEM)
-    bare_items = ~c("before").rlike(FINAL) & ~c("before2").rlike(FINAL) & (F.length("before") < 45) & (F.length(line) < 45) & (c("before") != "") & (c("before2") != "") & (F.length("before2") < 45)
-    complete_line = furniture | row | (c("sharing").isNotNull() & ~final)
-    open_text = ~final & ~complete_line & ~item_line & ~bare_items
+    stops = e.where("tails is not null").select(F.explode("tails").alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    stopped = e.where("tails is not null").select("doc_id", F.element_at("tails", -1).alias("tail")).join(stops, "tail").select("doc_id", F.lit(True).alias("stopped")).distinct()
+    e = e.join(stopped, "doc_id", "left")
+    final = c("final") | c("stopped").isNotNull()
+    open_text = ~final & ~(c("furniture") | c("row") | c("shared")) & ~c("item")
     cut = (
-        F.when(c("appended"), F.lit(True))
-        .when(final, abbreviation)
-        .when(furniture, F.lit(False))
-        .when(at_limit, ~row & c("sharing").isNull() | row & ~line.rlike(r"(?:>|\||\.{4,}\s*\d+)\s*$") & c("sharing").isNull())
-        .otherwise(open_text)
+        F.when(c("appended"), F.lit("mark"))
+        .when(final, F.when(c("abbreviation"), F.lit("ending")))
+        .when(c("furniture"), F.lit(None))
+        .when(at_limit, F.when(~c("shared") & (~c("row") | ~c("row_end")), F.lit("limit")))
+        .when(open_text, F.lit("ending"))
     )
-    return e.select("doc_id", "source", "chars", "bytes", at_limit.alias("at_limit"), "appended", final.alias("final"), F.col("line"), F.col("before"), F.coalesce(cut, F.lit(False)).alias("cut"))
+    return e.select("doc_id", "source", "chars", "bytes", at_limit.alias("at_limit"), "appended", final.alias("final"), F.coalesce(cut.isNotNull(), F.lit(False)).alias("cut"), cut.alias("by"))
+
+
+def _lengths(d: DataFrame) -> DataFrame:
+    """(source, unit, n) of a table with source, chars and bytes."""
+    return d.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("l")).select("source", "l.unit", "l.n")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +150,27 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truncation rate of each source."""
+    """Truncation rate of each source, and how its cuts are known."""
     j = judged(table(spark, sf_dir, "documents"))
-    n = F.count(F.lit(1))
-    return j.groupBy("source").agg(n.alias("documents"), F.sum(F.col("cut").cast("bigint")).alias("cut"), F.sum((F.col("cut") & F.col("at_limit")).cast("bigint")).alias("cut_at_limit"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("rate"))
+    by = [F.count(F.when(F.col("by") == k, 1)).alias(f"by_{k}") for k in ("limit", "mark", "ending")]
+    return j.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("cut"), 1)).alias("cut"), *by, F.round(F.avg(F.col("cut").cast("double")), 6).alias("rate"))
 
 
 def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths at which a source ends significantly often."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 0")
-    lengths = d.select("source", F.lit("chars").alias("unit"), F.length("text").alias("n")).unionByName(d.select("source", F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")))
-    return hazards(lengths).where("significant").drop("significant")
+    d = table(spark, sf_dir, "documents").where("length(text) > 0 and doc_id is not null")
+    d = d.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).distinct()
+    return hazards(_lengths(d)).where("significant").drop("significant")
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p10_limits": """with d as (select distinct doc_id, source, length(text)::int as chars, strlen(text)::int as bytes from documents where length(text) > 0 and doc_id is not null),
+l as (select source, 'chars' as unit, chars as n from d union all select source, 'bytes', bytes from d), per as (select source, unit, n, count(*) as ends from l group by all),
+h as (select *, (sum(ends) over (partition by source, unit order by n desc))::bigint as at_risk, (sum(ends) over near - ends) / 80.0::double as around from per window near as (partition by source, unit order by n range between 40 preceding and 40 following)),
+r as (select *, avg(at_risk) over (partition by source, unit order by n range between 40 preceding and 40 following) as risk_around from h),
+e as (select *, greatest(around, 1 / 80.0::double) / greatest(risk_around, at_risk) * at_risk as expected from r), p as (select *, case when ends > expected then exp(ends - expected - ends * ln(ends / expected)) else 1 end as p_value from e),
+s as (select *, floor(-ln(greatest(p_value, 1e-300)) * 64)::int as step from p), k as (select *, count(*) over (partition by unit order by step desc) as rank, count(*) over (partition by unit) as tests from s),
+t as (select *, min(case when step > 0 and exp(-step / 64.0::double) <= 0.001::double * rank / tests then step end) over (partition by unit) as last from k)
+select source, unit, n, ends, at_risk, round(expected, 6) as expected, round(p_value, 12) as p_value from t where step >= last""",
+    }

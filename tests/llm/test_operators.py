@@ -1,6 +1,7 @@
 """Text operators against brute force, held-out accuracy and round trips."""
 
 import itertools
+import math
 import os
 import random
 import re
@@ -447,3 +448,26 @@ def test_truncation(spark):
     assert len(limit - got) == 0
     h = truncation.hazards(df.where("length(text) > 0").select("source", F.lit("chars").alias("unit"), F.length("text").alias("n"))).where("significant").collect()
     assert max(h, key=lambda x: x.ends).n == 200 and all(x.source == "feed" for x in h)
+    by = {x.doc_id: x.by for x in truncation.judged(df).collect()}
+    assert {by[d] for d in limit} == {"limit"} and by[1001] == "mark" and by[1000] == "ending" and by[1002] is None
+
+
+def test_step_up_threshold_against_ordering_all_tests():
+    r = random.Random(12)
+    p = truncation.Params(fdr=0.05)
+    for _ in range(100):
+        steps = [int(r.expovariate(1 / 90)) for _ in range(r.randint(1, 300))]
+        chances = sorted((math.exp(-s / p.steps), s) for s in steps)
+        want = None
+        for rank, (chance, s) in enumerate(chances, 1):
+            if s > 0 and chance <= p.fdr * rank / len(chances):
+                want = s
+        counts = {("chars", s): steps.count(s) for s in set(steps)}
+        assert truncation.threshold(counts, p).get("chars") == want
+
+
+def test_every_length_is_tested(spark):
+    rows = [("a", "chars", n) for n in range(200, 4000, 7)] + [("a", "chars", 777)] * 8 + [("a", "chars", 901)] * 2 + [(None, "chars", 9)]
+    h = truncation.hazards(spark.createDataFrame(rows, "source string, unit string, n int")).collect()
+    assert {(x.source, x.unit, x.n) for x in h} == set(rows) and {x.n for x in h if x.significant} == {777}
+    assert truncation.hazards(spark.createDataFrame([], "source string, unit string, n int")).count() == 0
