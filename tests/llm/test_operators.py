@@ -311,15 +311,55 @@ def test_nu_looks_like_v(spark):
     assert len(lines) == 1
 
 
-@given(st.text(alphabet="aеo оcс​ｅexхé́", max_size=30))
+@given(st.text(alphabet="aеo оcс\u200bｅexхé\u0301", max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_keys_follow_classes(text):
-    c = canonical.Canonicalizer([("сосо", 5), ("cox", 4)], 1000)
+    trie = canonical.Trie([("сосо", 5), ("cox", 4)])
+    runs = {r for t in text.split() for r in canonical.runs_of(t)}
+    c = canonical.Canonicalizer({r: hit[1] for r in runs if (hit := trie.find(r))}, 1000)
     folded = " ".join(x for x in (canonical.representative(t) for t in text.split()) if x)
     assert c.text(text, 1) == folded
     assert c.text(c.text(text, 0), 1) == folded  # the canonical form looks like its source
 
 
+@given(st.text(alphabet="pаaρχxικikuу\u200b", min_size=1, max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_automaton_against_brute_force(token):
+    words = {"pax": 9, "рах": 3, "kipu": 5, "aaa": 2, "хах": 4, "pa": 7}
+    want = None
+    if (shape := [c for c in token if not canonical.IGNORABLE.match(c)]) and shape[0]:
+        for loose in itertools.product(*[[canonical.representative(c)] + ([canonical.LOOSE[c]] if c in canonical.LOOSE else []) for c in shape]):
+            cost = sum(k != canonical.representative(c) for k, c in zip(loose, shape))
+            if cost <= (1 if canonical.mixed(token) else 0):
+                for w, n in words.items():
+                    if canonical.representative(w) == "".join(loose):
+                        want = min(want or (9,), (cost, -n, w))
+    got = canonical.Trie(list(words.items())).find(token, 1)
+    assert got == (None if want is None else (want[0], want[2]))
+
+
+def test_vocabulary_decides_looks(spark):
+    base = "The printed pages of the archive explain the quality of the axis. " * 2
+    rows = [(1, base), (2, base.replace("printed", "ρrinted").replace("axis", "aχis")), (3, base.replace("explain", "eχplain")), (4, base.replace("pages", "pakes"))]
+    df = spark.createDataFrame(rows + rows[:1], "id bigint, text string")
+    pairs = lambda p: {(x.a, x.b) for x in canonical.same_looking(df, p).collect()}
+    assert pairs(canonical.Params()) == {(1, 2), (1, 3), (2, 3)}
+    assert pairs(canonical.Params(broadcast_tokens=0)) == {(1, 2), (1, 3), (2, 3)}  # by join
+    assert pairs(canonical.Params(min_count=10**9)) == set()  # no vocabulary, no spelling to pay for
+    forms = {x.id: x.text for x in canonical.canonical_texts(df).collect()}
+    joined = {x.id: x.text for x in canonical.canonical_texts(df, canonical.Params(broadcast_tokens=0)).collect()}
+    assert forms == joined and forms[2] == forms[1] == " ".join(base.split()) and forms[4] != forms[1]
+    assert {x.id: x.text for x in canonical.canonical_texts(df, canonical.Params(min_count=10**9)).collect()}[2] != forms[2]
+
+
+def test_large_class_has_one_row_a_text(spark):
+    n = 100_000
+    text = F.when(F.col("id") % 3 == 0, F.lit("Die Seite nennt das Archiv. " * 4)).otherwise(F.lit("Die Sеite nennt das Archiv. " * 4))
+    got = canonical.members(spark.range(1, n + 1).select("id", text.alias("text")))
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_id").alias("c"), F.count_distinct("spelling_id").alias("s"), F.min("copies").alias("m")).first()
+    assert (r.n, r.c, r.s, r.m) == (n, 1, 2, n)
+
+
 # -- 8 leaks ----------------------------------------------------------------------------------------------------------
 
 
