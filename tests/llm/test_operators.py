@@ -265,6 +265,65 @@ def test_glyph_join_equals_broadcast(spark, tmp_path):
     assert a == b and a
 
 
+SCAN_LINE = "line_id bigint, block_id bigint, extraction_id bigint, input_file string, page_no int, line_no int, text string, score float, box struct<x:double,y:double,w:double,h:double>"
+
+
+def scan_of(spark, path, rows):
+    """Tables of blocks (block, extraction, page, label, lines); line ids are ten times the block and the number in it."""
+    box = (0.0, 0.0, 10.0, 12.0)
+    lines = [(10 * b + i, b, ex, "f", page, i, t, 0.9, box) for b, ex, page, _, ts in rows for i, t in enumerate(ts)]
+    blocks = [(b, ex, page, k, label, 0.9, box, " ".join(ts)) for k, (b, ex, page, label, ts) in enumerate(rows)]
+    spark.createDataFrame(lines, SCAN_LINE).write.parquet(f"{path}/text_lines.parquet")
+    spark.createDataFrame(blocks, "block_id bigint, extraction_id bigint, page_no int, block_idx int, label string, confidence double, box struct<x:double,y:double,w:double,h:double>, text string").write.parquet(f"{path}/blocks.parquet")
+
+
+def test_furniture_anywhere_and_of_any_length(spark, tmp_path):
+    title = "A very long running title of a very long book about the many ways in which printed pages may be read"
+    rows = [(100 * ex + page, ex, page, "Page Header", [f"{title} {page}"]) for ex in (1, 2) for page in (1, 2)]
+    rows += [
+        (901, 3, 1, "Text", ["It ends here.", f"{title} 7", "- 12 -", "The next begins and see Tab.", "39."]),
+        (902, 3, 1, "Text", ["This one goes on with", title, "inside the sentence."]),
+        (903, 3, 1, "Text", ["A sentence with the number", "1717", "inside."]),
+        (904, 3, 2, "Text", ["Page           1444 of          2000"]),
+    ]
+    scan_of(spark, tmp_path, rows)
+    got = {(x.line_id, x.kind) for x in ocrfix.p5_found(spark, str(tmp_path)).collect()}
+    assert {i for i, k in got if k == "header"} == {10 * r[0] for r in rows[:4]} | {9011}
+    assert {i for i, k in got if k == "pageno"} == {9012, 9040}
+
+
+def test_words_go_on_in_reading_order(spark, tmp_path):
+    far = [(20 + k, 1, 1, "Figure", ["Lamp"]) for k in range(9)]  # more blocks between than ids before were looked over
+    rows = [(50, 1, 1, "Text", ["The reader keeps the docu-"]), *far, (7, 1, 1, "Text", ["ment in the box."]), (8, 1, 2, "Text", ["Nothing here."]), (60, 1, 2, "Text", ["They read the foot-"]), (61, 1, 4, "Text", ["note much later."])]
+    scan_of(spark, tmp_path, rows)
+    assert {(x.line_id, x.kind) for x in ocrfix.p5_found(spark, str(tmp_path)).collect()} == {(500, "hyphen")}
+    got = {x.block_id: x.text for x in ocrfix.p5_paragraphs(spark, str(tmp_path)).collect()}
+    assert got[50] == "The reader keeps the document in the box." and 7 not in got and got[60] == "They read the foot-"
+
+
+def test_every_form_and_lost_signs(spark, tmp_path):
+    words = [("hand", 900), ("band", 800), ("bahd", 700), ("habd", 600), ("hahd", 5), ("com�leta", 1), ("completa", 40), ("complot", 50), ("z�qqq", 1)]
+    got = {(x.word, x.right) for x in ocrfix.misreadings(spark.createDataFrame(words, "word string, n bigint")).collect()}
+    assert {r for w, r in got if w == "hahd"} == {r for r in ("hand", "band", "bahd", "habd") if glyphs.misreads(r, "hahd") > 0} and ("com�leta", "completa") in got and ("z�qqq", None) in got
+    text = ["The archive keeps the completa form here today"] * 9 + ["The archive keeps the com�leta form here today", "A word z�qqq is lost here"]
+    scan_of(spark, tmp_path, [(k, 1, k, "Text", [t]) for k, t in enumerate(text)])
+    assert {x.line_id for x in ocrfix.p5_found(spark, str(tmp_path)).where("kind = 'glyph'").collect()} == {90, 100}
+    got = {x.block_id: x.text for x in ocrfix.p5_paragraphs(spark, str(tmp_path)).collect()}
+    assert got[9] == text[0] and got[10] == text[10]
+
+
+def test_joins_equal_broadcasts(spark, tmp_path):
+    text = scan_tables(spark, str(tmp_path))
+    lines = ocrfix.lines_of(spark, str(tmp_path))
+    bad = spark.createDataFrame([("docurnent", "document"), ("every", "evory"), ("two", None)], "word string, right string")
+    src = lines.select("line_id", "text").dropDuplicates(["line_id"])
+    a, b = ({x.line_id: x.text for x in ocrfix.corrected(src, bad, ocrfix.Params(broadcast_words=n)).collect()} for n in (10, 0))
+    assert a == b and "See the document here today" in a.values() and len(a) == sum(1 for t in text.values() if t)
+    doubt = ocrfix.misreadings(ocrfix.word_counts(lines, ocrfix.Params()), ocrfix.Params(ratio=1, frequent=2))
+    a, b = ({(x.word, x.right) for x in ocrfix.in_context(lines, doubt, ocrfix.Params(broadcast_words=n, short=99)).collect()} for n in (10**6, 0))
+    assert a == b
+
+
 # -- 6 percentiles ----------------------------------------------------------------------------------------------------
 
 
