@@ -1,16 +1,21 @@
 """Problem 3: text statistics and the kind of content they indicate.
 
-Statistics are Catalyst expressions. Thresholds on them are noisy labelling functions: each fires for one kind (prose,
-list, table, junk) or abstains. How far each function can be trusted is learned by expectation-maximization from
-how the functions agree over all texts; the only thing that leaves the executors for that is the count of every pattern
-of votes, of which there are at most ``2 ** len(VOTES)``. The result is the posterior probability of each kind.
+Every statistic is measured on every text, whole: one pass splits it into tokens, what a token adds is worked out once per
+distinct token and kept on the worker, and texts are sums over their tokens. Thresholds on the statistics are noisy
+labelling functions: each fires for one kind (prose, list, table, junk) or abstains. How far each function can be trusted
+is learned by expectation-maximization from how the functions agree over all texts; the only thing that leaves the
+executors for that is the count of every pattern of votes, of which there are at most ``2 ** len(VOTES)``. The result is
+the posterior probability of each kind.
 
 Null and empty texts have zero statistics and kind null. Repeated rows are counted once per distinct key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,71 +25,106 @@ from .common import table
 KINDS = ("prose", "list", "table", "junk")
 
 
-def _n(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
-def _chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def _sub(text: Column, part: str) -> Column:
-    """Occurrences of a fixed string."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
-
+#: What a token adds to its text: name and pattern, counted in the token.
+COUNTED = {
+    "n_digits": r"\p{Nd}",
+    "n_letters": r"[\p{L}\p{M}]",
+    "n_pipes": r"\|",
+    "n_cells": r"</?t",
+    "n_ends": r"[\p{L}\p{M}]{2}[)»”\"’]?[.!?。！？।؟…]+(?=[»”\"’)]|$|[\p{Lo}\p{Lu}])",
+    "n_moji": r"[ÐÑÃÂ�□■]",
+    "n_numbers": r"(?:^|[|>])[+-]?\d+(?:[.,]\d+)*%?(?=[|<]|$)",
+    "n_delimited": r"[;,]\d+(?:\.\d+)?%?(?=[;,]|$)",
+    "n_long": r"(?=\S*\d)(?=\S*\p{Lu})[\p{L}\d+/=]{24,}",
+    "n_mixed": r"\p{Ll}\d\p{L}|\p{Lu}\d\p{L}|\p{L}\d\p{Lu}",
+    "n_repeats": r"([^\s.])\1{9,}",
+    "n_unspaced": r"[\p{Lo}\p{Mn}\p{Mc}]{16,}",
+    "n_short": r"^[^\s\p{Lo}]{1,2}$",
+    "n_lower": r"^\p{Ll}{4,}(?=[,.;]|$)",
+    "n_refs": r"^//$",
+    "n_marks": r"^\[\d{1,2}\]",
+}
+#: Marks of an item that count by the token behind them: a bullet before anything but a figure, a letter or number before a word.
+BULLET, LETTERED, WORDY, FIGURED = r"^[•*–—‣◦▪·-]$", r"^\(?(?:\p{L}|\d{1,2})[.)]$", r"^\p{L}{3,}", r"^\d"
+LEADERS, GAPS, TABBED, LINE_END = r"(?:\.\s?){4,}\s*\d", r"\S {3,}(?=\S)", r"\t\d+(?:\.\d+)?%?(?=[;,\t\s]|$)", r"[.!?。！？।؟…][»”\"’)]?\s*$"
+TOKEN_STATS = [*COUNTED, "n_common"]
+STATS = ["n_chars", "n_spaces", "n_words", "n_lines", "n_line_ends", "n_leaders", "n_gaps", "n_bullets", *TOKEN_STATS]
+CACHE = 400_000  # distinct tokens kept by a worker
+
+
+class Meter:
+    """Measures texts; the counts of a token are worked out once."""
+
+    def __init__(self, common: frozenset[str] = frozenset()):
+        import regex
+
+        self.common = common
+        self.counted = [regex.compile(x) for x in COUNTED.values()]
+        self.flags = [regex.compile(x) for x in (BULLET, LETTERED, WORDY, FIGURED)]
+        self.leaders, self.gaps, self.tabbed, self.line_end, self.parts = (regex.compile(x) for x in (LEADERS, GAPS, TABBED, LINE_END, r"[\p{L}\p{M}’']+"))
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(TOKEN_STATS) + len(self.flags)), np.int32)
+
+    def _id(self, t: str) -> int:
+        i = len(self.ids)
+        if i >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for k, pattern in enumerate(self.counted):
+            self.rows[i, k] = sum(1 for _ in pattern.finditer(t))
+        self.rows[i, len(self.counted)] = sum(w in self.common for w in self.parts.findall(t.lower())) if self.common else 0
+        for k, pattern in enumerate(self.flags):
+            self.rows[i, len(TOKEN_STATS) + k] = pattern.search(t) is not None
+        self.ids[t] = i
+        return i
+
+    def measure(self, texts: list[str]) -> np.ndarray:
+        """One row of ``STATS`` per text."""
+        if len(self.ids) > CACHE:
+            self.ids.clear()
+        out = np.zeros((len(texts), len(STATS)), np.int64)
+        get, add = self.ids.get, self._id
+        ids: list[int] = []
+        ends = np.zeros(len(texts) + 1, np.int64)
+        for k, t in enumerate(texts):
+            for w in t.split():
+                i = get(w)
+                ids.append(add(w) if i is None else i)
+            ends[k + 1] = len(ids)
+            lines = t.split("\n")
+            spaces = t.count(" ") + len(lines) - 1
+            out[k, :7] = len(t), spaces, ends[k + 1] - ends[k], len(lines), sum(1 for x in lines if self.line_end.search(x)), len(self.leaders.findall(t)) if t.count(".") > 3 else 0, len(self.gaps.findall(t)) if "   " in t else 0
+            if "\t" in t:
+                out[k, STATS.index("n_delimited")] = len(self.tabbed.findall(t))
+        if not ids:
+            return out
+        m = self.rows[np.array(ids, np.int64)]
+        n = len(TOKEN_STATS)
+        behind = np.concatenate([m[1:, n:], np.zeros((1, 4), m.dtype)])
+        behind[ends[1:][ends[1:] > 0] - 1] = 0  # the last token of a text has none
+        has_next = np.ones(len(m), bool)
+        has_next[ends[1:][ends[1:] > 0] - 1] = False
+        items = (m[:, n] & (behind[:, 3] == 0) & has_next) | (m[:, n + 1] & behind[:, 2])
+        full = np.flatnonzero(np.diff(ends))
+        sums = np.add.reduceat(np.concatenate([items[:, None], m[:, :n]], axis=1), ends[full], axis=0)
+        out[full, 7] = sums[:, 0]
+        out[full, 8:] += sums[:, 1:]
+        out[:, 7] += out[:, STATS.index("n_marks")]
+        return out
+
+
+def measured(df: DataFrame, common: list[str] | None = None) -> DataFrame:
+    """Replace ``text`` by its statistics."""
+    rest = [c for c in df.columns if c != "text"]
+    shared = df.sparkSession.sparkContext.broadcast(frozenset(common or ()))
 
-def base_statistics(text: Column) -> dict[str, Column]:
-    """Statistics that every text needs."""
-    return {
-        "n_chars": F.length(text),
-        "n_digits": _n(text, r"\d"),
-        "n_spaces": _sub(text, " ") + _sub(text, "\n"),
-        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", "")),
-        "n_pipes": _sub(text, "|"),
-        "n_refs": _sub(text, " // "),
-        "n_cells": _sub(text, "<t") + _sub(text, "</t"),
-        "n_ends": _n(text, r"[\p{L}\p{M}]{2}[)»”\"’]?[.!?。！？।؟…]+(?=[\s»”\"’)]|$|[\p{Lo}\p{Lu}])"),
-    }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = Meter(shared.value)
+        for b in batches:
+            got = meter.measure([t or "" for t in b.column(len(rest)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array(got[:, k]) for k in range(len(STATS)))], names=[*rest, *STATS])
 
-
-def gated_statistics(text: Column) -> dict[str, Column]:
-    """Statistics that need only be measured where the base ones leave them possible; zero elsewhere."""
-    c = F.col
-    words = c("n_spaces") + 1
-    symbols = c("n_chars") - c("n_letters") - c("n_digits") - c("n_spaces")
-    figures = c("n_digits") > 0.05 * c("n_chars")
-    few_ends = c("n_ends") * 12 < words
-    none = F.lit(0)
-
-    def gate(cond: Column, pattern: str) -> Column:
-        return F.when(cond, _n(text, pattern)).otherwise(none)
-
-    return {
-        "n_words": words,
-        "n_moji": F.when(c("n_letters") + c("n_digits") + c("n_spaces") < 0.95 * c("n_chars"), _chars(text, "ÐÑÃÂ�□■")).otherwise(F.when(few_ends, _chars(text, "ÐÑÃÂ")).otherwise(none)),
-        "n_bullets": gate(few_ends, r"(?:^|\s)(?:[•*–—‣◦▪·-](?=\s[^\s\d])|\(?(?:\p{L}|\d{1,2})[.)](?=\s\p{L}{3,})|\[\d{1,2}\])"),
-        "n_leaders": gate(F.contains(text, F.lit("....")) | F.contains(text, F.lit(". . .")), r"(?:\.\s?){4,}\s*\d"),
-        "n_gaps": gate(F.contains(text, F.lit("   ")), r"\S {3,}(?=\S)"),
-        "n_numbers": gate(figures, r"(?:^|[\s|>])[+-]?\d+(?:[.,]\d+)*%?(?=[\s|<]|$)"),
-        "n_delimited": gate(figures & (F.contains(text, F.lit(";")) | F.contains(text, F.lit(",")) | F.contains(text, F.lit("\t"))), r"[;,\t]\d+(?:\.\d+)?%?(?=[;,\t\s]|$)"),
-        "n_long": gate(figures, r"(?=[^\s]*\d)(?=[^\s]*\p{Lu})[\p{L}\d+/=]{24,}"),
-        "n_mixed": gate(figures, r"\p{Ll}\d\p{L}|\p{Lu}\d\p{L}|\p{L}\d\p{Lu}"),
-        "n_repeats": gate(c("n_chars") > 12 * words, r"([^\s.])\1{9,}"),
-        "n_unspaced": gate(c("n_chars") > 14 * words, r"[\p{Lo}\p{Mn}\p{Mc}]{16,}"),
-        "n_short": gate(symbols > 0.12 * c("n_chars"), r"(?:^|\s)[^\s\p{Lo}]{1,2}(?=\s|$)"),
-        "n_lower": gate(c("n_letters") <= 0.7 * c("n_chars"), r"(?:^|\s)\p{Ll}{4,}(?=[\s,.;])"),
-    }
-
-
-def document_statistics(text: Column, common: list[str]) -> dict[str, Column]:
-    """Further statistics of whole documents."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return {
-        "words": F.size(words),
-        "n_lines": F.size(F.split(text, "\n")),
-        "n_line_ends": _n(text, r"(?m)[.!?。！？।؟…][»”\"’)]?\s*$"),
-        "n_common": F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}’']+"), lambda w: w.isin(*common))) if common else F.lit(0),
-    }
+    kinds = dict(df.dtypes)
+    return df.select(*rest, "text").mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"{k} bigint" for k in STATS]))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -129,7 +169,8 @@ def vote_mask() -> Column:
     return mask.alias("votes")
 
 
-#: Class balance that the posteriors start from; a text on which all functions abstain is prose.
+#: Class balance of the posteriors; a text on which all functions abstain is prose. It stays as it is: learned along with the
+#: accuracies, it drifts to one kind, since the functions abstain on most texts of the rarer ones.
 BALANCE = np.array([0.4, 0.2, 0.2, 0.2])
 
 
@@ -169,12 +210,8 @@ def typed(df: DataFrame, common: list[str] | None = None, keep: list[str] | None
     The pattern counts come from one pass over all rows of ``df``; posteriors return as a map of at most
     ``2 ** N_VOTES`` entries (only those patterns that occur).
     """
-    rest = [c for c in df.columns if c != "text"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    st = df.select(*rest, text.alias("text"), *[e.alias(k) for k, e in base_statistics(text).items()])
-    more = gated_statistics(F.col("text")) | (document_statistics(F.col("text"), common) if common is not None else {})
-    st = st.select("*", *[e.alias(k) for k, e in more.items()]).withColumn("votes", vote_mask())
-    st = written(st.drop("text") if keep is None else st.select(*keep, "n_chars", "votes"), "textstats")
+    st = measured(df, common).withColumn("votes", vote_mask())
+    st = written(st if keep is None else st.select(*keep, "n_chars", "votes"), "textstats")
     counts = {r.votes: r["count"] for r in st.where("n_chars > 0").groupBy("votes").count().collect()}
     if not counts:
         return st.withColumn("kind", F.lit(None).cast("string")).withColumn("kind_prob", F.lit(None).cast("double"))
@@ -199,18 +236,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _common(spark: SparkSession, sf_dir: str) -> list[str]:
-    return sorted({r.word.lower() for r in table(spark, sf_dir, "common_words").select("word").limit(1000).collect() if r.word})
+    return sorted({r.word.lower() for r in table(spark, sf_dir, "common_words").select("word").distinct().collect() if r.word})
 
 
 def _reported(t: DataFrame, id_col: str) -> DataFrame:
     """The reported statistics, all of them measured on every text."""
     c = F.col
     return t.select(
-        id_col, c("words").alias("n_words"),
-        F.round(ratio(c("n_chars") - c("n_spaces"), c("words")), 6).alias("mean_word_len"),
+        id_col, "n_words",
+        F.round(ratio(c("n_chars") - c("n_spaces"), c("n_words")), 6).alias("mean_word_len"),
         F.round(ratio(c("n_chars") - c("n_letters") - c("n_digits") - c("n_spaces"), c("n_chars")), 6).alias("symbol_ratio"),
         F.round(ratio(c("n_line_ends"), c("n_lines")), 6).alias("line_end_share"),
-        F.round(ratio(c("n_common"), c("words")), 6).alias("common_share"),
+        F.round(ratio(c("n_common"), c("n_words")), 6).alias("common_share"),
         "kind", "kind_prob",
     )
 

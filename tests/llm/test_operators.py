@@ -153,6 +153,20 @@ def test_accuracies_learn_from_agreement():
     assert acc[a] > acc[b]
 
 
+def test_every_statistic_is_measured():
+    import regex
+
+    n = lambda p, t: len(regex.findall(p, t))
+    texts = ["", "One two. Three;4;5 six 12.5% | 7 |\n• lamp • 3 box a. word 2) two\t9;8", "aaaaaaaaaaaa bbb. Ccc.Ddd //  x // <td>9</td>", "x  y   z    w .... 12 . . . . 7", "[1] A [2] B", "Ð¿Ñ R2d2 4G5h3 ABCDEFGHIJKLMNOPQRSTUVWX1"]
+    got = [dict(zip(textstats.STATS, r)) for r in textstats.Meter(frozenset({"two", "box"})).measure(texts).tolist()]
+    for t, g in zip(texts, got):
+        assert g["n_chars"] == len(t) and g["n_words"] == len(t.split()) and g["n_pipes"] == t.count("|") and g["n_lines"] == len(t.split("\n"))
+        assert g["n_letters"] == n(r"[\p{L}\p{M}]", t) and g["n_digits"] == n(r"\p{Nd}", t) and g["n_spaces"] == t.count(" ") + t.count("\n")
+        assert g["n_mixed"] == n(textstats.COUNTED["n_mixed"], t) and g["n_moji"] == n(textstats.COUNTED["n_moji"], t) and g["n_cells"] == n("</?t", t)
+    assert (got[1]["n_bullets"], got[1]["n_numbers"], got[1]["n_delimited"], got[1]["n_common"]) == (3, 3, 4, 3)
+    assert (got[2]["n_repeats"], got[2]["n_refs"], got[2]["n_ends"]) == (1, 2, 1) and (got[3]["n_gaps"], got[3]["n_leaders"]) == (2, 2) and got[4]["n_bullets"] == 2 and got[5]["n_long"] == 1
+
+
 # -- 4 sentences ------------------------------------------------------------------------------------------------------
 
 CASES = [
