@@ -10,7 +10,7 @@ the threshold of rejection come from sentences held out. A stretch is rejected (
 probability is under ``Params.min_prob`` or when too few of its subwords were ever seen in training, which is what
 happens with mojibake, tables of figures and random characters.
 
-Null and empty texts get no language and no row. Repeated rows change nothing, since counts only rank languages of one
+Null and empty texts get no language and no row; a record whose text is rejected altogether has a row without a language. Repeated rows change nothing, since counts only rank languages of one
 record. Every document and block is scored whole.
 """
 
@@ -245,15 +245,31 @@ class Scorer:
         return lang, prob, count
 
 
+_MODELS: dict[tuple, Model] = {}
+
+
 def fit(spark: SparkSession, sf_dir: str, p: Params = Params()) -> Model:
-    """Train on at most ``p.sample_docs`` labelled documents, taken by hash over the whole table."""
+    """Train on at most ``p.sample_docs`` labelled documents, those of least hash in the whole table.
+
+    A session trains once for the same state of the tables: the model is kept under their paths, counts and parameters.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     n = docs.count()
-    if n > p.sample_docs:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * p.sample_docs * 0.9 / n))
-    pairs = [(r.text, lang) for r in docs.limit(p.sample_docs).collect() if r.text and (lang := label_of(r.lang))]
-    seeds = [(r.word, r.lang) for r in table(spark, sf_dir, "common_words").select("lang", "word").limit(1000).collect() if r.word and r.lang in LANGS]
-    return train(pairs, seeds, p)
+    key = (spark.sparkContext.applicationId, sf_dir, n, p)
+    if key in _MODELS:
+        return _MODELS[key]
+    share = 1.1 * (p.sample_docs + 100) / max(n, 1)
+    # a hash spread over the doubles from 0 to 1: the share may be as small as a double can be
+    spread = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    part = docs.where(spread < share) if share < 1 else docs
+    rows = part.orderBy(spread, "doc_id").limit(p.sample_docs).collect()
+    pairs = [(r.text, lang) for r in rows if r.text and (lang := label_of(r.lang))]
+    words = table(spark, sf_dir, "common_words").select("lang", "word").where(F.col("lang").isin(*LANGS) & F.col("word").isNotNull()).distinct()
+    seeds = [(r.word, r.lang) for r in words.orderBy("lang", "word").collect()]
+    while len(_MODELS) >= 8:
+        _MODELS.pop(next(iter(_MODELS)))
+    model = _MODELS[key] = train(pairs, seeds, p)
+    return model
 
 
 def language_counts(df: DataFrame, model: Model) -> DataFrame:
@@ -321,8 +337,11 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record: main language with confidence, languages with whole sentences, label."""
-    counts = language_counts(record_texts(spark, sf_dir), fit(spark, sf_dir))
+    """One row per record with text: main language with confidence (null where all its text is rejected), languages with whole sentences, label."""
+    texts = record_texts(spark, sf_dir)
+    counts = language_counts(texts, fit(spark, sf_dir))
+    # a record whose every stretch is rejected still has its row
+    counts = counts.unionByName(texts.select("tbl", F.col("rec_id").cast("bigint").alias("rec_id")).distinct(), allowMissingColumns=True)
     per = counts.groupBy("tbl", "rec_id").agg(
         F.max_by("lang", F.struct("chars", "lang")).alias("lang"),
         F.max_by("prob", F.struct("chars", "lang")).alias("confidence"),

@@ -2,13 +2,15 @@
 
 Tokens are those of a public byte-level tokenizer whose path is a parameter. ``water_fill`` gives every source its share
 of the wanted total, clamps sources at what their repetition cap allows and hands the rest to the others in proportion,
-until nothing exceeds its cap. Without a wanted total the largest one at which every share is met is taken. A source's
+until nothing exceeds its cap. The queries want as many tokens as the sources hold, so small sources are clamped and their
+excess goes to the others; without a wanted total the largest one at which every share is met is taken. A source's
 amount is then so many whole repetitions of all its records plus a seeded part of them: a histogram of the records'
 hash buckets finds the bucket in which the wanted tokens are reached, and only that bucket is ordered record by record.
 
 Records of sources without a target (or null) are not used; null and empty texts have zero tokens and come with the
 whole repetitions only. A source with a target but no tokens gets nothing, and its share goes to the others. Repeated
-rows of a ``doc_id`` count once. The token counts and the choice cover all rows.
+rows of a ``doc_id`` count once. The token counts and the choice cover all rows. More than ``Params.max_sources`` targets
+raise an error: the amounts are worked out on the driver, one row per source.
 """
 
 from __future__ import annotations
@@ -126,9 +128,12 @@ def mixture(spark: SparkSession, sf_dir: str, wanted_share: float | None = None,
     return choose(tok, water_fill(targets, totals, wanted), totals, p), targets, totals
 
 
+WANTED = 1.0  # wanted total of the queries, as a share of all tokens of the targeted sources
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen records with repeats, at the largest total at which every source has its share."""
-    return mixture(spark, sf_dir)[0]
+    """Chosen records with repeats when as many tokens are wanted as the sources hold: sources at their cap leave their excess to others."""
+    return mixture(spark, sf_dir, WANTED)[0]
 
 
 def _shares(spark: SparkSession, sf_dir: str, wanted_share: float | None) -> DataFrame:
@@ -140,10 +145,10 @@ def _shares(spark: SparkSession, sf_dir: str, wanted_share: float | None) -> Dat
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source at the largest total that meets all shares."""
-    return _shares(spark, sf_dir, None)
+    """Target and actual share of each source in ``p9_mix``."""
+    return _shares(spark, sf_dir, WANTED)
 
 
-def p9_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same when as many tokens are wanted as the sources hold: sources at their cap leave their excess to others."""
-    return _shares(spark, sf_dir, 1.0)
+def p9_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the largest total that meets all shares."""
+    return _shares(spark, sf_dir, None)

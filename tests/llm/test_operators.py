@@ -164,7 +164,7 @@ def test_every_statistic_is_measured():
         assert g["n_letters"] == n(r"[\p{L}\p{M}]", t) and g["n_digits"] == n(r"\p{Nd}", t) and g["n_spaces"] == t.count(" ") + t.count("\n")
         assert g["n_mixed"] == n(textstats.COUNTED["n_mixed"], t) and g["n_moji"] == n(textstats.COUNTED["n_moji"], t) and g["n_cells"] == n("</?t", t)
     assert (got[1]["n_bullets"], got[1]["n_numbers"], got[1]["n_delimited"], got[1]["n_common"]) == (3, 3, 4, 3)
-    assert (got[2]["n_repeats"], got[2]["n_refs"], got[2]["n_ends"]) == (1, 2, 1) and (got[3]["n_gaps"], got[3]["n_leaders"]) == (2, 2) and got[4]["n_bullets"] == 2 and got[5]["n_long"] == 1
+    assert (got[2]["n_repeats"], got[2]["n_refs"], got[2]["n_ends"]) == (1, 2, 2) and (got[3]["n_gaps"], got[3]["n_leaders"]) == (2, 2) and got[4]["n_bullets"] == 2 and got[5]["n_long"] == 1
 
 
 # -- 4 sentences ------------------------------------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def test_scan_equals_one_pass(classes):
 def test_sentence_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "no end"), (5, "A b. " * 30_000)], "id bigint, text string")
     got = sentences.sentence_spans(df, "id").groupBy("id").count().collect()
-    assert {x.id: x["count"] for x in got} == {4: 1, 5: 1} or {x.id for x in got} == {4, 5}
+    assert {x.id: x["count"] for x in got} == {4: 1, 5: len(sentences.split_texts(["A b. " * 30_000])[1])}
 
 
 # -- 5 scan noise -----------------------------------------------------------------------------------------------------
