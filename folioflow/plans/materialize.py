@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a temporary folder becomes it."""
+    """``spark.checkpoint.dir`` of the session. On one machine (tests) a temporary folder stands in; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    Results are read lazily, so the tables stay until ``drop_written`` or the end of the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _MADE or _MADE[-1][1] != folder:
+        _MADE.append((spark, folder))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> None:
+    """Delete the tables of this application; results that are not stored yet lose their source."""
+    while _MADE:
+        spark, folder = _MADE.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session has ended: its folder is left to the cluster
+            pass
+
+
+atexit.register(drop_written)
