@@ -2,28 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import stats as S
 
 
+def whole_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema: str, order: list[str] = ()) -> DataFrame:
+    """Run ``work`` on tables that hold whole groups, in the order of the keys; a group never spans two tables.
+
+    Groups are pages, regions or blocks, whose size is bounded by what a page holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.ones(b.num_rows, bool)  # rows that open a group
+            same = np.ones(b.num_rows - 1, bool)
+            for k in keys:
+                c = b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                same &= c[1:] == c[:-1]
+            new[1:] = ~same
+            new[0] = not held or any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != b.column(k)[0].as_py() for k in keys)
+            opens = np.flatnonzero(new)
+            if len(opens):
+                done = [*held, b.slice(0, int(opens[-1]))]
+                if sum(x.num_rows for x in done):
+                    yield work(pa.Table.from_batches(done).combine_chunks())
+                held = [b.slice(int(opens[-1]))]
+            else:
+                held.append(b)
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _bounds(part: pa.Table, keys: list[str]) -> np.ndarray:
+    """Bounds of the groups of a table ordered by its keys."""
+    if not part.num_rows:
+        return np.zeros(1, np.int64)
+    new = np.zeros(part.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        c = part[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), part.num_rows)
+
+
+BLOCK_ROWS = 512  # boxes of a group whose distances are held at once
+
+
 def neighbours(boxes: DataFrame, keys: list[str], idx: str, k: int) -> DataFrame:
     """(keys, a, b, distance, angle, box_a, box_b): the ``k`` nearest boxes of each box of its group; ties to the earlier index.
 
-    An equi-join on the group; groups are pages or blocks, whose size is bounded by what a page holds.
+    The boxes of a group meet once and distances are worked out in blocks of rows, so no pair but the nearest leaves the
+    worker. Boxes of an unknown group, or without a box, have no neighbours.
     """
-    a = boxes.select(*keys, F.col(idx).alias("a"), F.col("box").alias("box_a"))
-    b = boxes.select(*keys, F.col(idx).alias("b"), F.col("box").alias("box_b"))
-    pairs = a.join(b, keys).where("a <> b").withColumn("distance", G.gap_distance(F.col("box_a"), F.col("box_b")))
-    near = Window.partitionBy(*keys, "a").orderBy("distance", "b")
-    pairs = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-    return pairs.withColumn("angle", G.angle(F.col("box_a"), F.col("box_b")))
+    src = boxes.where(" and ".join(f"`{x}` is not null" for x in keys) + " and box is not null").select(*keys, F.col(idx).cast("bigint").alias("a"), *[F.col(f"box.{c}").cast("double").alias(c) for c in "xywh"])
+    kinds = dict(src.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", a bigint, b bigint, rank int, distance double, ia int, ib int, ax double, ay double, aw double, ah double, bx double, by double, bw double, bh double"
+
+    def nearest(part: pa.Table) -> pa.RecordBatch:
+        ids = part["a"].to_numpy()
+        x, y, w, h = (np.nan_to_num(part[c].to_numpy(), nan=0.0) for c in "xywh")
+        left, right, dist, rank = [], [], [], []
+        bounds = _bounds(part, keys)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            for at in range(lo, hi, BLOCK_ROWS):
+                r, c = slice(at, min(at + BLOCK_ROWS, hi)), slice(lo, hi)
+                dx = np.maximum(0.0, np.maximum(x[r, None] - (x[None, c] + w[None, c]), x[None, c] - (x[r, None] + w[r, None])))
+                dy = np.maximum(0.0, np.maximum(y[r, None] - (y[None, c] + h[None, c]), y[None, c] - (y[r, None] + h[r, None])))
+                d = np.sqrt(dx * dx + dy * dy)
+                rows = np.arange(r.stop - r.start)
+                d[rows, rows + at - lo] = np.inf
+                n = min(k, hi - lo - 1)
+                if n <= 0:
+                    continue
+                edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+                i, j = np.nonzero(d <= edge[:, None])
+                best = np.lexsort((ids[lo:hi][j], d[i, j], i))
+                i, j = i[best], j[best]
+                first = np.searchsorted(i, i)
+                no = np.arange(len(i)) - first
+                keep = no < n
+                left.append(i[keep] + at)
+                right.append(j[keep] + lo)
+                dist.append(d[i[keep], j[keep]])
+                rank.append(no[keep] + 1)
+        a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (left, right))
+        cols = [part[c].take(pa.array(a)).combine_chunks() for c in keys]
+        cols += [pa.array(ids[a]), pa.array(ids[b]), pa.array(np.concatenate(rank).astype(np.int32) if rank else np.zeros(0, np.int32)), pa.array(np.concatenate(dist) if dist else np.zeros(0))]
+        cols += [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(v[i]) for i in (a, b) for v in (x, y, w, h))]
+        return pa.RecordBatch.from_arrays(cols, names=[*keys, "a", "b", "rank", "distance", "ia", "ib", "ax", "ay", "aw", "ah", "bx", "by", "bw", "bh"])
+
+    n = whole_groups(src, keys, nearest, schema, ["a"])
+    box = lambda p: F.struct(*[F.col(p + c).alias(c) for c in "xywh"])
+    n = n.select(*keys, "a", "b", "rank", "distance", box("a").alias("box_a"), box("b").alias("box_b"))
+    return n.withColumn("angle", G.angle(F.col("box_a"), F.col("box_b")))
 
 
 def word_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 5, across: float = 2.5, down: float = 1.6) -> DataFrame:
@@ -61,10 +144,10 @@ def natural_breaks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return g.select(*keys, at.alias("break_at"), "p90")
 
 
-def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, gaps: Column | None = None) -> DataFrame:
+def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, gaps: DataFrame | None = None) -> DataFrame:
     """Edges between components of a raster: 90th percentile across, natural break down; none across a column gap.
 
-    ``gaps``: array of (l, r) column gaps of the group, or none. Without neighbours in a direction the limit is 1.5
+    ``gaps``: (keys, gaps) with an array of column gaps (l, r) of the group, or none. Without neighbours in a direction the limit is 1.5
     (across) or 2 (down) average heights.
     """
     n = neighbours(boxes, keys, idx, k).withColumn("flat", G.is_horizontal(F.col("angle")))
@@ -72,9 +155,9 @@ def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, ga
     down = natural_breaks(n.where("not flat"), keys, "distance").select(*keys, F.col("break_at").alias("_tv"))
     lim = boxes.groupBy(*keys).agg(F.avg("box.h").alias("_h")).join(across, keys, "left").join(down, keys, "left")
     lim = lim.select(*keys, F.when(F.col("_th") > 0, F.col("_th")).otherwise(F.col("_h") * 1.5).alias("th"), F.when(F.col("_tv") > 0, F.col("_tv")).otherwise(F.col("_h") * 2.0).alias("tv"))
-    e = n.join(lim, keys)
+    e = n.join(lim, keys) if gaps is None else n.join(lim, keys).join(gaps.select(*keys, "gaps"), keys, "left")
     ca, cb = F.col("box_a.x") + F.col("box_a.w") / 2, F.col("box_b.x") + F.col("box_b.w") / 2
-    crosses = F.lit(False) if gaps is None else F.exists(gaps, lambda g: ((g["l"] + g["r"]) / 2 > F.least(ca, cb)) & ((g["l"] + g["r"]) / 2 < F.greatest(ca, cb)))
+    crosses = F.lit(False) if gaps is None else F.coalesce(F.exists("gaps", lambda g: ((g["l"] + g["r"]) / 2 > F.least(ca, cb)) & ((g["l"] + g["r"]) / 2 < F.greatest(ca, cb))), F.lit(False))
     near = (F.col("flat") & (F.col("distance") <= F.col("th")) & ~crosses) | (~F.col("flat") & (F.col("distance") <= F.col("tv")) & G.overlaps_x(F.col("box_a"), F.col("box_b")))
     return e.where(near).select(*keys, "a", "b")
 
@@ -82,28 +165,28 @@ def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, ga
 def groups(nodes: DataFrame, edges: DataFrame, keys: list[str], idx: str) -> DataFrame:
     """Connected groups: each node with the least index of its group.
 
-    Nodes and edges of a group meet in one partition, ordered by key; a partition is read as Arrow batches and whole
-    groups of a batch are closed together by spreading least labels, so there is no call per page.
+    Nodes and edges of a group meet once, and all groups of a table are closed together by spreading least labels, so there
+    is no call per page. Nodes of an unknown group stand alone.
     """
-    both = nodes.select(*keys, F.col(idx).cast("bigint").alias("a"), F.col(idx).cast("bigint").alias("b")).unionByName(edges.select(*keys, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")))
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    own = nodes.select(*keys, F.col(idx).cast("bigint").alias("a"))
+    both = own.where(known).withColumn("b", F.col("a")).unionByName(edges.where(known).select(*keys, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")))
     kinds = dict(both.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{idx}` bigint, cluster bigint"
 
     def close(part: pa.Table) -> pa.RecordBatch:
         """Labels of all nodes of a table that holds whole groups."""
-        code = np.zeros(part.num_rows, np.int64)
-        for k in keys:
-            c = part[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            code = code * (c.max() + 2) + c + 1
+        bounds = _bounds(part, keys)
+        code = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         a, b = part["a"].to_numpy(), part["b"].to_numpy()
         own = np.flatnonzero(a == b)
-        ids = np.stack([code[own], a[own]], 1)
-        uniq, first = np.unique(ids, axis=0, return_index=True)  # ordered by group, then index: the least row is the least index
-        pos = {(g, n): i for i, (g, n) in enumerate(map(tuple, uniq.tolist()))}
+        own = own[np.lexsort((a[own], code[own]))]  # ordered by group, then index: the least row is the least index
+        own = own[np.concatenate([[True], (np.diff(code[own]) != 0) | (np.diff(a[own]) != 0)])] if len(own) else own
+        pos = {x: i for i, x in enumerate(zip(code[own].tolist(), a[own].tolist()))}
         link = np.flatnonzero(a != b)
         x = np.array([pos[k] for k in zip(code[link].tolist(), a[link].tolist())], np.int64)
         y = np.array([pos[k] for k in zip(code[link].tolist(), b[link].tolist())], np.int64)
-        label = np.arange(len(uniq))
+        label = np.arange(len(own))
         while len(link):
             before = label.copy()
             low = np.minimum(label[x], label[y])
@@ -112,22 +195,8 @@ def groups(nodes: DataFrame, edges: DataFrame, keys: list[str], idx: str) -> Dat
             label = label[label]
             if (label == before).all():
                 break
-        rows = pa.array(own[first])
-        return pa.RecordBatch.from_arrays([*[part[k].take(rows).combine_chunks() for k in keys], pa.array(uniq[:, 1]), pa.array(uniq[label, 1])], names=[*keys, idx, "cluster"])
+        rows = pa.array(own)
+        return pa.RecordBatch.from_arrays([*[part[k].take(rows).combine_chunks() for k in keys], pa.array(a[own]), pa.array(a[own][label])], names=[*keys, idx, "cluster"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            last = [t[k][t.num_rows - 1].as_py() for k in keys] if t.num_rows else []
-            cut = t.num_rows
-            while cut and [t[k][cut - 1].as_py() for k in keys] == last:
-                cut -= 1
-            if cut:
-                yield close(t.slice(0, cut).combine_chunks())
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield close(held.combine_chunks())
-
-    return both.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    out = whole_groups(both, keys, close, schema)
+    return out.unionByName(own.where(f"not ({known})").distinct().select(*keys, F.col("a").alias(idx), F.col("a").alias("cluster")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..schema import BOX, PAGE_KEY
+from ..schema import BOX, LINE, PAGE_KEY
 
 
 def islands(df: DataFrame, keys: list[str], start: Column, end: Column, order: list[Column], slack: float = 0.0, touch: bool = True, name: str = "island") -> DataFrame:
@@ -25,11 +25,19 @@ def islands(df: DataFrame, keys: list[str], start: Column, end: Column, order: l
 def reading_order(blocks: DataFrame, idx: str = "block_idx") -> DataFrame:
     """Add band and reading_no: bands of vertically overlapping blocks from top to bottom, inside a band by x.
 
-    Blocks have a height; one without never joins a band, so it is ordered by itself at its y.
+    A block joins a band only by an overlap greater than zero, so one without height is a band of its own; bands stand in
+    the order of their first block. A null box comes first, ties go by y and index.
     """
-    top = F.col("box.y")
-    b = islands(blocks, PAGE_KEY, top, top + F.col("box.h"), [F.col("box.y"), F.col(idx)], touch=False, name="band")
-    return b.withColumn("reading_no", (F.row_number().over(Window.partitionBy(*PAGE_KEY).orderBy("band", "box.x", "box.y", idx)) - 1).cast("int"))
+    c = F.col
+    by = Window.partitionBy(*PAGE_KEY).orderBy("box.y", idx)
+    tall = F.coalesce(c("box.h") > 0, F.lit(False))
+    d = blocks.withColumn("_before", F.max(F.when(tall, c("box.y") + c("box.h"))).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.struct(c("box.y").alias("y"), c(idx).alias("i"))
+    opens = F.when(tall & (c("_before").isNull() | (c("box.y") >= c("_before"))), own)
+    d = d.withColumn("_seed", F.when(tall, F.last(opens, True).over(by.rowsBetween(Window.unboundedPreceding, 0))).otherwise(own)).drop("_before")
+    page = Window.partitionBy(*PAGE_KEY)
+    d = d.withColumn("band", (F.dense_rank().over(page.orderBy("_seed")) - 1).cast("int"))
+    return d.withColumn("reading_no", (F.row_number().over(page.orderBy("band", "box.x", "box.y", idx)) - 1).cast("int")).drop("_seed")
 
 
 def build_lines(words: DataFrame, idx: str = "word_idx") -> DataFrame:
@@ -70,32 +78,37 @@ def split_paragraphs(lines: DataFrame, key: str = "block_id", no: str = "line_no
     return d.select(*lines.columns, "paragraph")
 
 
-MERGED = f"struct<label:string,confidence:double,box:{BOX},text:string,n:int>"
-
-
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     """Fold over a page's blocks in order (reading_no): a block that goes on the text of the one before joins it.
 
-    ``blocks``: page key, reading_no, label, confidence, box, lines (array of line boxes), text. Both labels are ``Text``,
-    both have lines, they share half of the narrower width, the gap is between -1 and 1.5 line heights, and the first
-    ends in a hyphen or, without a final mark, is followed by a small letter. The merged block feeds the next test.
+    ``blocks``: page key, reading_no, label, confidence, box, lines (array of text and box). Both labels are ``Text``, both
+    have lines, they share half of the narrower width, the gap is between -1 and 1.5 times the mean height of all lines
+    of both (lines without height left out), and the first ends in a hyphen or, without a final mark, is followed by a small
+    letter. A hyphen joins the two lines it stands between. The merged block, with its lines, feeds the next test.
+
+    (page key, merged_no, label, confidence, box, lines, blocks).
     """
-    item = F.struct("reading_no", "label", F.col("confidence").cast("double").alias("confidence"), "box", "text", F.col("line_height").cast("double").alias("lh"))
-    pages = blocks.groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_list(item)).alias("bs"))
-    state = "struct<label:string,confidence:double,box:" + BOX + ",text:string,n:int,lh:double>"
-    one = f"cast(named_struct('label', x.label, 'confidence', x.confidence, 'box', x.box, 'text', x.text, 'n', 1, 'lh', x.lh) as {state})"
+    heights = F.filter(F.transform("lines", lambda x: x["box"]["h"]), lambda h: h > 0)
+    item = F.struct("reading_no", "label", F.col("confidence").cast("double").alias("confidence"), "box", "lines", F.aggregate(heights, F.lit(0.0), lambda a, h: a + h).alias("hs"), F.size(heights).alias("hn"))
+    pages = blocks.withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{LINE}>"))).groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_list(item)).alias("bs"))
+    state = f"struct<label:string,confidence:double,box:{BOX},lines:array<{LINE}>,hs:double,hn:int,n:int>"
+    one = f"cast(named_struct('label', x.label, 'confidence', x.confidence, 'box', x.box, 'lines', x.lines, 'hs', x.hs, 'hn', x.hn, 'n', 1) as {state})"
     ox = "greatest(least(p.box.x + p.box.w, x.box.x + x.box.w) - greatest(p.box.x, x.box.x), 0D) / nullif(least(p.box.w, x.box.w), 0D)"
-    lh = "(coalesce(p.lh, 0D) + coalesce(x.lh, 0D)) / nullif(if(p.lh > 0, 1, 0) + if(x.lh > 0, 1, 0), 0)"
-    gap = "x.box.y - (p.box.y + p.box.h)"
-    ends = r"(trim(p.text) like '%-' or (not trim(p.text) rlike '[.!?:;]$' and x.text rlike '^\\p{Ll}'))"
-    test = f"coalesce(p.label = 'Text' and x.label = 'Text' and p.text <> '' and x.text <> '' and {ox} >= 0.5D and {lh} > 0 and {gap} >= -1.0D * ({lh}) and {gap} <= 1.5D * ({lh}) and {ends}, false)"
+    lh = "((p.hs + x.hs) / nullif(p.hn + x.hn, 0))"
+    gap = "(x.box.y - (p.box.y + p.box.h))"
+    last, first = r"regexp_replace(element_at(p.lines, -1).text, '[\\s\\x{A0}]+$', '')", r"regexp_replace(x.lines[0].text, '^[\\s\\x{A0}]+', '')"
+    goes_on = rf"({last} like '%-' or (length({last}) > 0 and not {last} rlike '[.!?:;]$' and {first} rlike '^\\p{{Ll}}'))"
+    test = f"coalesce(p.label = 'Text' and x.label = 'Text' and size(p.lines) > 0 and size(x.lines) > 0 and {ox} >= 0.5D and {lh} > 0 and {gap} >= -1.0D * {lh} and {gap} <= 1.5D * {lh} and {goes_on}, false)"
     u = "named_struct('x', least(p.box.x, x.box.x), 'y', least(p.box.y, x.box.y), 'w', greatest(p.box.x + p.box.w, x.box.x + x.box.w) - least(p.box.x, x.box.x), 'h', greatest(p.box.y + p.box.h, x.box.y + x.box.h) - least(p.box.y, x.box.y))"
-    glued = "if(trim(p.text) like '%-', concat(left(trim(p.text), length(trim(p.text)) - 1), x.text), concat(p.text, ' ', x.text))"
-    both = f"cast(named_struct('label', p.label, 'confidence', (p.confidence + x.confidence) / 2, 'box', {u}, 'text', {glued}, 'n', p.n + 1, 'lh', {lh}) as {state})"
+    glued = f"named_struct('text', concat(left({last}, length({last}) - 1), {first}), 'box', element_at(p.lines, -1).box)"
+    lines = f"if({last} like '%-', concat(slice(p.lines, 1, size(p.lines) - 1), array({glued}), slice(x.lines, 2, size(x.lines))), concat(p.lines, x.lines))"
+    # the heights are those of the lines that are left: a joined line keeps the first one's box
+    kept = f"if({last} like '%-' and x.lines[0].box.h > 0, x.lines[0].box.h, 0D)"
+    both = f"cast(named_struct('label', p.label, 'confidence', (p.confidence + x.confidence) / 2, 'box', {u}, 'lines', {lines}, 'hs', p.hs + x.hs - {kept}, 'hn', p.hn + x.hn - if({kept} > 0, 1, 0), 'n', p.n + x.n) as {state})".replace("p.n + x.n", "p.n + 1")
     fold = f"""aggregate(bs, cast(array() as array<{state}>), (a, x) -> if(size(a) = 0, array({one}),
         element_at(transform(array(element_at(a, -1)), p -> if({test}, array_append(slice(a, 1, size(a) - 1), {both}), array_append(a, {one}))), 1)))"""
     out = pages.select(*PAGE_KEY, F.posexplode(F.expr(fold)).alias("merged_no", "m"))
-    return out.select(*PAGE_KEY, "merged_no", F.col("m.label").alias("label"), F.col("m.confidence").alias("confidence"), F.col("m.box").alias("box"), F.col("m.text").alias("text"), F.col("m.n").alias("blocks"))
+    return out.select(*PAGE_KEY, "merged_no", F.col("m.label").alias("label"), F.col("m.confidence").alias("confidence"), F.col("m.box").alias("box"), F.col("m.lines").alias("lines"), F.col("m.n").alias("blocks"))
 
 
 def line_strips(runs: DataFrame, keys: list[str], pad: int = 4) -> DataFrame:

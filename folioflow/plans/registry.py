@@ -12,7 +12,7 @@ from ..functions import quality as Q
 from ..functions import sqlfuncs
 from ..functions import stats as S
 from ..operators import cluster, decode, layout, order, words
-from ..schema import ATOMIC, LABELS, PAGE_KEY, CascadeOptions, LayoutOptions
+from ..schema import ATOMIC, LABELS, LINE, PAGE_KEY, CascadeOptions
 from ..sources import files, sinks
 from . import cascade
 
@@ -293,12 +293,17 @@ def otsu_lengths(s, d):
     return _lengths(s, d).select("block_id", S.otsu(F.transform("v", lambda x: x.cast("int"))).cast("int").alias("threshold"))
 
 
-@query(f"""with v as (select extraction_id, page_no, length(text)::double as x, row_number() over (partition by extraction_id, page_no order by length(text), line_id) as i, count(*) over (partition by extraction_id, page_no) as n from {LINES} where text is not null),
-c as (select *, sum(x) over w as s, sum(x * x) over w as q, sum(x) over a as ts, sum(x * x) over a as tq, lead(x) over (partition by extraction_id, page_no order by i) as nx from v window w as (partition by extraction_id, page_no order by i rows unbounded preceding), a as (partition by extraction_id, page_no)),
-k as (select *, round(q - s * s / i + (tq - q) - (ts - s) * (ts - s) / (n - i), 6) as wss from c where i >= greatest(2, n // 10) and i <= greatest(n - greatest(2, n // 10), greatest(2, n // 10)) and i < n),
-b as (select extraction_id, page_no, arg_min({{'lo': x, 'hi': nx}}, {{'w': wss, 'i': i}}) as b from k where n >= 10 group by all),
-p as (select extraction_id, page_no, any_value(n) as n, max(x) as top, list_sort(list(x)) as s from v group by all)
-select p.extraction_id, p.page_no, round_even(case when n < 10 then top * 1.2 when b.b.hi >= 2 * greatest(1, b.b.lo) then (b.b.hi + b.b.lo) / 2 else s[least(n - 1, floor(n * 0.9)::int)::int + 1] end, 6) as break_at from p left join b on p.extraction_id = b.extraction_id and p.page_no = b.page_no""")
+def _sql_breaks(src: str, p: str) -> str:
+    """CTEs ending in {p}out (extraction_id, page_no, break_at, p90): natural break of ``src`` (extraction_id, page_no, x) per page."""
+    return f"""{p}v as (select extraction_id, page_no, x, row_number() over (partition by extraction_id, page_no order by x) as i, count(*) over (partition by extraction_id, page_no) as n from {src}),
+{p}c as (select *, sum(x) over w as s, sum(x * x) over w as q, sum(x) over a as ts, sum(x * x) over a as tq, lead(x) over (partition by extraction_id, page_no order by i) as nx from {p}v window w as (partition by extraction_id, page_no order by i rows unbounded preceding), a as (partition by extraction_id, page_no)),
+{p}k as (select *, round(q - s * s / i + (tq - q) - (ts - s) * (ts - s) / (n - i), 6) as wss from {p}c where i >= greatest(2, n // 10) and i <= greatest(n - greatest(2, n // 10), greatest(2, n // 10)) and i < n),
+{p}b as (select extraction_id, page_no, arg_min({{'lo': x, 'hi': nx}}, {{'w': wss, 'i': i}}) as b from {p}k where n >= 10 group by all),
+{p}p as (select extraction_id, page_no, any_value(n) as n, max(x) as top, list_sort(list(x)) as s from {p}v group by all),
+{p}out as (select p.extraction_id, p.page_no, case when n < 10 then top * 1.2 when b.b.hi >= 2 * greatest(1, b.b.lo) then (b.b.hi + b.b.lo) / 2 else s[least(n - 1, floor(n * 0.9)::int)::int + 1] end as break_at, s[least(n - 1, floor(n * 0.9)::int)::int + 1] as p90 from {p}p p left join {p}b b on p.extraction_id = b.extraction_id and p.page_no = b.page_no)"""
+
+
+@query(f"with {_sql_breaks(f'(select extraction_id, page_no, length(text)::double as x from {LINES} where text is not null)', 'j')} select extraction_id, page_no, round_even(break_at, 6) as break_at from jout")
 def jenks_lengths(s, d):
     """Natural break of the line lengths of a page."""
     v = lines_of(s, d).where("text is not null").select(*PAGE_KEY, F.length("text").alias("chars"))
@@ -380,9 +385,14 @@ def split_to_lines(s, d):
 # -- order ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with b as (select *, max(box.y + box.h) over (partition by extraction_id, page_no order by box.y, block_idx rows between unbounded preceding and 1 preceding) as m from {BLOCKS}),
-g as (select *, sum(case when m is null or box.y >= m then 1 else 0 end) over (partition by extraction_id, page_no order by box.y, block_idx rows unbounded preceding) - 1 as band from b)
-select extraction_id, page_no, block_idx, band::int as band, (row_number() over (partition by extraction_id, page_no order by band, box.x, box.y, block_idx) - 1)::int as reading_no from g""")
+def _sql_order(src: str) -> str:
+    """Blocks with band and reading_no: greedy bands; a block without height is one by itself."""
+    return f"""(select *, (row_number() over (partition by extraction_id, page_no order by band, box.x, box.y, block_idx) - 1)::int as reading_no from (select *, (dense_rank() over (partition by extraction_id, page_no order by seed.y, seed.i) - 1)::int as band
+ from (select *, case when tall then last_value(case when tall and (m is null or box.y >= m) then {{'y': box.y, 'i': block_idx}} end ignore nulls) over (partition by extraction_id, page_no order by box.y, block_idx rows unbounded preceding) else {{'y': box.y, 'i': block_idx}} end as seed
+ from (select *, coalesce(box.h > 0, false) as tall, max(case when box.h > 0 then box.y + box.h end) over (partition by extraction_id, page_no order by box.y, block_idx rows between unbounded preceding and 1 preceding) as m from {src}))))"""
+
+
+@query(f"select extraction_id, page_no, block_idx, band, reading_no from {_sql_order(BLOCKS)}")
 def reading_order(s, d):
     """Bands of blocks from top to bottom, inside a band from left to right."""
     return order.reading_order(blocks_of(s, d)).select(*PAGE_KEY, "block_idx", "band", "reading_no")
@@ -410,28 +420,36 @@ def paragraphs(s, d):
     return order.split_paragraphs(lines_of(s, d)).select("line_id", "block_id", "paragraph")
 
 
-def _mergeable(s, d):
-    b = blocks_of(s, d).where("text is not null and confidence between 0 and 1")
-    h = lines_of(s, d).where("box.h > 0").groupBy("block_id").agg(F.avg("box.h").alias("line_height"))
-    return order.reading_order(b.join(h, "block_id", "left")).withColumn("label", F.coalesce("label", F.lit("")))
+def lines_by_block(s, d) -> DataFrame:
+    """(block_id, lines): the lines of every block in order, with their boxes; lines without text leave."""
+    l = lines_of(s, d).where("text is not null and block_id is not null")
+    return l.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"))
+
+
+def blocks_with_lines(s, d) -> DataFrame:
+    """Every block, with its lines; those without have none."""
+    b = blocks_of(s, d).drop("text").withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))
+    return b.join(lines_by_block(s, d), "block_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{LINE}>")))
 
 
-@query(f"""with h as (select block_id, avg(box.h) as lh from {LINES} where box.h > 0 group by 1), b as (select b.*, lh, max(box.y + box.h) over (partition by extraction_id, page_no order by box.y, block_idx rows between unbounded preceding and 1 preceding) as m from {BLOCKS} b left join h on b.block_id = h.block_id where text is not null and confidence between 0 and 1),
-g as (select *, sum(case when m is null or box.y >= m then 1 else 0 end) over (partition by extraction_id, page_no order by box.y, block_idx rows unbounded preceding) as band from b),
-p as (select extraction_id, page_no, list({{'label': coalesce(label, ''), 'c': confidence, 'x': box.x, 'y': box.y, 'w': box.w, 'h': box.h, 't': text, 'n': 1::int, 'lh': lh}} order by band, box.x, box.y, block_idx) as bs from g group by all),
-f as (select extraction_id, page_no, list_reduce(bs, lambda a, x: case when len(a) > 0 and a[-1].label = 'Text' and x.label = 'Text' and a[-1].t <> '' and x.t <> '' and coalesce(greatest(least(a[-1].x + a[-1].w, x.x + x.w) - greatest(a[-1].x, x.x), 0) / nullif(least(a[-1].w, x.w), 0) >= 0.5, false)
- and coalesce((coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0), 0) > 0
- and x.y - (a[-1].y + a[-1].h) >= -1.0 * ((coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0))
- and x.y - (a[-1].y + a[-1].h) <= 1.5 * ((coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0))
- and (trim(a[-1].t) like '%-' or (not regexp_matches(trim(a[-1].t), '[.!?:;]$') and regexp_matches(x.t, '^\\p{{Ll}}')))
+_LAST = r"regexp_replace(a[-1].ls[-1].t, '[\s\x{A0}]+$', '')"
+_FIRST = r"regexp_replace(x.ls[1].t, '^[\s\x{A0}]+', '')"
+_LH = "((list_sum(list_filter(list_transform(list_concat(a[-1].ls, x.ls), lambda k: k.h), lambda h: h > 0))) / nullif(len(list_filter(list_concat(a[-1].ls, x.ls), lambda k: k.h > 0)), 0))"
+_MERGED = rf"""m0 as (select block_id, list({{'t': text, 'h': box.h}} order by line_no, line_id) as ls from {LINES} where text is not null and block_id is not null group by 1),
+m1 as (select b.* exclude (confidence), case when not isnan(b.confidence) then b.confidence end as confidence, coalesce(m0.ls, [{{'t': '', 'h': 0.0::double}}][1:0]) as ls from {BLOCKS} b left join m0 on b.block_id = m0.block_id),
+m2 as (select extraction_id, page_no, list({{'label': label, 'c': confidence, 'x': box.x, 'y': box.y, 'w': box.w, 'h': box.h, 'ls': ls, 'n': 1::int}} order by reading_no) as bs from {_sql_order('m1')} group by all),
+m3 as (select extraction_id, page_no, list_reduce(bs, lambda a, x: case when coalesce(len(a) > 0 and a[-1].label = 'Text' and x.label = 'Text' and len(a[-1].ls) > 0 and len(x.ls) > 0 and greatest(least(a[-1].x + a[-1].w, x.x + x.w) - greatest(a[-1].x, x.x), 0) / nullif(least(a[-1].w, x.w), 0) >= 0.5
+ and {_LH} > 0 and x.y - (a[-1].y + a[-1].h) >= -1.0 * {_LH} and x.y - (a[-1].y + a[-1].h) <= 1.5 * {_LH} and ({_LAST} like '%-' or (length({_LAST}) > 0 and not regexp_matches({_LAST}, '[.!?:;]$') and regexp_matches({_FIRST}, '^\p{{Ll}}'))), false)
  then list_append(a[1:-2], {{'label': a[-1].label, 'c': (a[-1].c + x.c) / 2, 'x': least(a[-1].x, x.x), 'y': least(a[-1].y, x.y), 'w': greatest(a[-1].x + a[-1].w, x.x + x.w) - least(a[-1].x, x.x), 'h': greatest(a[-1].y + a[-1].h, x.y + x.h) - least(a[-1].y, x.y),
-  't': case when trim(a[-1].t) like '%-' then left(trim(a[-1].t), length(trim(a[-1].t)) - 1) || x.t else a[-1].t || ' ' || x.t end, 'n': a[-1].n + 1, 'lh': (coalesce(a[-1].lh, 0) + coalesce(x.lh, 0)) / nullif((case when a[-1].lh > 0 then 1 else 0 end) + (case when x.lh > 0 then 1 else 0 end), 0)}})
- else list_append(a, x) end, bs[1:0]) as r from p), u as (select extraction_id, page_no, unnest(r) as m, generate_subscripts(r, 1) - 1 as merged_no from f)
-select extraction_id, page_no, merged_no::int as merged_no, m.n as blocks, round_even(m.c, 6) as confidence, round_even(m.h, 6) as height, length(m.t)::int as chars, m.t as text from u""")
+  'ls': case when {_LAST} like '%-' then list_concat(list_append(a[-1].ls[1:-2], {{'t': left({_LAST}, length({_LAST}) - 1) || {_FIRST}, 'h': a[-1].ls[-1].h}}), x.ls[2:]) else list_concat(a[-1].ls, x.ls) end, 'n': a[-1].n + 1}})
+ else list_append(a, x) end, bs[1:0]) as r from m2), m4 as (select extraction_id, page_no, unnest(r) as m, generate_subscripts(r, 1) - 1 as merged_no from m3)"""
+
+
+@query(f"""with {_MERGED} select extraction_id, page_no, merged_no::int as merged_no, m.label as label, m.n as blocks, len(m.ls)::int as lines, round_even(m.c, 6) as confidence, round_even(m.h, 6) as height, array_to_string(list_transform(m.ls, lambda k: k.t), chr(10)) as text from m4""")
 def merged_paragraphs(s, d):
-    """Blocks that go on the paragraph before them joined to it."""
-    m = order.merge_paragraphs(_mergeable(s, d))
-    return m.select(*PAGE_KEY, "merged_no", "blocks", r6(F.col("confidence")).alias("confidence"), r6(F.col("box.h")).alias("height"), F.length("text").alias("chars"), "text")
+    """Blocks that go on the paragraph before them joined to it, in reading order; all blocks count."""
+    m = order.merge_paragraphs(order.reading_order(blocks_with_lines(s, d)))
+    return m.select(*PAGE_KEY, "merged_no", "label", "blocks", F.size("lines").alias("lines"), r6(F.col("confidence")).alias("confidence"), r6(F.col("box.h")).alias("height"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
 
 
 def _intervals(s, d):
@@ -559,7 +577,14 @@ def component_filters(s, d):
     return kept.join(letters, "line_id", "left").select("line_id", "area", F.coalesce("letter", F.lit(False)).alias("letter"))
 
 
-@query()
+@query(f"""with recursive n as materialized (select *, ang <= 40 or ang >= 140 as flat from ({_KNN}) qualify row_number() over (partition by extraction_id, page_no, a order by dist, b) <= 10),
+{_sql_breaks('(select extraction_id, page_no, dist as x from n where flat)', 'f')}, {_sql_breaks('(select extraction_id, page_no, dist as x from n where not flat)', 'd')},
+l as (select h.extraction_id, h.page_no, case when fout.p90 > 0 then fout.p90 else hh * 1.5 end as th, case when dout.break_at > 0 then dout.break_at else hh * 2 end as tv from (select extraction_id, page_no, avg(box.h) as hh from {LINES} group by all) h
+ left join fout on h.extraction_id = fout.extraction_id and h.page_no = fout.page_no left join dout on h.extraction_id = dout.extraction_id and h.page_no = dout.page_no),
+e as (select n.extraction_id, n.page_no, a, b from n join l on n.extraction_id = l.extraction_id and n.page_no = l.page_no where flat and dist <= th or not flat and dist <= tv and ba.x <= bb.x + bb.w and bb.x <= ba.x + ba.w),
+u as (select extraction_id, page_no, a, b from e union select extraction_id, page_no, b, a from e),
+r as (select extraction_id, page_no, line_id as a, line_id as root from {LINES} union select u.extraction_id, u.page_no, u.b, r.root from r join u on r.extraction_id = u.extraction_id and r.page_no = u.page_no and r.a = u.a)
+select extraction_id, page_no, a as line_id, min(root) as cluster from r group by all""")
 def component_clusters(s, d):
     """Connected groups of components by percentile and natural-break thresholds."""
     l = lines_of(s, d)
@@ -714,23 +739,56 @@ def extraction_headers(s, d):
     return e.join(n, "extraction_id", "left").select("extraction_id", F.coalesce("blocks", F.lit(0)).alias("block_count"), sinks.rounded(F.col("s"), 2).alias("elapsed_seconds"), "confidence", "records")
 
 
-def _with_lines(s, d):
-    l = lines_of(s, d).where("text is not null").groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"))
-    b = blocks_of(s, d).drop("text").join(l, "block_id")
+def _headed(s, d) -> DataFrame:
+    """Every block with its lines under the header of its extraction; extractions without blocks come with none."""
     e = table(s, d, "extractions").groupBy("extraction_id").agg(F.max_by("input_file", "received_at").alias("input_file"), F.max_by("processed_at", "received_at").alias("processed_at"), F.max_by("elapsed_seconds", "received_at").alias("seconds"))
-    return b.join(e, "extraction_id")
+    return e.where("extraction_id is not null").join(blocks_with_lines(s, d), "extraction_id", "left")
 
 
-@query()
+_SQL_BOX = "printf('%.3f,%.3f,%.3f,%.3f', {0}.x, {0}.y, {0}.width, {0}.height)"
+_SQL_PRINT = {
+    "lines": f"coalesce(x.label, '-') || '|' || coalesce(printf('%.4f', x.confidence), '-') || '|' || {_SQL_BOX.format('x.box')} || '|' || array_to_string(list_transform(x.lines, lambda y: y.text || '@' || {_SQL_BOX.format('y.box')}), chr(10))",
+    "text": f"coalesce(x.label, '-') || '|' || coalesce(printf('%.4f', x.confidence), '-') || '|' || {_SQL_BOX.format('x.box')} || '|' || x.text",
+}
+
+
+def _sql_json(body: str) -> str:
+    box = lambda b: f"{{'x': {b}.x, 'y': {b}.y, 'width': {b}.w, 'height': {b}.h}}"
+    lines = f"list({{'text': text, 'box': {box('box')}}} order by line_no, line_id)" if body == "lines" else "regexp_replace(regexp_replace(string_agg(text, chr(10) order by line_no, line_id), '-\\n', '', 'g'), '\\n', ' ', 'g')"
+    none = f"[{{'text': '', 'box': {{'x': 0.0::double, 'y': 0.0::double, 'width': 0.0::double, 'height': 0.0::double}}}}][1:0]" if body == "lines" else "''"
+    return f"""with e as (select extraction_id, arg_max(input_file, received_at) as f, arg_max(processed_at, received_at) as p, arg_max(elapsed_seconds, received_at) as s from extractions where extraction_id is not null group by 1),
+l as (select block_id, {lines} as ls from {LINES} where text is not null and block_id is not null group by 1),
+b as (select b.extraction_id, count(*) as n, list({{'label': label, 'confidence': round_even(case when not isnan(confidence) then confidence end, 4), 'box': {box('b.box')}, '{body}': coalesce(ls, {none})}} order by page_no, block_idx, b.block_id) as bs from {BLOCKS} b left join l on b.block_id = l.block_id group by 1)
+select e.extraction_id, coalesce(n, 0)::int as blocks, f as input_file, p as processed_at, round_even(case when not isnan(s) then s end, 2) as seconds, coalesce(md5(array_to_string(list_transform(bs, lambda x: {_SQL_PRINT[body]}), chr(10))), '') as digest from e left join b on e.extraction_id = b.extraction_id"""
+
+
+def _json_checked(docs: DataFrame, body: str) -> DataFrame:
+    """The JSON of every extraction, read back: header, number of blocks, and a digest of all blocks in order."""
+    box = "struct<x:double,y:double,width:double,height:double>"
+    kind = f"struct<inputFile:string,processedAt:string,elapsedSeconds:double,blockCount:int,blocks:array<struct<label:string,confidence:double,box:{box},{'lines:array<struct<text:string,box:' + box + '>>' if body == 'lines' else 'text:string'}>>>"
+    at = lambda b: F.format_string("%.3f,%.3f,%.3f,%.3f", b["x"], b["y"], b["width"], b["height"])
+    num = lambda v: F.when(v.isNotNull(), F.format_string("%.4f", v)).otherwise("-")
+    text = lambda x: F.array_join(F.transform(x["lines"], lambda y: F.concat(y["text"], F.lit("@"), at(y["box"]))), "\n") if body == "lines" else x["text"]
+    one = lambda x: F.concat_ws("|", F.coalesce(x["label"], F.lit("-")), num(x["confidence"]), at(x["box"]), text(x))
+    j = docs.withColumn("j", F.from_json("json", kind))
+    all_blocks = F.array_join(F.transform("j.blocks", one), "\n")
+    return j.select("extraction_id", F.col("j.blockCount").alias("blocks"), F.col("j.inputFile").alias("input_file"), F.col("j.processedAt").alias("processed_at"), F.col("j.elapsedSeconds").alias("seconds"), F.when(F.size("j.blocks") > 0, F.md5(all_blocks)).otherwise("").alias("digest"))
+
+
+@query(_sql_json("lines"))
 def extraction_json(s, d):
-    """Detailed JSON of every extraction."""
-    return sinks.documents(_with_lines(s, d), ["extraction_id"], ["page_no", "block_idx"], F.col("seconds"))
+    """Detailed JSON of every extraction, with all of its blocks, read back."""
+    return _json_checked(sinks.documents(_headed(s, d), ["extraction_id"], ["page_no", "block_idx", "block_id"], F.col("seconds")), "lines")
 
 
-@query()
+@query(_sql_json("text"))
 def extraction_json_simple(s, d):
-    """Simple JSON of every extraction: text instead of lines."""
-    return sinks.documents(_with_lines(s, d), ["extraction_id"], ["page_no", "block_idx"], F.col("seconds"), detailed=False)
+    """Simple JSON of every extraction, text instead of lines, read back."""
+    return _json_checked(sinks.documents(_headed(s, d), ["extraction_id"], ["page_no", "block_idx", "block_id"], F.col("seconds"), detailed=False), "text")
+
+
+def _with_lines(s, d):
+    return _headed(s, d).where("size(lines) > 0")
 
 
 @query(f"""with b as (select b.extraction_id, b.page_no, b.block_idx, regexp_replace(regexp_replace(string_agg(l.text, chr(10) order by l.line_no, l.line_id), '-\\n', '', 'g'), '\\n', ' ', 'g') || chr(10) as p from {LINES} l join {BLOCKS} b on l.block_id = b.block_id where l.text is not null group by all)

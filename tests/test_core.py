@@ -49,13 +49,13 @@ def test_otsu_against_histogram(spark):
 
 
 def greedy_bands(boxes):
-    """Bands by growing: the next block from the top joins while it overlaps the band."""
+    """Bands by growing: the next block from the top joins when it overlaps the band by more than nothing."""
     left, bands = sorted(boxes, key=lambda b: (b[1], b[0])), []
     while left:
-        band, bottom = [left.pop(0)], None
-        bottom = band[0][1] + band[0][2]
+        band = [left.pop(0)]
+        top, bottom = band[0][1], band[0][1] + band[0][2]
         for b in list(left):
-            if b[1] < bottom:
+            if min(bottom, b[1] + b[2]) - max(top, b[1]) > 0:
                 band.append(b)
                 left.remove(b)
                 bottom = max(bottom, b[1] + b[2])
@@ -65,7 +65,7 @@ def greedy_bands(boxes):
 
 def test_reading_order_bands(spark):
     r = random.Random(2)
-    pages = {p: [(i, float(r.randint(0, 60)), float(r.randint(1, 15))) for i in range(8)] for p in range(40)}
+    pages = {p: [(i, float(r.randint(0, 60)), float(r.choice([0, 0, 1, 3, 8, 15]))) for i in range(8)] for p in range(40)}
     rows = [(p, 1, i, (float(r.randint(0, 50)), y, 5.0, h)) for p, bs in pages.items() for i, y, h in bs]
     got: dict = {}
     for x in order.reading_order(spark.createDataFrame(rows, B)).collect():
@@ -126,12 +126,50 @@ def test_lines_and_windows(spark):
     assert [(x.start, x.end) for x in order.pack_windows(s, ["k"]).orderBy("window_no").collect()] == [(0, 550), (560, 900)]
 
 
+def merged_by_hand(blocks):
+    """The same fold in plain Python: (label, confidence, box, lines)."""
+    out = []
+    for label, conf, box, lines in blocks:
+        if out:
+            pl, pc, pb, ps = out[-1]
+            hs = [h for _, (_, _, _, h) in ps + lines if h > 0]
+            inter, narrow = min(pb[0] + pb[2], box[0] + box[2]) - max(pb[0], box[0]), min(pb[2], box[2])
+            gap = box[1] - (pb[1] + pb[3])
+            if pl == label == "Text" and ps and lines and hs and inter > 0 and narrow > 0 and inter / narrow >= 0.5 and -sum(hs) / len(hs) <= gap <= 1.5 * sum(hs) / len(hs):
+                last, first = ps[-1][0].rstrip(), lines[0][0].lstrip()
+                if last.endswith("-") or last and last[-1] not in ".!?:;" and first[:1].islower():
+                    if last.endswith("-"):
+                        ps, lines = ps[:-1] + [(last[:-1] + first, ps[-1][1])], lines[1:]
+                    x, y = min(pb[0], box[0]), min(pb[1], box[1])
+                    out[-1] = (pl, (pc + conf) / 2, (x, y, max(pb[0] + pb[2], box[0] + box[2]) - x, max(pb[1] + pb[3], box[1] + box[3]) - y), ps + lines)
+                    continue
+        out.append((label, conf, box, lines))
+    return out
+
+
+MERGEABLE = f"extraction_id bigint, page_no int, reading_no int, label string, confidence double, box {BOX}, lines array<struct<text:string,box:{BOX}>>"
+
+
 def test_merge_paragraphs(spark):
-    rows = [(1, 1, 0, "Text", 0.8, (0.0, 0.0, 100.0, 10.0), "A word is bro-", 10.0), (1, 1, 1, "Text", 0.6, (0.0, 12.0, 90.0, 10.0), "ken here", 10.0), (1, 1, 2, "Text", 1.0, (0.0, 24.0, 90.0, 10.0), "and on it goes.", 10.0), (1, 1, 3, "Text", 1.0, (0.0, 36.0, 90.0, 10.0), "Not this.", 10.0), (1, 1, 4, "Title", 1.0, (0.0, 48.0, 90.0, 10.0), "nor this", None)]
-    df = spark.createDataFrame(rows, f"extraction_id bigint, page_no int, reading_no int, label string, confidence double, box {BOX}, text string, line_height double")
-    got = order.merge_paragraphs(df).orderBy("merged_no").collect()
-    assert [x.text for x in got] == ["A word is broken here and on it goes.", "Not this.", "nor this"]
-    assert got[0].blocks == 3 and abs(got[0].confidence - 0.85) < 1e-9 and got[0].box.h == 34.0
+    box = lambda y, h=10.0: (0.0, y, 90.0, h)
+    blocks = [("Text", 0.8, (0.0, 0.0, 100.0, 10.0), [("A word is bro- ", box(0.0))]), ("Text", 0.6, box(12.0), [(" ken here", box(12.0))]), ("Text", 1.0, box(24.0), [(" and on it goes.", box(24.0))]), ("Text", 1.0, box(36.0), [("Not this.", box(36.0))]), ("Title", 1.0, box(48.0), []), ("Text", 1.0, box(60.0), [])]
+    r = random.Random(6)
+    pages = [blocks, [("Text", 1.0, box(0.0, 30.0), [("one", box(0.0)), ("two", box(10.0)), ("three", box(20.0))]), ("Text", 1.0, box(47.0, 14.0), [("four", box(47.0, 14.0))])]]  # three lines of 10 and one of 14: a gap of 17 is too wide
+    for _ in range(60):
+        y, page = 0.0, []
+        for _ in range(6):
+            h = float(r.choice([8, 10, 14]))
+            lines = [(r.choice(["one ", " two-", "three.", " four five", "Six"]), (0.0, y + k * h, 90.0, r.choice([h, h, 0.0]))) for k in range(r.randint(0, 3))]
+            page.append((r.choice(["Text", "Text", "Text", "Title"]), r.random(), (float(r.choice([0, 0, 60])), y, 90.0, h * max(1, len(lines))), lines))
+            y += h * max(1, len(lines)) + r.choice([-9, 0, 5, 12, 17])
+        pages.append(page)
+    rows = [(n, 1, k, *b) for n, page in enumerate(pages) for k, b in enumerate(page)]
+    got: dict = {}
+    for x in order.merge_paragraphs(spark.createDataFrame(rows, MERGEABLE)).orderBy("extraction_id", "merged_no").collect():
+        got.setdefault(x.extraction_id, []).append((x.label, round(x.confidence, 9), tuple(x.box), [(l.text, tuple(l.box)) for l in x.lines]))
+    for n, page in enumerate(pages):
+        assert got[n] == [(a, round(c, 9), b, ls) for a, c, b, ls in merged_by_hand(page)], n
+    assert [len(b[3]) for b in got[0]] == [2, 1, 0, 0] and [t for t, _ in got[0][0][3]] == ["A word is broken here", " and on it goes."] and len(got[1]) == 2
 
 
 def test_median_filter_and_batches(spark):
@@ -260,9 +298,14 @@ def test_sinks(spark, tmp_path):
     assert json.loads(simple.first().json)["blocks"][0]["text"] == "broken ж"
     text = sinks.plain_text(df.withColumn("lines", F.transform("lines", lambda x: x["text"])), ["doc"], ["n"])
     assert text.first().text == "broken ж\n"
-    sinks.write_text(text, str(tmp_path / "t"), "doc")
-    sinks.write_json(simple, str(tmp_path / "j"), "doc")
-    assert os.path.isdir(tmp_path / "t" / "doc=1") and os.path.isdir(tmp_path / "j" / "doc=1")
+    named = simple.select("doc", "json", sinks.output_name(F.lit("in/scan.v2.pdf"), "simple").alias("name"))
+    sinks.write_documents(named, str(tmp_path / "d"), "json", "name")
+    assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "d")).collect()] == [("in/scan.v2_extracted_simple.json", named.first().json)]
+    sinks.write_files(named, str(tmp_path / "f"), "json", "name")
+    sinks.write_files(named, str(tmp_path / "f"), "json", "name")  # a task that runs again writes the same
+    assert json.loads((tmp_path / "f/in/scan.v2_extracted_simple.json").read_text())["blockCount"] == 2 and len(list((tmp_path / "f/in").iterdir())) == 1
+    bare = spark.createDataFrame([(7, None, "g.png", None, None, None, None, [])], df.schema)
+    assert json.loads(sinks.documents(bare, ["doc"], ["n"], F.lit(float("nan"))).first().json) == {"inputFile": "g.png", "blockCount": 0, "blocks": []}
 
 
 def test_cascade_and_models(spark):
@@ -328,3 +371,30 @@ def test_stream(spark, tmp_path):
 def test_empty_tables(spark):
     det, blk = spark.createDataFrame([], DETECTION), spark.createDataFrame([], B)
     assert layout.suppress(det).count() == layout.usable(det).count() == order.reading_order(blk).count() == layout.assign(det.drop("confidence"), blk).count() == 0
+
+
+def test_neighbours_against_all_pairs(spark):
+    r = random.Random(11)
+    pages = {p: [(i, (float(r.randint(0, 300)), float(r.randint(0, 300)), float(r.randint(0, 30)), float(r.randint(0, 20)))) for i in range(n)] for p, n in ((1, 1), (2, 3), (3, 700), (None, 4))}
+    df = spark.createDataFrame([(p, 1, i, b) for p, bs in pages.items() for i, b in bs], B)
+    got: dict = {}
+    for x in cluster.neighbours(df, ["extraction_id", "page_no"], "block_idx", 5).collect():
+        got.setdefault((x.extraction_id, x.a), []).append((x.rank, x.b, round(x.distance, 9)))
+
+    def gap(a, b):
+        dx, dy = max(0.0, a[0] - (b[0] + b[2]), b[0] - (a[0] + a[2])), max(0.0, a[1] - (b[1] + b[3]), b[1] - (a[1] + a[3]))
+        return round((dx * dx + dy * dy) ** 0.5, 9)
+
+    want = {(p, i): [(k, j, d) for k, (d, j) in enumerate(sorted((gap(b, c), j) for j, c in bs if j != i)[:5], 1)] for p, bs in pages.items() if p for i, b in bs if len(bs) > 1}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    nodes = cluster.groups(df, df.limit(0).select("extraction_id", "page_no", F.col("block_idx").alias("a"), F.col("block_idx").alias("b")), ["extraction_id", "page_no"], "block_idx")
+    assert nodes.count() == df.count() and nodes.where("block_idx <> cluster").isEmpty()
+
+
+def test_no_edge_crosses_a_column_gap(spark):
+    left, right = [(i, (0.0, 20.0 * i, 40.0, 10.0)) for i in range(12)], [(20 + i, (60.0, 20.0 * i, 40.0, 10.0)) for i in range(12)]
+    df = spark.createDataFrame([(1, 1, i, b) for i, b in left + right], B)
+    gaps = spark.createDataFrame([(1, 1, [(42.0, 58.0)])], "extraction_id bigint, page_no int, gaps array<struct<l:double,r:double>>")
+    cross = lambda e: {(x.a < 20) != (x.b < 20) for x in e.collect()}
+    keys = ["extraction_id", "page_no"]
+    assert True in cross(cluster.component_edges(df, keys, "block_idx")) and cross(cluster.component_edges(df, keys, "block_idx", gaps=gaps)) == {False}
