@@ -10,6 +10,11 @@ def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
 
 
+def model_scale(size: Column, side: int = 640) -> Column:
+    """Factor from the model's square to an image; 1 where the image has no size."""
+    return F.coalesce(F.nullif(size, F.lit(0)), F.lit(side)) / side
+
+
 def scaled(b: Column, sx: Column, sy: Column) -> Column:
     """Model space to image space."""
     return box(b["x"] * sx, b["y"] * sy, b["w"] * sx, b["h"] * sy)
@@ -44,18 +49,6 @@ def union_agg(b: Column) -> Column:
     return box(x, y, F.max(b["x"] + b["w"]) - x, F.max(b["y"] + b["h"]) - y)
 
 
-def union_pair(a: Column, b: Column) -> Column:
-    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
-    return box(x, y, F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y)
-
-
-def union_array(bs: Column) -> Column:
-    """The smallest box around an array of boxes."""
-    x, y = F.array_min(F.transform(bs, lambda b: b["x"])), F.array_min(F.transform(bs, lambda b: b["y"]))
-    right, bottom = F.array_max(F.transform(bs, lambda b: b["x"] + b["w"])), F.array_max(F.transform(bs, lambda b: b["y"] + b["h"]))
-    return box(x, y, right - x, bottom - y)
-
-
 def gap_distance(a: Column, b: Column) -> Column:
     """Distance between the nearest edges; zero when the boxes meet."""
     dx = F.greatest(F.lit(0.0), a["x"] - (b["x"] + b["w"]), b["x"] - (a["x"] + a["w"]))

@@ -26,10 +26,6 @@ def repeated_ratio(text: Column) -> Column:
     return _share(F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r)), text)
 
 
-def control_ratio(text: Column) -> Column:
-    return _share(F.regexp_count(text, F.lit(r"\p{Cc}")), text)
-
-
 def line_count_metric(lines: Column, chars: Column) -> Column:
     return F.when(chars == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), lines / chars))
 

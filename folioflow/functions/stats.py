@@ -63,23 +63,6 @@ def otsu(values: Column) -> Column:
     return F.when((n == 0) | F.coalesce(top <= 0, F.lit(True)), F.lit(0)).otherwise(F.when(best["g"] > 0, -best["t"]).otherwise(F.lit(0)))
 
 
-def jenks_break(values: Column) -> Column:
-    """Two-class natural break of a short array (quadratic; ``cluster.natural_breaks`` is the table form). Few values: 1.2 times the greatest; no clear gap: the 90th percentile."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    least = F.greatest(F.lit(2), F.floor(n / 10).cast("int"))
-
-    def spread(part: Column) -> Column:
-        m = F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
-        q = F.aggregate(part, F.lit(0.0), lambda a, v: a + v * v)
-        return q - m * m / F.size(part)
-
-    cuts = F.transform(F.sequence(least, F.greatest(n - least, least)), lambda k: F.struct(F.round(spread(F.slice(s, 1, k)) + spread(F.slice(s, k + 1, n - k)), 6).alias("wss"), k.alias("k")))
-    k = F.array_min(cuts)["k"]
-    hi, lo = at(s, k), at(s, k - 1)
-    return F.when(n == 0, F.lit(0.0)).when(n < 10, F.array_max(s) * 1.2).when(hi >= 2 * F.greatest(F.lit(1.0), lo), (hi + lo) / 2).otherwise(nearest_rank(values, 0.9))
-
-
 def adaptive_min_area(heights: Column) -> Column:
     """Square of a quarter of the interquartile mean of heights, at least 4."""
     s = F.array_sort(heights)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -89,26 +90,28 @@ def load_vocabulary(path: str) -> dict[int, str]:
 def share_out(text: str | None, widths: list[float] | None) -> str:
     """Share the characters of a text over spans by width, at least one each, by largest remainders (ties to the first).
 
-    Spans beyond the number of characters get none. Parts are joined by spaces. No text gives '', no spans the text.
+    Where narrow spans take more than there is, the spans furthest under their share give back, never their last one. Spans
+    beyond the number of characters get none. Parts are joined by spaces. Fewer than two spans, or spans without width, leave
+    the text whole; no text gives ''.
     """
-    text = text or ""
-    widths = [w for w in (widths or [])]
-    n, k = len(text), len(widths)
-    if not n or not k:
+    text, widths = text or "", list(widths or [])
+    n, total = len(text), sum(widths)
+    if not n or len(widths) < 2 or total <= 0:
         return text
-    total = sum(widths)
-    shares = [n * w / total if total > 0 else n / k for w in widths]
-    counts = [max(1, int(s)) for s in shares]
-    rest = [s - int(s) for s in shares]
-    over = sum(counts) - n
-    while over > 0 and any(c > 1 for c in counts):
-        i = min((i for i in range(k) if counts[i] > 1), key=lambda i: (rest[i], i))
-        counts[i] -= 1
-        over -= 1
-    for i in sorted(range(k), key=lambda i: (-rest[i], i)):
-        if sum(counts) >= n:
+    quotas = [w / total * n for w in widths]
+    counts = [max(1, int(q)) for q in quotas]
+    rest = [q - c for q, c in zip(quotas, counts)]
+    extra = n - sum(counts)
+    step = 1 if extra > 0 else -1
+    heap = [(-step * r, i) for i, r in enumerate(rest) if step > 0 or counts[i] > 1]
+    heapq.heapify(heap)
+    for _ in range(abs(extra)):
+        if not heap:
             break
-        counts[i] += 1
+        r, i = heapq.heappop(heap)
+        counts[i] += step
+        if step > 0 or counts[i] > 1:
+            heapq.heappush(heap, (r + 1, i))
     parts, at = [], 0
     for c in counts:
         if at >= n:

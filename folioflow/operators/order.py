@@ -40,24 +40,24 @@ def reading_order(blocks: DataFrame, idx: str = "block_idx") -> DataFrame:
     return d.withColumn("reading_no", (F.row_number().over(page.orderBy("band", "box.x", "box.y", idx)) - 1).cast("int")).drop("_seed")
 
 
-def build_lines(words: DataFrame, idx: str = "word_idx") -> DataFrame:
+def build_lines(words: DataFrame, idx: str = "word_idx", keys: list[str] = PAGE_KEY) -> DataFrame:
     """Words with bottom, left and height (points, origin bottom left) to line numbers.
 
     Words are taken from the top; a word opens a line when its bottom is further from the running mean of the line's
     bottoms than half the height of the line's first word. Inside a line words stand by their left edge.
     """
-    w = words.groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("bottom")).alias("o"), F.col(idx).alias("i"), F.col("left").alias("l"), F.col("height").alias("h"), F.col("text").alias("t")))).alias("ws"))
+    w = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("bottom")).alias("o"), F.col(idx).alias("i"), F.col("left").alias("l"), F.col("height").alias("h"), F.col("text").alias("t")))).alias("ws"))
     state = "struct<mean:double,n:int,tol:double,line:int,out:array<struct<line:int,l:double,i:bigint,t:string>>>"
     fold = f"""aggregate(ws, cast(named_struct('mean', 0D, 'n', 0, 'tol', 0D, 'line', -1, 'out', array()) as {state}),
         (a, x) -> if(a.n = 0 or abs(-x.o - a.mean) > a.tol,
             cast(named_struct('mean', -x.o, 'n', 1, 'tol', x.h * 0.5D, 'line', a.line + 1, 'out', array_append(a.out, named_struct('line', a.line + 1, 'l', x.l, 'i', cast(x.i as bigint), 't', x.t))) as {state}),
             cast(named_struct('mean', a.mean + (-x.o - a.mean) / (a.n + 1), 'n', a.n + 1, 'tol', a.tol, 'line', a.line, 'out', array_append(a.out, named_struct('line', a.line, 'l', x.l, 'i', cast(x.i as bigint), 't', x.t))) as {state})),
         a -> a.out)"""
-    return w.select(*PAGE_KEY, F.explode(F.expr(fold)).alias("w")).select(*PAGE_KEY, F.col("w.line").alias("line_no"), F.col("w.l").alias("left"), F.col("w.i").alias(idx), F.col("w.t").alias("text"))
+    return w.select(*keys, F.explode(F.expr(fold)).alias("w")).select(*keys, F.col("w.line").alias("line_no"), F.col("w.l").alias("left"), F.col("w.i").alias(idx), F.col("w.t").alias("text"))
 
 
-def line_texts(lines: DataFrame, idx: str = "word_idx") -> DataFrame:
-    return lines.groupBy(*PAGE_KEY, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", idx, "text"))), lambda x: x["text"]), " ").alias("text"))
+def line_texts(lines: DataFrame, idx: str = "word_idx", keys: list[str] = PAGE_KEY) -> DataFrame:
+    return lines.groupBy(*keys, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", idx, "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
 def split_paragraphs(lines: DataFrame, key: str = "block_id", no: str = "line_no") -> DataFrame:

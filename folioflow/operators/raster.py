@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from ..schema import PreprocessOptions
@@ -40,6 +42,12 @@ def otsu_grey(grey: np.ndarray) -> int:
     return int(var.argmax()) if var.max() > 0 else 127
 
 
+def dark(img: np.ndarray) -> np.ndarray:
+    """Pixels darker than the threshold of the image."""
+    g = luma(img)
+    return g < otsu_grey(g)
+
+
 def binarize(grey: np.ndarray) -> np.ndarray:
     """Ink mask by a global threshold; the darker side is ink on a light page, the lighter one on a dark page."""
     t = otsu_grey(grey)
@@ -95,24 +103,24 @@ def preprocess(img: np.ndarray, o: PreprocessOptions = PreprocessOptions()) -> n
     return np.where(adaptive_ink(g, o.block, o.c), 0, 255).astype(np.uint8) if o.binarize else g
 
 
+@lru_cache(maxsize=1024)
+def _taps(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Four sources and weights, (4, n) each, of a cubic resampling (B = C = 1/3) of m samples to n; edges are repeated."""
+    src = (np.arange(n) + 0.5) * m / n - 0.5
+    taps = np.floor(src).astype(int) + np.array([-1, 0, 1, 2])[:, None]
+    x = np.abs(src - taps)
+    w = np.where(x < 1, (7 * x**3 - 12 * x**2 + 16 / 3) / 6, np.where(x < 2, (-7 / 3 * x**3 + 12 * x**2 - 20 * x + 32 / 3) / 6, 0.0))
+    return np.clip(taps, 0, m - 1), (w / w.sum(0)).astype(np.float32)
+
+
 def resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Cubic resize (B = C = 1/3), separable, edges repeated."""
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        x = np.abs(x)
-        return np.where(x < 1, (7 * x**3 - 12 * x**2 + 16 / 3) / 6, np.where(x < 2, (-7 / 3 * x**3 + 12 * x**2 - 20 * x + 32 / 3) / 6, 0.0))
-
-    def along(a: np.ndarray, n: int) -> np.ndarray:
-        m = a.shape[0]
-        src = (np.arange(n) + 0.5) * m / n - 0.5
-        base = np.floor(src).astype(int)
-        taps = np.stack([base + k for k in (-1, 0, 1, 2)], 1)
-        wgt = kernel(src[:, None] - taps)
-        wgt /= wgt.sum(1, keepdims=True)
-        return np.einsum("nk,nk...->n...", wgt, a[np.clip(taps, 0, m - 1)])
-
-    out = along(img.astype(np.float64), h)
-    out = np.swapaxes(along(np.swapaxes(out, 0, 1), w), 0, 1)
+    """Cubic resize, separable."""
+    out = img.astype(np.float32)
+    for axis, n in ((0, h), (1, w)):
+        taps, weights = _taps(n, out.shape[axis])
+        shape = [1] * out.ndim
+        shape[axis] = n
+        out = sum(np.take(out, t, axis=axis) * v.reshape(shape) for t, v in zip(taps, weights))
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
@@ -276,9 +284,8 @@ def words_by_oversplit(img: np.ndarray, depth: int | None = None) -> list[tuple[
 
 
 def windows(img: np.ndarray, width: int = 600, gap: int = 10, least_ink: float = 0.0) -> list[tuple[int, int]]:
-    """Windows (first, last column) of a line for a recognizer of limited width; nearly empty ones leave when asked to."""
-    g = luma(img)
-    ink = g <= otsu_grey(g)
+    """Windows (first, last column) of a line, or of its ink mask, for a recognizer of limited width; nearly empty ones leave when asked to."""
+    ink = img if img.dtype == bool else dark(img)
     segs = runs(ink.any(0), gap)
     out: list[list[int]] = []
     for a, b in segs:

@@ -12,9 +12,10 @@ from ..functions import quality as Q
 from ..functions import sqlfuncs
 from ..functions import stats as S
 from ..operators import cluster, decode, layout, order, words
-from ..schema import ATOMIC, LABELS, LINE, PAGE_KEY, CascadeOptions
+from ..operators.models import Plugin
+from ..schema import ATOMIC, LABELS, LINE, PAGE_KEY, CascadeOptions, OcrOptions, WordSegmentation
 from ..sources import files, sinks
-from . import cascade
+from . import cascade, document, ocr
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -75,7 +76,7 @@ from detections d join page_info p on d.extraction_id = p.extraction_id and d.pa
 def scale_boxes(s, d):
     """Model space to image pixels."""
     j = table(s, d, "detections").join(table(s, d, "page_info").select(*PAGE_KEY, "img_w", "img_h"), PAGE_KEY)
-    return j.select(*PAGE_KEY, "det_idx", *flat(G.scaled(F.col("box"), F.col("img_w") / 640, F.col("img_h") / 640)))
+    return j.select(*PAGE_KEY, "det_idx", *flat(G.scaled(F.col("box"), G.model_scale(F.col("img_w")), G.model_scale(F.col("img_h")))))
 
 
 @query(f"""select d.extraction_id, d.page_no, det_idx, {sql_flat('box.x * pdf_w_pt / img_w', 'pdf_h_pt - (box.y + box.h) * pdf_h_pt / img_h', 'box.w * pdf_w_pt / img_w', 'box.h * pdf_h_pt / img_h')}
@@ -480,18 +481,10 @@ def _segments(s, d):
     return lines_of(s, d).where("text is not null").select("block_id", F.posexplode(F.split("text", " ")).alias("i", "w"), "line_no", "line_id").select("block_id", "line_no", "line_id", (F.col("i") * 120).alias("start"), (F.col("i") * 120 + F.length("w") * 12).alias("end"))
 
 
-@query(f"""with s as (select block_id, line_id, (i - 1) * 120 as st, (i - 1) * 120 + length(w) * 12 as en from (select block_id, line_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from {LINES} where text is not null and line_no = 0)),
-g as (select block_id, list({{'s': st::int, 'e': en::int}} order by st, en) as l from s group by block_id), f as (select block_id, list_reduce(l, lambda a, x: case when len(a) > 0 and x.e - a[-1].s + 1 <= 600 then list_append(a[1:-2], {{'s': a[-1].s, 'e': x.e}}) else list_append(a, x) end, l[1:0]) as r from g)
-select block_id, (generate_subscripts(r, 1) - 1)::int as window_no, unnest(r).s as st, unnest(r).e as en from f""")
-def packed_windows(s, d):
-    """Segments of the first line of a block packed into windows of at most 600 pixels."""
-    return order.pack_windows(_segments(s, d).where("line_no = 0"), ["block_id"]).withColumnsRenamed({"start": "st", "end": "en"})
-
-
 @query(f"""with s as (select line_id, (i - 1) * 120 as st, (i - 1) * 120 + length(w) * 12 as en from (select line_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from {LINES} where text is not null)),
 g as (select line_id, list({{'s': st::int, 'e': en::int}} order by st, en) as l from s group by line_id), f as (select line_id, list_reduce(l, lambda a, x: case when len(a) > 0 and x.e - a[-1].s + 1 <= 600 then list_append(a[1:-2], {{'s': a[-1].s, 'e': x.e}}) else list_append(a, x) end, l[1:0]) as r from g)
 select line_id, (generate_subscripts(r, 1) - 1)::int as window_no, unnest(r).s as st, unnest(r).e as en from f""")
-def packed_line_windows(s, d):
+def packed_windows(s, d):
     """Segments of every line packed into windows of at most 600 pixels."""
     return order.pack_windows(_segments(s, d), ["line_id"]).withColumnsRenamed({"start": "st", "end": "en"})
 
@@ -651,8 +644,8 @@ def utc_strings(s, d):
 def recognition_profile(s, d):
     """Counters of a recognition run by input: lines, pages, widths and shares."""
     p = lines_of(s, d).select("input_file", "page_no", F.col("box.w").cast("bigint").alias("w")).groupBy("input_file").agg(F.count(F.lit(1)).alias("batches"), F.count_distinct("page_no").alias("pages"), F.sum("w").alias("width_sum"), F.avg("w").alias("m"))
-    total = lines_of(s, d).count()
-    return p.select("input_file", "batches", "pages", "width_sum", r6(F.col("m")).alias("mean_width"), r6(F.lit(100.0) * F.col("batches") / F.lit(total)).alias("share"))
+    total = F.sum("batches").over(Window.partitionBy())  # one row per input
+    return p.select("input_file", "batches", "pages", "width_sum", r6(F.col("m")).alias("mean_width"), r6(F.lit(100.0) * F.col("batches") / total).alias("share"))
 
 
 # -- decoding ---------------------------------------------------------------------------------------------------------
@@ -693,11 +686,16 @@ def index_decode(s, d):
     return g.select("label", decode.indexes_to_text(F.transform("l", lambda x: x["i"]), SYMBOLS).alias("text"))
 
 
-@query()
+@query(f"""with g as (select block_id, list(box.w order by line_no, line_id) as ws from {LINES} where block_id is not null group by 1), t as (select b.block_id, b.text, length(b.text) as n, ws, list_sum(ws) as tw from {BLOCKS} b join g on b.block_id = g.block_id where b.text is not null),
+s as (select block_id, n, i, ws[i] / tw * n as q from (select *, unnest(range(1, len(ws) + 1)) as i from t where n > 0 and len(ws) > 1 and tw > 0)), c as (select *, greatest(1, trunc(q)::int) as c from s), r as (select *, q - c as r, n - sum(c) over (partition by block_id) as extra from c),
+up as (select block_id, i from r where extra > 0 qualify row_number() over (partition by block_id order by r desc, i) <= extra), dn as (select block_id, i, count(*) as m from (select block_id, i from (select *, unnest(range(0, c - 1)) as k from r where extra < 0) qualify row_number() over (partition by block_id order by r + k, i) <= -extra) group by all),
+f as (select r.block_id, r.i, r.n, c + case when up.i is not null then 1 else 0 end - coalesce(dn.m, 0) as c from r left join up on r.block_id = up.block_id and r.i = up.i left join dn on r.block_id = dn.block_id and r.i = dn.i),
+p as (select *, sum(c) over (partition by block_id order by i) - c as pos from f), j as (select p.block_id, string_agg(substr(t.text, pos::int + 1, c::int), ' ' order by p.i) as text from p join t on p.block_id = t.block_id where pos < p.n group by 1)
+select t.block_id, coalesce(j.text, t.text) as text from t left join j on t.block_id = j.block_id""")
 def distributed_chars(s, d):
     """Characters of a block's text shared out over the widths of its lines."""
     g = lines_of(s, d).groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "box"))), lambda x: x["box"]["w"]).alias("ws"))
-    b = table(s, d, "blocks").where("text is not null").dropDuplicates(["block_id"]).select("block_id", "text")
+    b = blocks_of(s, d).where("text is not null").select("block_id", "text")
     return b.join(g, "block_id").select("block_id", decode.shared_out(F.col("text"), F.col("ws")).alias("text"))
 
 
@@ -807,26 +805,136 @@ def sql_functions(s, d):
     return s.sql("select bround(upper_ratio(label), 2) as upper_share, count(*) as n from detections where label is not null group by 1")
 
 
-def _stage_blocks(s, d, extractor: int) -> DataFrame:
-    b = blocks_of(s, d).where("confidence between 0 and 1")
-    return b.where(F.col("block_idx") % 2 == extractor)
+# -- recognition of drawn pages -----------------------------------------------------------------------------------------
+
+
+def drawn_pages(s, d) -> DataFrame:
+    """Page images drawn from the recognized lines: every sign but a space is a dark cell of its line's box."""
+    import numpy as np
+    import pyarrow as pa
+
+    l = lines_of(s, d).where("text is not null and box is not null and extraction_id is not null and page_no is not null")
+    g = l.groupBy(*PAGE_KEY).agg(F.collect_list(F.struct("text", "box")).alias("ls"))
+
+    def draw(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                e, p, ls = (c[i].as_py() for c in b.columns)
+                img = np.full((int(max(x["box"]["y"] + x["box"]["h"] for x in ls)) + 8, int(max(x["box"]["x"] + x["box"]["w"] for x in ls)) + 8), 255, np.uint8)
+                for x in ls:
+                    t, q, left, step = int(x["box"]["y"]), int(x["box"]["y"] + x["box"]["h"]), x["box"]["x"], x["box"]["w"] / max(len(x["text"]), 1)
+                    for k, sign in enumerate(x["text"]):
+                        if not sign.isspace():
+                            img[t:q, int(left + k * step) : int(left + (k + 1) * step)] = 0
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((e, pa.int64()), (p, pa.int32()), (img.shape[1], pa.int32()), (img.shape[0], pa.int32()), (1, pa.int32()), (img.tobytes(), pa.binary()))], names=[*PAGE_KEY, "img_w", "img_h", "channels", "data"])
+
+    return g.mapInArrow(draw, "extraction_id bigint, page_no int, img_w int, img_h int, channels int, data binary")
+
+
+def _page_words(s, d) -> DataFrame:
+    """Lines of pages from PDF files stand for the words these bring along."""
+    pdf = table(s, d, "page_info").where("pdf_w_pt > 0").select(*PAGE_KEY).distinct()
+    return lines_of(s, d).where("text is not null and box is not null").join(pdf, PAGE_KEY).select(*PAGE_KEY, F.col("line_id").alias("word_idx"), "text", "box")
+
+
+def _shown(b: DataFrame) -> DataFrame:
+    return b.select(*PAGE_KEY, "det_idx", "block_idx", "label", r6(F.col("confidence")).alias("confidence"), F.size("lines").alias("lines"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"), *flat(F.col("box")))
+
+
+def _regions(s, d) -> DataFrame:
+    return layout.usable(table(s, d, "detections"))
+
+
+_DRAWN = f"""dl as (select extraction_id, page_no, text, box from {LINES} where text is not null and box is not null), dp as (select extraction_id, page_no, max(box.x + box.w)::double as pw, max(box.y + box.h)::double as ph from dl group by all),
+dr as (select d.extraction_id, d.page_no, det_idx, coalesce(nullif(trim(label), ''), 'Text') as label, box, greatest(trunc(box.x)::int, 0) as cx, greatest(trunc(box.y)::int, 0) as cy, least(trunc(box.w)::int, trunc(pw)::int + 8 - greatest(trunc(box.x)::int, 0)) as cw, least(trunc(box.h)::int, trunc(ph)::int + 8 - greatest(trunc(box.y)::int, 0)) as ch
+ from detections d join dp on d.extraction_id = dp.extraction_id and d.page_no = dp.page_no where confidence >= 0.25 and box.w > 0 and box.h > 0 and (coalesce(lower(label) = 'table', false) or box.h / box.w < 3.0))"""
+
+
+@query(f"""with {_DRAWN} select extraction_id, page_no, det_idx, (row_number() over (partition by extraction_id, page_no order by det_idx) - 1)::int as block_idx, label, 1.0::double as confidence, 1::int as lines, cw || 'x' || ch as text, {sql_flat('box.x', 'box.y', 'box.w', 'box.h')} from dr where cw > 0 and ch > 0""")
+def region_texts(s, d):
+    """A model that reads whole regions, over the crops of drawn pages."""
+    return _shown(ocr.region_blocks(drawn_pages(s, d), _regions(s, d), Plugin("stub"), split=False))
+
+
+@query(f"""with {_DRAWN} select extraction_id, page_no, det_idx, (row_number() over (partition by extraction_id, page_no order by det_idx) - 1)::int as block_idx, label, round_even(1 - (coalesce(rep, 0) / length(t)::double) / 3, 6) as confidence, 1::int as lines, t as text, {sql_flat('box.x', 'box.y', 'box.w', 'box.h')}
+ from (select *, cw || 'x' || ch as t, list_sum(list_transform(regexp_extract_all(cw || 'x' || ch, '0{{3,}}|1{{3,}}|2{{3,}}|3{{3,}}|4{{3,}}|5{{3,}}|6{{3,}}|7{{3,}}|8{{3,}}|9{{3,}}'), lambda z: length(z))) as rep from dr where cw > 0 and ch > 0)""")
+def heuristic_texts(s, d):
+    """A recognizer without scores over the crops: confidence by the penalties of the text."""
+    return _shown(ocr.heuristic_blocks(drawn_pages(s, d), _regions(s, d), Plugin("stub")))
+
+
+@query()
+def recognized_windows(s, d):
+    """Blocks of the detections: strips, windows of limited width, recognizer, assembly."""
+    return _shown(ocr.ocr_blocks(drawn_pages(s, d), _regions(s, d), Plugin("stub"), OcrOptions(segmentation=WordSegmentation.WINDOW)))
+
+
+@query()
+def recognized_words(s, d):
+    """The same word by word; lines without a clear split are read whole."""
+    return _shown(ocr.ocr_blocks(drawn_pages(s, d), _regions(s, d), Plugin("stub"), OcrOptions(segmentation=WordSegmentation.WORD)))
+
+
+@query()
+def recognized_clusters(s, d):
+    """The same with regions parted into groups of ink components."""
+    return _shown(ocr.ocr_blocks(drawn_pages(s, d), _regions(s, d), Plugin("stub"), OcrOptions(segmentation=WordSegmentation.PROPORTIONAL, cluster=True)))
+
+
+@query()
+def recognition_pieces(s, d):
+    """What the recognizer has to read, with its share of ink, after deskewing and thresholding small images."""
+    p = ocr.pieces(ocr.crops(drawn_pages(s, d), _regions(s, d)), OcrOptions(segmentation=WordSegmentation.WINDOW))
+    return p.select(*ocr.REGION, "comp_no", "line_no", "piece_no", "x0", "x1", F.round("ink", 4).alias("ink"), "img_w", "img_h")
+
+
+@query()
+def recognition_counters(s, d):
+    """Pieces, widths and errors of every region; its time is left out, as it is never the same."""
+    p = ocr.pieces(ocr.crops(drawn_pages(s, d), _regions(s, d)), OcrOptions(segmentation=WordSegmentation.WINDOW))
+    return ocr.profile(ocr.read(p, Plugin("stub"))).select(*ocr.REGION, "pieces", r6(F.col("mean_width")).alias("mean_width"), "errors")
+
+
+@query()
+def pages_to_json(s, d):
+    """From drawn pages and words to the JSON of every extraction: tables, cascade, reading order, merging, sink."""
+    blocks, _ = document.extract(drawn_pages(s, d), _page_words(s, d), table(s, d, "detections"))
+    e = table(s, d, "extractions").groupBy("extraction_id").agg(F.max_by("input_file", "received_at").alias("input_file"), F.max_by("processed_at", "received_at").alias("processed_at"), F.max_by("elapsed_seconds", "received_at").alias("seconds"))
+    return sinks.documents(e.join(blocks, "extraction_id"), ["extraction_id"], ["page_no", "merged_no"], F.col("seconds"))
+
+
+@query()
+def page_logs(s, d):
+    """Regions of every page by the stage that settled them."""
+    return document.extract(drawn_pages(s, d), _page_words(s, d), table(s, d, "detections"))[1]
+
+
+def _stage_blocks(s, d, extractor: str) -> DataFrame:
+    """Blocks of the extractions that an extractor made; those of none known come from the second."""
+    e = table(s, d, "extractions").groupBy("extraction_id").agg(F.max_by("extractor", F.struct("received_at", "extractor")).alias("extractor"))
+    made = e.where(F.coalesce("extractor", F.lit("L2")) == extractor).select("extraction_id")
+    conf = F.when(F.isnan("confidence") | (F.col("confidence") < 0), None).when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
+    return blocks_of(s, d).withColumn("confidence", F.coalesce(conf, F.lit(0.0))).join(made, "extraction_id", "left_semi")
 
 
-_CASCADE = f"""with b as (select * from {BLOCKS} where confidence between 0 and 1),
-o as (select b.extraction_id, b.page_no, b.block_idx, r.det_idx, b.confidence, b.block_idx % 2 as st, case when b.box.w * b.box.h > 0 then greatest(0, least(r.box.x + r.box.w, b.box.x + b.box.w) - greatest(r.box.x, b.box.x)) * greatest(0, least(r.box.y + r.box.h, b.box.y + b.box.h) - greatest(r.box.y, b.box.y)) / (b.box.w * b.box.h) else 0 end as overlap
+_CASCADE = f"""with x as (select extraction_id, arg_max(extractor, {{'a': received_at, 'b': extractor}}) as ex from extractions where extractor is not null or extraction_id not in (select extraction_id from extractions where extractor is not null) group by 1),
+b as (select b.* exclude (confidence), coalesce(case when isnan(confidence) or confidence < 0 then null when confidence > 1 then confidence / 100 else confidence end, 0) as confidence, coalesce(ex, 'L2') as st from {BLOCKS} b join x on b.extraction_id = x.extraction_id),
+o as (select b.extraction_id, b.page_no, b.block_idx, r.det_idx, b.confidence, st, case when b.box.w * b.box.h > 0 then greatest(0, least(r.box.x + r.box.w, b.box.x + b.box.w) - greatest(r.box.x, b.box.x)) * greatest(0, least(r.box.y + r.box.h, b.box.y + b.box.h) - greatest(r.box.y, b.box.y)) / (b.box.w * b.box.h) else 0 end as overlap
  from b join detections r on b.extraction_id = r.extraction_id and b.page_no = r.page_no),
-o1 as (select * from o where st = 0 and overlap >= 0.5), d1 as (select extraction_id, page_no, det_idx from o1 group by all having avg(confidence) >= 0.75),
-o2 as (select o.* from o anti join d1 on o.extraction_id = d1.extraction_id and o.page_no = d1.page_no and o.det_idx = d1.det_idx where st = 1 and overlap >= 0.5 qualify row_number() over (partition by o.extraction_id, o.page_no, o.block_idx order by overlap desc, o.det_idx) = 1),
-d2 as (select extraction_id, page_no, det_idx from o2 group by all having avg(confidence) >= 0.75)
+o1 as (select * from o where st = 'L1' and overlap >= 0.5), d1 as (select extraction_id, page_no, det_idx from o1 group by all having avg(confidence) >= 0.75),
+o2 as (select o.* from o anti join d1 on o.extraction_id = d1.extraction_id and o.page_no = d1.page_no and o.det_idx = d1.det_idx where st = 'L2' and overlap >= 0.5 qualify row_number() over (partition by o.extraction_id, o.page_no, o.block_idx order by overlap desc, o.det_idx) = 1),
+d2 as (select extraction_id, page_no, det_idx from o2 group by all having avg(confidence) >= 0.75), r as (
 select o1.extraction_id, o1.page_no, o1.det_idx, o1.block_idx, 'L1' as stage from o1 semi join d1 on o1.extraction_id = d1.extraction_id and o1.page_no = d1.page_no and o1.det_idx = d1.det_idx
-union all select o2.extraction_id, o2.page_no, o2.det_idx, o2.block_idx, 'L2' from o2 semi join d2 on o2.extraction_id = d2.extraction_id and o2.page_no = d2.page_no and o2.det_idx = d2.det_idx"""
+union all select o2.extraction_id, o2.page_no, o2.det_idx, o2.block_idx, 'L2' from o2 semi join d2 on o2.extraction_id = d2.extraction_id and o2.page_no = d2.page_no and o2.det_idx = d2.det_idx)
+select * from r union all select d.extraction_id, d.page_no, d.det_idx, null, 'pending' from detections d anti join d1 on d.extraction_id = d1.extraction_id and d.page_no = d1.page_no and d.det_idx = d1.det_idx anti join d2 on d.extraction_id = d2.extraction_id and d.page_no = d2.page_no and d.det_idx = d2.det_idx"""
 
 
 @query(_CASCADE)
 def document_extraction(s, d):
-    """The cascade over prepared extractor output: even blocks come from the first stage, odd ones from the second."""
+    """The cascade over prepared extractor output: each stage offers the blocks that its extractor made; what neither settles is pending."""
     det = table(s, d, "detections").drop("confidence")
     on_pages = lambda b: (lambda pending: b.join(pending.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_semi"))
-    stages = [cascade.Stage("L1", on_pages(_stage_blocks(s, d, 0)), exclusive=False), cascade.Stage("L2", on_pages(_stage_blocks(s, d, 1)))]
-    settled, _ = cascade.run(det, stages)
-    return settled.select(*PAGE_KEY, "det_idx", "block_idx", "stage")
+    stages = [cascade.Stage("L1", on_pages(_stage_blocks(s, d, "L1")), exclusive=False), cascade.Stage("L2", on_pages(_stage_blocks(s, d, "L2")))]
+    settled, pending = cascade.run(det, stages)
+    left = pending.select(*PAGE_KEY, "det_idx", F.lit(None).cast("int").alias("block_idx"), F.lit("pending").alias("stage"))
+    return settled.select(*PAGE_KEY, "det_idx", "block_idx", "stage").unionByName(left)

@@ -20,6 +20,9 @@ ATOMIC = ("title", "section header", "caption", "page header", "page footer")
 IMAGE_TYPES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 
 
+# The names of the modes and the defaults of the options below define behaviour.
+
+
 class WordSegmentation(Enum):
     NONE = "None"
     WORD = "WordLevelOcr"
@@ -42,6 +45,7 @@ class CascadeOptions:
     strong_words: int = 50
     max_control: float = 0.05
     max_word_iou: float = 0.3
+    max_chars: int | None = None  # a page with more characters among its first words is no strong text
 
 
 @dataclass(frozen=True)
@@ -50,8 +54,10 @@ class OcrOptions:
     cluster: bool = False
     batch: int = 32
     line_height: int = 48
-    max_width: int = 1280
     window: int = 600
+    min_gap: int = 10  # columns without ink that part words of a window
+    pad: int = 4  # columns kept on either side of a window
+    min_ink: float = 0.0
     top_pad: int = 4
     median_ratio: float = 0.5
 

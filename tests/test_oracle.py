@@ -41,7 +41,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_line_is_packed(spark):
-    got = {r.line_id for r in registry.queries()["packed_line_windows"](spark, SF).select("line_id").distinct().collect()}
+    got = {r.line_id for r in registry.queries()["packed_windows"](spark, SF).select("line_id").distinct().collect()}
     assert got == {r.line_id for r in registry.lines_of(spark, SF).where("text is not null").select("line_id").collect()}
 
 
