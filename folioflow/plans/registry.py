@@ -56,14 +56,20 @@ def sql_flat(x: str, y: str, w: str, h: str, prefix: str = "b") -> str:
     return ", ".join(f"round_even({e}, 6) as {prefix}{k}" for k, e in zip("xywh", (x, y, w, h)))
 
 
-def lines_of(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "text_lines").where("line_id is not null").dropDuplicates(["line_id"])
+def distinct_by(df: DataFrame, key: str, by: list[str] | None) -> DataFrame:
+    """Exact copies of a row once. With ``by``, the group that is formed next, copies meet in the exchange of that group."""
+    return df.dropDuplicates([key]) if by is None else df.repartition(*[F.col(c) for c in by]).dropDuplicates([*by, key])
 
 
-def blocks_of(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "blocks").where("block_id is not null").dropDuplicates(["block_id"])
+def lines_of(s: SparkSession, d: str, by: list[str] | None = None) -> DataFrame:
+    return distinct_by(table(s, d, "text_lines").where("line_id is not null"), "line_id", by)
 
 
+def blocks_of(s: SparkSession, d: str, by: list[str] | None = None) -> DataFrame:
+    return distinct_by(table(s, d, "blocks").where("block_id is not null"), "block_id", by)
+
+
+BLOCK_KEY = ["block_id"]
 LINES = "(select distinct on (line_id) * from text_lines order by line_id)"
 BLOCKS = "(select distinct on (block_id) * from blocks order by block_id)"
 B2 = "b.box.x, b.box.y, b.box.w, b.box.h"
@@ -110,7 +116,7 @@ def crop_rects(s, d):
 def component_to_page(s, d):
     """Boxes local to a block moved to the page."""
     b = table(s, d, "blocks").select("block_id", F.col("box").alias("outer")).dropDuplicates(["block_id"])
-    return lines_of(s, d).join(b, "block_id").select("line_id", *flat(G.moved(F.col("box"), F.col("outer.x"), F.col("outer.y"))))
+    return lines_of(s, d, BLOCK_KEY).join(b, "block_id").select("line_id", *flat(G.moved(F.col("box"), F.col("outer.x"), F.col("outer.y"))))
 
 
 @query("""select extraction_id, page_no, det_idx, coalesce(nullif(trim(label), ''), 'Text') as label, case when class_idx between 0 and 10 then ['""" + "','".join(LABELS) + """'][class_idx + 1] else 'Class_' || class_idx end as class_label,
@@ -124,7 +130,7 @@ def class_labels(s, d):
 @query(f"""select extraction_id, page_no, {sql_flat('min(box.x)', 'min(box.y)', 'max(box.x + box.w) - min(box.x)', 'max(box.y + box.h) - min(box.y)')}, count(*) as n from {LINES} group by all""")
 def union_boxes(s, d):
     """The box around all lines of a page."""
-    return lines_of(s, d).groupBy(*PAGE_KEY).agg(G.union_agg(F.col("box")).alias("u"), F.count(F.lit(1)).alias("n")).select(*PAGE_KEY, *flat(F.col("u")), "n")
+    return lines_of(s, d, PAGE_KEY).groupBy(*PAGE_KEY).agg(G.union_agg(F.col("box")).alias("u"), F.count(F.lit(1)).alias("n")).select(*PAGE_KEY, *flat(F.col("u")), "n")
 
 
 _PAIR = """select *, greatest(0, least(ax + aw, cx + cw) - greatest(ax, cx)) * greatest(0, least(ay + ah, cy + ch) - greatest(ay, cy)) as i,
@@ -163,7 +169,7 @@ def strict_confidence(s, d):
 select line_id, block_id, box.h as h from m where n < 3 or box.h >= m * 0.5 or top < m * 0.5""")
 def median_height_lines(s, d):
     """Lines that are not much lower than the median of their block."""
-    return order.median_height_filter(lines_of(s, d), ["block_id"]).select("line_id", "block_id", F.col("box.h").alias("h"))
+    return order.median_height_filter(lines_of(s, d, BLOCK_KEY), ["block_id"]).select("line_id", "block_id", F.col("box.h").alias("h"))
 
 
 @query("""select line_id from text_lines where regexp_matches(text, '\\S') and box.h >= 3 and box.w >= 2 group by line_id""")
@@ -179,7 +185,7 @@ def visible_lines(s, d):
  where l.box.x >= r.box.x and l.box.y >= r.box.y and l.box.x + l.box.w <= r.box.x + r.box.w and l.box.y + l.box.h <= r.box.y + r.box.h""")
 def words_in_regions(s, d):
     """Lines lying wholly inside a detection."""
-    return layout.words_in_regions(lines_of(s, d), table(s, d, "detections")).select("line_id", "det_idx")
+    return layout.words_in_regions(lines_of(s, d, PAGE_KEY), table(s, d, "detections")).select("line_id", "det_idx")
 
 
 _OV = f"""select b.extraction_id, b.page_no, b.block_idx, r.det_idx, b.confidence,
@@ -190,14 +196,14 @@ _OV = f"""select b.extraction_id, b.page_no, b.block_idx, r.det_idx, b.confidenc
 @query(f"select extraction_id, page_no, block_idx, det_idx, round_even(overlap, 6) as overlap from ({_OV}) where overlap >= 0.5")
 def overlap_pairs(s, d):
     """Blocks with every detection they overlap by half."""
-    b = blocks_of(s, d)
+    b = blocks_of(s, d, PAGE_KEY)
     return layout.overlaps(table(s, d, "detections"), b).select(*PAGE_KEY, "block_idx", "det_idx", r6(F.col("overlap")).alias("overlap"))
 
 
 @query(f"select extraction_id, page_no, block_idx, det_idx, round_even(overlap, 6) as overlap from ({_OV}) where overlap >= 0.5 qualify row_number() over (partition by extraction_id, page_no, block_idx order by overlap desc, det_idx) = 1")
 def assigned_blocks(s, d):
     """Each block with the one detection it overlaps most."""
-    b = blocks_of(s, d)
+    b = blocks_of(s, d, PAGE_KEY)
     return layout.assign(table(s, d, "detections"), b).select(*PAGE_KEY, "block_idx", "det_idx", r6(F.col("overlap")).alias("overlap"))
 
 
@@ -258,7 +264,7 @@ def line_clusters(s, d):
 
 
 def _lengths(s, d):
-    return lines_of(s, d).where("text is not null").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", F.length("text").alias("n")))).alias("ls")).select("block_id", F.transform("ls", lambda x: x["n"].cast("double")).alias("v"))
+    return lines_of(s, d, BLOCK_KEY).where("text is not null").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", F.length("text").alias("n")))).alias("ls")).select("block_id", F.transform("ls", lambda x: x["n"].cast("double")).alias("v"))
 
 
 _LEN = f"(select block_id, list(length(text)::double order by line_no, line_id) as v, list_sort(list(length(text)::double)) as s from {LINES} where text is not null group by block_id)"
@@ -282,7 +288,7 @@ def length_ranks(s, d):
 select extraction_id, page_no, case when len(mid) = 0 then 4 else greatest(4, floor(power(list_sum(mid) / len(mid) * 0.25, 2))::int) end as least_area from m""")
 def adaptive_area(s, d):
     """Least component area of a page from the middle half of its heights."""
-    g = lines_of(s, d).groupBy(*PAGE_KEY).agg(F.collect_list("box.h").alias("hs"))
+    g = lines_of(s, d, PAGE_KEY).groupBy(*PAGE_KEY).agg(F.collect_list("box.h").alias("hs"))
     return g.select(*PAGE_KEY, S.adaptive_min_area(F.col("hs")).alias("least_area"))
 
 
@@ -307,14 +313,14 @@ def _sql_breaks(src: str, p: str) -> str:
 @query(f"with {_sql_breaks(f'(select extraction_id, page_no, length(text)::double as x from {LINES} where text is not null)', 'j')} select extraction_id, page_no, round_even(break_at, 6) as break_at from jout")
 def jenks_lengths(s, d):
     """Natural break of the line lengths of a page."""
-    v = lines_of(s, d).where("text is not null").select(*PAGE_KEY, F.length("text").alias("chars"))
+    v = lines_of(s, d, PAGE_KEY).where("text is not null").select(*PAGE_KEY, F.length("text").alias("chars"))
     return cluster.natural_breaks(v, PAGE_KEY, "chars").select(*PAGE_KEY, r6(F.col("break_at")).alias("break_at"))
 
 
 @query(f"""select extraction_id, page_no, det_idx, round_even(avg(confidence), 6) as mean_confidence, count(*) as blocks from (select * from ({_OV}) where overlap >= 0.5 and confidence between 0 and 1 qualify row_number() over (partition by extraction_id, page_no, block_idx order by overlap desc, det_idx) = 1) group by all having avg(confidence) >= 0.75""")
 def confidence_gate(s, d):
     """Detections whose blocks are sure enough on average."""
-    b = blocks_of(s, d).where("confidence between 0 and 1")
+    b = blocks_of(s, d, PAGE_KEY).where("confidence between 0 and 1")
     pairs = layout.assign(table(s, d, "detections").drop("confidence"), b)
     return cascade.gate(pairs, CascadeOptions()).select(*PAGE_KEY, "det_idx", r6(F.col("mean_confidence")).alias("mean_confidence"), "blocks")
 
@@ -328,7 +334,7 @@ def class_diagnostics(s, d):
 @query(f"""select block_id, string_agg(trim(text, chr(32)), ' ' order by line_no, line_id) filter (regexp_matches(text, '\\S')) as text, round_even(coalesce(avg(score::double) filter (regexp_matches(text, '\\S')), 0), 6) as score from {LINES} where block_id in (select block_id from text_lines where regexp_matches(text, '\\S')) group by block_id""")
 def joined_windows(s, d):
     """Texts and scores of a block's parts joined."""
-    p = decode.join_parts(lines_of(s, d), ["block_id"], "line_no")
+    p = decode.join_parts(lines_of(s, d, BLOCK_KEY), ["block_id"], "line_no")
     return p.where("text <> ''").select("block_id", "text", r6(F.col("score")).alias("score"))
 
 
@@ -353,7 +359,7 @@ m as (select block_id, case when c = 0 then 1 else least(1, n / c::double) end a
 def block_quality(s, d):
     """Line-count and uppercase metrics of a block and its confidence."""
     c = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    g = lines_of(s, d).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), c.alias("c"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\p{Lu}"))), F.lit(0)).alias("u"))
+    g = lines_of(s, d, BLOCK_KEY).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), c.alias("c"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\p{Lu}"))), F.lit(0)).alias("u"))
     lc = Q.line_count_metric(F.col("n"), F.col("c"))
     up = F.when(F.col("c") == 0, F.lit(1.0)).otherwise(F.col("u") / F.col("c"))
     return g.select("block_id", r6(lc).alias("line_metric"), r6(up).alias("upper_metric"), r6(Q.block_confidence(lc, up)).alias("confidence"))
@@ -365,14 +371,14 @@ g as (select extraction_id, page_no, sum(length(text)) as letters, sum(length(re
 select extraction_id, page_no, letters::bigint as letters, controls::bigint as controls, round_even(worst, 6) as worst_overlap, coalesce(letters > 0 and controls <= 0.05 * letters and worst <= 0.3, false) as strong from g""")
 def strong_text_gate(s, d):
     """Pages whose first fifty pieces look like text."""
-    g = cascade.strong_text(lines_of(s, d), ["line_id"])
+    g = cascade.strong_text(lines_of(s, d, PAGE_KEY), ["line_id"])
     return g.select(*PAGE_KEY, F.col("letters").cast("bigint").alias("letters"), F.col("controls").cast("bigint").alias("controls"), r6(F.col("worst_overlap")).alias("worst_overlap"), "strong")
 
 
 @query(f"""select block_id, regexp_replace(regexp_replace(string_agg(text, chr(10) order by line_no, line_id), '-\\n', '', 'g'), '\\n', ' ', 'g') as text from {LINES} where text is not null group by block_id""")
 def accumulated_blocks(s, d):
     """Text of a block from its lines, hyphens at line ends dropped."""
-    g = lines_of(s, d).where("text is not null").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))).alias("ls"))
+    g = lines_of(s, d, BLOCK_KEY).where("text is not null").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))).alias("ls"))
     return g.select("block_id", Q.accumulate(F.transform("ls", lambda x: x["text"])).alias("text"))
 
 
@@ -396,7 +402,7 @@ def _sql_order(src: str) -> str:
 @query(f"select extraction_id, page_no, block_idx, band, reading_no from {_sql_order(BLOCKS)}")
 def reading_order(s, d):
     """Bands of blocks from top to bottom, inside a band from left to right."""
-    return order.reading_order(blocks_of(s, d)).select(*PAGE_KEY, "block_idx", "band", "reading_no")
+    return order.reading_order(blocks_of(s, d, PAGE_KEY)).select(*PAGE_KEY, "block_idx", "band", "reading_no")
 
 
 @query(f"""with w as (select extraction_id, page_no, list({{'o': (box.y + box.h), 'i': line_id, 'l': box.x, 'h': box.h}} order by box.y + box.h, line_id) as ws from {LINES} where text is not null group by all),
@@ -405,7 +411,7 @@ f as (select extraction_id, page_no, unnest(list_reduce(ws, lambda a, x: case wh
 select extraction_id, page_no, r.line as line_no, string_agg(r.i::varchar, ' ' order by r.l, r.i) as pieces from f group by all""")
 def built_lines(s, d):
     """Pieces of a page gathered to lines by the running mean of their bottoms."""
-    w = lines_of(s, d).where("text is not null").select(*PAGE_KEY, F.col("line_id").alias("word_idx"), (-(F.col("box.y") + F.col("box.h"))).alias("bottom"), F.col("box.x").alias("left"), F.col("box.h").alias("height"), F.col("line_id").cast("string").alias("text"))
+    w = lines_of(s, d, PAGE_KEY).where("text is not null").select(*PAGE_KEY, F.col("line_id").alias("word_idx"), (-(F.col("box.y") + F.col("box.h"))).alias("bottom"), F.col("box.x").alias("left"), F.col("box.h").alias("height"), F.col("line_id").cast("string").alias("text"))
     return order.line_texts(order.build_lines(w)).select(*PAGE_KEY, "line_no", F.col("text").alias("pieces"))
 
 
@@ -418,12 +424,12 @@ p as (select *, {_PEAK.format('g')} as pg, {_PEAK.format('lf')} as pl, {_PEAK.fo
 select line_id, block_id, sum(brk::int) over (partition by block_id order by line_no rows unbounded preceding)::int as paragraph from b""")
 def paragraphs(s, d):
     """Paragraphs of a block by unusual gaps and indents."""
-    return order.split_paragraphs(lines_of(s, d)).select("line_id", "block_id", "paragraph")
+    return order.split_paragraphs(lines_of(s, d, BLOCK_KEY)).select("line_id", "block_id", "paragraph")
 
 
 def lines_by_block(s, d) -> DataFrame:
     """(block_id, lines): the lines of every block in order, with their boxes; lines without text leave."""
-    l = lines_of(s, d).where("text is not null and block_id is not null")
+    l = lines_of(s, d, BLOCK_KEY).where("text is not null and block_id is not null")
     return l.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"))
 
 
@@ -455,7 +461,7 @@ def merged_paragraphs(s, d):
 
 def _intervals(s, d):
     """Interval rows: the lines' boxes."""
-    return lines_of(s, d).select(*PAGE_KEY, "line_id", F.col("box.y").cast("int").alias("top"), (F.col("box.y") + F.col("box.h")).cast("int").alias("bottom"), F.col("box.x").cast("int").alias("left"), (F.col("box.x") + F.col("box.w")).cast("int").alias("right"))
+    return lines_of(s, d, PAGE_KEY).select(*PAGE_KEY, "line_id", F.col("box.y").cast("int").alias("top"), (F.col("box.y") + F.col("box.h")).cast("int").alias("bottom"), F.col("box.x").cast("int").alias("left"), (F.col("box.x") + F.col("box.w")).cast("int").alias("right"))
 
 
 _INT = f"(select extraction_id, page_no, line_id, trunc(box.y)::int as top, trunc(box.y + box.h)::int as bottom, trunc(box.x)::int as lft, trunc(box.x + box.w)::int as rgt from {LINES})"
@@ -490,7 +496,7 @@ def packed_windows(s, d):
 
 
 def _spans(s, d):
-    return lines_of(s, d).select("block_id", "line_no", (F.col("box.y")).cast("int").alias("left"), (F.col("box.y") + F.col("box.h") / 2 + F.col("box.w") % 7 / 2).cast("int").alias("right"), "line_id").drop("line_no", "line_id").distinct()
+    return lines_of(s, d, BLOCK_KEY).select("block_id", "line_no", (F.col("box.y")).cast("int").alias("left"), (F.col("box.y") + F.col("box.h") / 2 + F.col("box.w") % 7 / 2).cast("int").alias("right"), "line_id").drop("line_no", "line_id").distinct()
 
 
 _SP = f"""sp as (select distinct block_id, trunc(box.y)::int as lft, trunc(box.y + box.h / 2 + box.w % 7 / 2)::int as rgt from {LINES}), ga as (select *, (row_number() over o - 1)::int as span_no, greatest(lft - lag(rgt) over o, 0) as gap from sp window o as (partition by block_id order by lft, rgt))"""
@@ -515,7 +521,7 @@ def word_boundaries_rlsa(s, d):
 @query(f"""select line_id, block_id, floor((row_number() over (partition by extraction_id, page_no order by box.w, line_id) - 1) / 32)::int as batch from {LINES}""")
 def width_batches(s, d):
     """Recognizer batches of similar width."""
-    return order.width_batches(lines_of(s, d), PAGE_KEY, F.col("box.w"), "line_id").select("line_id", "block_id", "batch")
+    return order.width_batches(lines_of(s, d, PAGE_KEY), PAGE_KEY, F.col("box.w"), "line_id").select("line_id", "block_id", "batch")
 
 
 @query(f"""with {_SP}, {_OTSU} select ga.block_id, span_no, sum(case when lft % 3 <> 0 and coalesce(gap > lim, false) then 1 else 0 end) over (partition by ga.block_id order by span_no rows unbounded preceding)::int as word from ga left join oo on ga.block_id = oo.block_id""")
@@ -555,7 +561,7 @@ def page_column_gaps(s, d):
 @query(f"""select line_id, (row_number() over (partition by block_id order by box.y, box.x, line_id) - 1)::int as component_no from {LINES} qualify row_number() over (partition by block_id order by line_id) <= 5""")
 def component_order(s, d):
     """The first five pieces of a block, numbered from the top."""
-    l = order.component_order(lines_of(s, d), ["block_id"], "line_id")
+    l = order.component_order(lines_of(s, d, BLOCK_KEY), ["block_id"], "line_id")
     return order.first_rows(l, ["block_id"], ["line_id"], 5).select("line_id", "component_no")
 
 
@@ -564,7 +570,7 @@ h as (select *, list_sort(list(box.h) over (partition by extraction_id, page_no)
 select line_id, area, box.h >= greatest(2, floor(12 / 6.0)) and area >= 4 as letter from m where area >= case when len(mid) = 0 then 4 else greatest(4, floor(power(list_sum(mid) / len(mid) * 0.25, 2))::int) end""")
 def component_filters(s, d):
     """Components of text size, and whether they may be letters of a line."""
-    p = lines_of(s, d).withColumn("area", (F.col("box.w") * F.col("box.h") / 4).cast("int"))
+    p = lines_of(s, d, PAGE_KEY).withColumn("area", (F.col("box.w") * F.col("box.h") / 4).cast("int"))
     kept = layout.text_components(p, PAGE_KEY, F.lit(600), F.lit(850))
     letters = layout.line_components(kept, F.lit(12)).select("line_id", F.lit(True).alias("letter"))
     return kept.join(letters, "line_id", "left").select("line_id", "area", F.coalesce("letter", F.lit(False)).alias("letter"))
@@ -594,7 +600,7 @@ def raster_strips(s, d):
 
     from ..operators import raster
 
-    boxes = lines_of(s, d).groupBy(*PAGE_KEY).agg(F.collect_list("box").alias("boxes"))
+    boxes = lines_of(s, d, PAGE_KEY).groupBy(*PAGE_KEY).agg(F.collect_list("box").alias("boxes"))
 
     def draw(batches):
         for b in batches:
@@ -694,8 +700,8 @@ p as (select *, sum(c) over (partition by block_id order by i) - c as pos from f
 select t.block_id, coalesce(j.text, t.text) as text from t left join j on t.block_id = j.block_id""")
 def distributed_chars(s, d):
     """Characters of a block's text shared out over the widths of its lines."""
-    g = lines_of(s, d).groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "box"))), lambda x: x["box"]["w"]).alias("ws"))
-    b = blocks_of(s, d).where("text is not null").select("block_id", "text")
+    g = lines_of(s, d, BLOCK_KEY).groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "box"))), lambda x: x["box"]["w"]).alias("ws"))
+    b = blocks_of(s, d, BLOCK_KEY).where("text is not null").select("block_id", "text")
     return b.join(g, "block_id").select("block_id", decode.shared_out(F.col("text"), F.col("ws")).alias("text"))
 
 
@@ -813,7 +819,7 @@ def drawn_pages(s, d) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    l = lines_of(s, d).where("text is not null and box is not null and extraction_id is not null and page_no is not null")
+    l = lines_of(s, d, PAGE_KEY).where("text is not null and box is not null and extraction_id is not null and page_no is not null")
     g = l.groupBy(*PAGE_KEY).agg(F.collect_list(F.struct("text", "box")).alias("ls"))
 
     def draw(batches):
