@@ -131,8 +131,8 @@ def p6_elapsed_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles(merge(days, ["extractor"]), ["extractor"], ELAPSED, PROBS, EPS)
 
 
-def _sql(source: str, keys: list[str], u: Universe, merged: list[str] | None = None) -> str:
-    """The digest in DuckDB's SQL."""
+def _sql(source: str, keys: list[str], u: Universe, merged: list[str] | None = None, stored: str | None = None) -> str:
+    """The digest in DuckDB's SQL: percentiles, or its nodes under the name of the measure ``stored``."""
     k, out = ", ".join(keys), ", ".join(merged or keys)
     y = f"ln(1 + value) / {math.log1p(u.hi)!r}::double" if u.log else f"value / {u.hi}"
     up = (lambda c: f"exp(({c} + 1) / {1 << u.bits}.0::double * {math.log1p(u.hi)!r}::double) - 1") if u.log else (lambda c: f"({c} + 1) / {1 << u.bits}.0::double * {u.hi}")
@@ -144,6 +144,8 @@ from (select {k}, sum(case when value is null or value::varchar = 'nan' or value
 left join q on {" and ".join(f"v.{x} is not distinct from q.{x}" for x in keys)}"""
     if merged:
         tail = f"select {out}, n::bigint as n, floor(n * {EPS}::double)::bigint as rank_error, {cols} from q"
+    if stored:
+        tail = f"select '{stored}' as measure, {keys[0]} as key, {keys[1]}, level, node, own, n::bigint as n from merged"
     return f"""with v as ({source}),
 leaves as (select {k}, least(floor({y} * {1 << bits}), {(1 << bits) - 1})::bigint as cell, count(*) as c from v where value is not null and value::varchar <> 'nan' and value >= 0 group by all),
 nodes as (select {k}, level, cell >> ({bits} - level) as node, sum(c)::bigint as under from leaves, (select unnest(range({bits + 1}))::int as level) group by all),
@@ -161,7 +163,10 @@ from (select extractor, elapsed_seconds, regexp_replace(processed_at, '(\.\d{6})
 
 
 def oracle_sql() -> dict[str, str]:
+    days = f"(select extraction_id, day from ({ELAPSED_SQL.replace('select extractor, floor', 'select extraction_id, extractor, floor').replace('(select extractor, elapsed', '(select extraction_id, extractor, elapsed')}))"
+    shares = f"select lower(trim(b.label)) as label, e.day, case when confidence > 1 and confidence <= 100 then confidence / 100 when confidence <= 1 then confidence end as value from (select distinct block_id, extraction_id, label, confidence from blocks) b left join {days} e on b.extraction_id = e.extraction_id"
     return {
+        "p6_digests": f"({_sql(shares, ['label', 'day'], CONFIDENCE, stored='confidence')}) union all ({_sql(ELAPSED_SQL, ['extractor', 'day'], ELAPSED, stored='elapsed_seconds')})",
         "p6_confidence": _sql(CONFIDENCE_SQL, ["label"], CONFIDENCE),
         "p6_elapsed": _sql(ELAPSED_SQL, ["extractor", "day"], ELAPSED),
         "p6_elapsed_merged": _sql(ELAPSED_SQL, ["extractor", "day"], ELAPSED, ["extractor"]),

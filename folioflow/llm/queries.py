@@ -20,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in (qdigest, truncation) for k, s in m.oracle_sql().items()}
+    return {k: s for m in (qdigest, textstats, truncation) for k, s in m.oracle_sql().items()}

@@ -261,3 +261,22 @@ def p3_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and kind of every block, whatever its label and length."""
     b = table(spark, sf_dir, "blocks").select("block_id", "text").where("block_id is not null").distinct()
     return _reported(typed(b, _common(spark, sf_dir)), "block_id")
+
+
+def p3_document_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document alone."""
+    m = measured(table(spark, sf_dir, "documents").select("doc_id", "text"), _common(spark, sf_dir))
+    return m.select("doc_id", "n_chars", "n_words", "n_lines", "n_letters", "n_digits", "n_spaces", "n_line_ends", "n_common", "n_pipes", "n_moji")
+
+
+_SPACE = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def oracle_sql() -> dict[str, str]:
+    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+    return {
+        "p3_document_measures": rf"""with d as (select doc_id, coalesce(text, '') as t from documents), c as (select list(distinct lower(word)) as ws from common_words where word is not null)
+select doc_id, length(t)::bigint as n_chars, {count(f'[^{_SPACE[1:-1]}]+'.replace("[^", "[^"))}::bigint as n_words, len(string_split(t, chr(10)))::bigint as n_lines, {count(r'[\p{L}\p{M}]')}::bigint as n_letters, {count(r'\p{Nd}')}::bigint as n_digits,
+ ({count('[ \\n]')})::bigint as n_spaces, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[.!?。！？।؟…][»”"’)]?{_SPACE}*$')))::bigint as n_line_ends,
+ len(list_filter(regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}’'']+'), lambda w: list_contains(ws, w)))::bigint as n_common, {count('[|]')}::bigint as n_pipes, {count('[ÐÑÃÂ�□■]')}::bigint as n_moji from d, c""",
+    }
