@@ -507,6 +507,23 @@ def test_every_passage_of_twelve_words_is_found():
         assert {k for k, e, _ in sc.leaked(split) if e == i} == set(range(len(cuts)))
 
 
+def test_refilled_templates_are_told(spark):
+    r = random.Random(21)
+    items = [(i, item(r)) for i in range(12)]
+    other = item(r)
+    ws = items[3][1].split()
+    numbers = {w.strip(",."): str(10_000 + k) for k, w in enumerate(w for w in ws if w.strip(",.").isdigit())}
+    told = lambda a, n, m, b: f"The {a} mill sold {n} bales to {b}, and the {a} mill kept {m} of the bales of {b}."
+    same, mixed_up = told("Zumotell", 31, 31, "Corawick"), told("Zumotell", 31, 47, "Corawick")
+    its = spark.createDataFrame([*items, (50, told("Barawick", 12, 12, "Corawick")), (51, told("Felimar", 13, 13, "Gordell")), (52, told("Dunaton", 14, 14, "Corimar")), (53, told("Barowick", 15, 15, "Feladell"))], "item_id bigint, item_text string")
+    docs = [(1, other), (2, items[5][1]), (3, "Nothing of the kind is in here, only other words about other things altogether."), (4, None), (5, same), (6, mixed_up), (7, " ".join(numbers.get(w.strip(",."), w) for w in ws))]
+    got = {(x.doc_id, x.item_id): x for x in leakage.retold(spark.createDataFrame(docs, "doc_id bigint, text string"), its).collect()}
+    assert (1, 0) in got and got[1, 0].replaced > 0  # the least item of the template
+    assert not {2, 3, 4} & {d for d, i in got if i not in (0,)} and 3 not in {d for d, _ in got}
+    assert got[5, 50].consistent and not got[6, 50].consistent and got[5, 50].replaced >= 4 and got[5, 50].kept == 2
+    assert leakage.retold(spark.createDataFrame(docs, "doc_id bigint, text string"), its.limit(0)).count() == 0
+
+
 def test_units_are_slots_after_numbers():
     t = leakage.Template(frozenset())
     ids, ends = t.read(["covers 48 m of fence", "m covers it"])
