@@ -36,6 +36,7 @@ class Params:
 
 #: What pipelines append where they cut.
 APPENDED = r"(?i)(?:\s*(?:\.{3,}|…|\[(?:\.{3}|…|truncated|cut|more|gekürzt|обрезано|tronqué|truncado)[^\]\n]{0,20}\]|\((?:truncated|continued|more|cont\.)\)|<(?:br|p|/)?[^<>\n]{0,8}|&[a-z#0-9]{0,5}|read more))+\s*$"
+LONGEST_APPENDED = 40  # no single part of what is appended is longer
 FINAL = r"(?:[.!?؟।…。！？｡．]|\.{3})[\"'”»“)」』\]\s]*$"
 PAGE_NUMBER = r"(?i)^\s*(?:[-–—\[(]?\s*(?:\d{1,5}|[ivxlc]{1,7})\s*[-–—\])]?|(?:page|p\.|seite|s\.|página|pág\.|страница|стр\.|сторінка|стор\.|лист|аркуш|pag\.?)\s*\d+(?:\s*(?:of|von|de|sur|из|з|/)\s*\d+)?)\s*$"
 SIGNATURE = r"^\s*[\p{Lu}][^\n]{2,60},\s*\d{4}\s*$"
@@ -89,14 +90,15 @@ def _last(lines: Column, back: int) -> Column:
 def endings(docs: DataFrame) -> DataFrame:
     """One row per document about how its text ends; no part of the text but the last letters of unspaced scripts is kept."""
     text = F.col("text")
-    whole = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
+    whole = F.rtrim(text, F.lit(" \t\n\x0b\f\r"))
     d = docs.where("length(text) > 0 and doc_id is not null").select("doc_id", "source", F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), whole.alias("t"))
-    d = d.withColumn("body", F.regexp_replace("t", APPENDED, "")).withColumn("appended", (F.length("body") < F.length("t")) & (F.length("body") > 0))
+    # whatever was appended has its last part among the last signs: texts without one need no search from their start
+    d = d.withColumn("body", F.when(F.right("t", F.lit(LONGEST_APPENDED)).rlike(APPENDED), F.regexp_replace("t", APPENDED, "")).otherwise(F.col("t"))).withColumn("appended", (F.length("body") < F.length("t")) & (F.length("body") > 0))
     d = d.withColumn("body", F.when(F.col("appended"), F.col("body")).otherwise(F.col("t")))
-    lines = F.split("body", "\n")
+    lines = F.split(F.substring_index("body", "\n", -4), "\n")
     # scripts without full stops: endings of all their parts between spaces
     tails = F.when(F.col("t").rlike(UNSTOPPED), F.transform(F.filter(F.split("t", r"\s+"), lambda x: x.rlike(UNSTOPPED)), lambda x: F.right(x, F.lit(6))))
-    d = d.select("doc_id", "source", "chars", "bytes", "appended", F.slice(lines, F.greatest(F.size(lines) - 3, F.lit(1)), F.lit(4)).alias("ls"), tails.alias("tails"))
+    d = d.select("doc_id", "source", "chars", "bytes", "appended", lines.alias("ls"), tails.alias("tails"))
     d = d.select("doc_id", "source", "chars", "bytes", "appended", "tails", _last(F.col("ls"), 1).alias("line"), _last(F.col("ls"), 2).alias("before"), _last(F.col("ls"), 3).alias("before2"))
     c = F.col
     line, short = c("line"), lambda x: F.length(x) < 45
