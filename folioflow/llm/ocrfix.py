@@ -301,12 +301,11 @@ def placed(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
     The lines of a block meet in one exchange; duplicates leave behind it.
     """
-    f = facts(lines)
     label = blocks.groupBy("block_id").agg(F.max("label").alias("label"))
     by = Window.partitionBy("block_id").orderBy("line_no", "line_id")
-    inside = f.where("block_id is not null").repartition("block_id").dropDuplicates(["block_id", "line_id"]).join(label, "block_id", "left")
+    inside = facts(lines.where("block_id is not null")).repartition("block_id").dropDuplicates(["block_id", "line_id"]).join(label, "block_id", "left")
     inside = inside.withColumns({"rank": F.row_number().over(by), "next_first": F.lead("first").over(by), "last": F.lead("line_id").over(by).isNull(), "fresh": F.coalesce(F.lag("ended").over(by), F.lit(True))})
-    alone = f.where("block_id is null").withColumns({"label": F.lit(None).cast("string"), "rank": F.lit(1), "next_first": F.lit(None).cast("string"), "last": F.lit(True), "fresh": F.lit(True)})
+    alone = facts(lines.where("block_id is null")).withColumns({"label": F.lit(None).cast("string"), "rank": F.lit(1), "next_first": F.lit(None).cast("string"), "last": F.lit(True), "fresh": F.lit(True)})
     # behind other lines of a block a number with a full stop is the end of their sentence
     cols = ["line_id", "block_id", "extraction_id", "page_no", "label", "rank", "tall", "left", "mark", "next_first", "last", "fresh", "first", "low", F.expr("pageno and (dashed or fresh and (rank = 1 or not ended))").alias("pageno"), F.when(F.col("fresh"), F.col("shape")).alias("shape")]
     both = inside.select(*cols).unionByName(alone.select(*cols))
