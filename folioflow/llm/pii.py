@@ -680,7 +680,7 @@ def decode(text: str, w: dict[str, float], p: Params = Params()) -> list[tuple[i
 
 
 def find(df: DataFrame, id_col: str, w: dict[str, float]) -> DataFrame:
-    """(id, kind, start_char, end_char) of all personal data. ``df``: id, text."""
+    """(id, kind, start_char, end_char) of all personal data. ``df``: id, text. Every text is read, whatever its script."""
     path = Params().lexicon
     shared = df.sparkSession.sparkContext.broadcast((w, lexicon(path)))  # both of bounded size
 
@@ -697,7 +697,7 @@ def find(df: DataFrame, id_col: str, w: dict[str, float]) -> DataFrame:
                     ends.append(z)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "kind", "start_char", "end_char"])
 
-    src = df.select(F.col(id_col), "text").where(F.col("text").isNotNull() & F.col("text").rlike(HINT))
+    src = df.select(F.col(id_col), "text").where(F.col("text").isNotNull())
     return src.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, kind string, start_char int, end_char int")
 
 

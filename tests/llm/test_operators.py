@@ -132,6 +132,14 @@ def test_redaction(spark):
     assert pii.decode(long, pii.train())[0][0] == long.index("a.box")
 
 
+def test_personal_data_is_found_in_every_text(spark):
+    texts = ["联系人：王明。", "السيد محمد علي يسكن هنا.", "श्री राजेश कुमार ने पत्र लिखा।", "山田太郎様、お電話です。", "the guest was dr Walker today.", "das Paket ist für Anna de Souza gekommen", "call ０２０ ７９４６ ０９５８ today", "nothing of the kind"]
+    w = pii.train()
+    got = {tuple(x) for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "block_id bigint, text string"), "block_id", w).collect()}
+    assert got == {(i, pii.KINDS[k], a, b) for i, t in enumerate(texts) for a, b, k in pii.decode(t, w)}
+    assert {i for i, *_ in got} == set(range(7))  # also without figures, signs and capitals
+
+
 # -- 3 kinds of content -----------------------------------------------------------------------------------------------
 
 
