@@ -10,8 +10,9 @@ words of template text where there is none. From each window that meets, the pas
 by word: slots must agree, single misread signs, split and glued words are forgiven, and ``Params.least`` words must agree.
 
 ``p8_retold`` reports the other side of the slots: passages that keep an item's template for as many words and fill it with
-other values, each of which stands for one value of the item throughout (``consistent``) or not. Items that share a template
-are represented by the least of them.
+other values, each of which stands for one value of the item throughout (``consistent``) or not. Every item of a template is
+reported, so a passage has as many rows as there are items that it refills; without ``every`` the least stands for the items
+that share a window of the template.
 
 The constants are counted once over all items; there are at most ``1 / constant_share`` times the mean words of an item.
 Items of up to ``Params.item_words`` words in all are broadcast as an index and documents are probed inside their scan, so
@@ -25,12 +26,13 @@ each under their own id.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ class Params:
     least: int = 12
     constant_items: int = 4  # a word in so many items belongs to the template
     constant_share: float = 0.001  # and in such a share of them, which bounds the table of constants
-    retold: int = 4  # words of the template that a re-parameterised passage holds
+    retold: int = 4  # words of the template that a re-parameterised passage holds in all
     item_words: int = 5_000_000  # words of items that may be broadcast
     cache: int = 400_000
 
@@ -164,13 +166,16 @@ class Template:
 
 
     def shapes(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hash, 0, start) of every window of ``least`` words inside one text that holds slots and enough of a template."""
+        """(template hash, 0, start) of every window of ``least`` words inside one text that holds a slot and a word of a template.
+
+        Every passage of ``least`` words with both has such a window, where one stands beside the other.
+        """
         n, signs = self.p.least, self.signs(ids)
         upto = np.concatenate([[0], np.cumsum(signs < CONST)])
         m = max(0, len(ids) - n + 1)
         at = np.arange(m)
         slots = upto[n:][:m] - upto[:m]
-        at = at[(at + n <= np.repeat(ends[1:], np.diff(ends))[:m]) & (slots > 0) & (n - slots >= self.p.retold)]
+        at = at[(at + n <= np.repeat(ends[1:], np.diff(ends))[:m]) & (slots > 0) & (slots < n)]
         tpl = np.full(len(at), n, np.uint64)
         for k in range(n):
             tpl = tpl * np.uint64(0x9E3779B97F4A7C15) + signs[at + k].view(np.uint64) + np.uint64(1)
@@ -253,14 +258,18 @@ class Retold(Scanner):
 
     windows_of = Template.shapes
 
-    def __init__(self, template: Template, items: list[tuple[int, str]]):
+    def __init__(self, template: Template, items: list[tuple[int, str]], every: bool = True):
         super().__init__(template, sorted(items))
-        self.keys, first = np.unique(self.keys, return_index=True)  # the least item stands for those that share a template
-        self.at, self.item, self.pos = self.at[first], self.item[first], self.pos[first]
-        self.signs_of = []
+        if not every:  # the least item stands for those that share a window
+            self.keys, first = np.unique(self.keys, return_index=True)
+            self.at, self.item, self.pos = self.at[first], self.item[first], self.pos[first]
+        shared: dict[tuple[int, ...], int] = {}
+        self.signs_of, self.like = [], []  # items of the same signs are followed once
         for ws in self.words:
             ids = np.array([template._id(w) for w in ws], np.int64)
-            self.signs_of.append(template.signs(ids).tolist() if len(ids) else [])
+            signs = template.signs(ids).tolist() if len(ids) else []
+            self.signs_of.append(signs)
+            self.like.append(shared.setdefault(tuple(signs), len(shared)))
 
     def retold(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, bool]]:
         """(number of the text, item id, words, slots kept, slots replaced, consistent) of the longest passage of each item."""
@@ -269,30 +278,37 @@ class Retold(Scanner):
             return []
         tpl, val, at = self.tpl.shapes(ids, ends)
         key = _mixed(tpl, val)
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[k] == key)
+        first, last = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        hit = np.flatnonzero(last > first)
         signs, plain = self.tpl.signs(ids).tolist(), self.tpl.plain
         best: dict[tuple[int, int], tuple] = {}
         done: dict[tuple[int, int], int] = {}
+        span: dict[tuple[int, int], tuple[int, int]] = {}
         for h in hit[np.argsort(at[hit], kind="stable")].tolist():
-            e, i, j = int(self.item[k[h]]), int(at[h]), int(self.pos[k[h]])
-            if done.get((e, i - j), -1) > i:
-                continue
+            i = int(at[h])
             d = int(np.searchsorted(ends, i, side="right")) - 1
-            theirs, mine = self.signs_of[e], self.words[e]
-            lo = 0
-            while i - lo > ends[d] and j - lo > 0 and signs[i - lo - 1] == theirs[j - lo - 1]:
-                lo += 1
-            hi = 0
-            while i + hi < ends[d + 1] and j + hi < len(theirs) and signs[i + hi] == theirs[j + hi]:
-                hi += 1
-            done[e, i - j] = i + hi
-            pairs = [(mine[j + x], plain[ids[i + x]]) for x in range(-lo, hi) if theirs[j + x] < CONST]
-            other = {(a, b) for a, b in pairs if not near(a, b)}
-            kept = sum(near(a, b) for a, b in pairs)
-            row = (lo + hi, kept, len(pairs) - kept, len({a for a, _ in other}) == len(other) == len({b for _, b in other}))
-            if other and row > best.get((d, self.ids[e]), (0,)):
-                best[d, self.ids[e]] = row
+            for k in range(first[h], last[h]):
+                e, j = int(self.item[k]), int(self.pos[k])
+                if done.get((e, i - j), -1) > i:
+                    continue
+                theirs, mine = self.signs_of[e], self.words[e]
+                start, end = span.get((self.like[e], i - j), (0, 0))
+                if not start <= i < end:
+                    start, end = i, i
+                    while start > ends[d] and start - i + j > 0 and signs[start - 1] == theirs[start - i + j - 1]:
+                        start -= 1
+                    while end < ends[d + 1] and end - i + j < len(theirs) and signs[end] == theirs[end - i + j]:
+                        end += 1
+                    span[self.like[e], i - j] = start, end
+                done[e, i - j] = end
+                pairs = [(mine[x - i + j], plain[ids[x]]) for x in range(start, end) if theirs[x - i + j] < CONST]
+                if end - start < self.tpl.p.least or end - start - len(pairs) < self.tpl.p.retold:
+                    continue
+                same = [near(a, b) for a, b in pairs]
+                other = {x for x, s in zip(pairs, same) if not s}
+                row = (end - start, sum(same), len(pairs) - sum(same), len({a for a, _ in other}) == len(other) == len({b for _, b in other}))
+                if other and row > best.get((d, self.ids[e]), (0,)):
+                    best[d, self.ids[e]] = row
         return [(d, e, *row) for (d, e), row in best.items()]
 
 
@@ -352,11 +368,24 @@ def _joined(docs: DataFrame, items: DataFrame, const: frozenset[str], p: Params)
     """The same by joins: windows of both sides meet, then the texts of the pairs that met."""
     shared = docs.sparkSession.sparkContext.broadcast(const)
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, text, item, item_text in zip(*(c.to_pylist() for c in b.columns)):
+                out += [(doc, e, n) for _, e, n in Scanner(Template(shared.value, p), [(item, item_text)]).leaked([text])]
+            yield _leaks(*([x[k] for x in out] for k in range(3)))
+
+    return _met(docs, items, shared, p, Template.windows).mapInArrow(check, LEAK)
+
+
+def _met(docs: DataFrame, items: DataFrame, shared: Broadcast, p: Params, windows: Callable) -> DataFrame:
+    """(doc_id, text, item_id, item_text) of the pairs of which a window meets."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(shared.value, p)
         for b in batches:
             ids, ends = template.read(b.column(1).to_pylist())
-            tpl, val, at = template.windows(ids, ends)
+            tpl, val, at = windows(template, ids, ends)
             row = np.searchsorted(ends, at, side="right") - 1
             key = pa.array(_mixed(tpl, val).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), key, pa.array((at - ends[row]).astype(np.int32))], names=["id", "key", "pos"])
@@ -366,46 +395,54 @@ def _joined(docs: DataFrame, items: DataFrame, const: frozenset[str], p: Params)
     i = items.select(F.xxhash64("item_text").alias("id"), "item_text").mapInArrow(split, "id bigint, key bigint, pos int").select(F.col("id").alias("text_id"), "key", F.col("pos").alias("at")).distinct()
     met = written(d.join(i, "key").select("doc_id", "text_id").distinct(), "leak-candidates")
     texts = items.select(F.xxhash64("item_text").alias("text_id"), "item_id", "item_text")
-    pairs = met.join(docs, "doc_id").join(texts, "text_id").select("doc_id", "text", "item_id", "item_text")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, text, item, item_text in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(doc, e, n) for _, e, n in Scanner(Template(shared.value, p), [(item, item_text)]).leaked([text])]
-            yield _leaks(*([x[k] for x in out] for k in range(3)))
-
-    return pairs.mapInArrow(check, LEAK)
+    return met.join(docs, "doc_id").join(texts, "text_id").select("doc_id", "text", "item_id", "item_text")
 
 
 RETOLD = "doc_id bigint, item_id bigint, words int, kept int, replaced int, consistent boolean"
 
 
-def retold(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
-    """Documents with a passage of ``p.least`` words or more that fills the template of an item with other values.
+def retold(docs: DataFrame, items: DataFrame, p: Params = Params(), every: bool = False) -> DataFrame:
+    """Documents with a passage of ``p.least`` words or more, ``p.retold`` of them of the template, that fills the template of an item with other values.
 
-    Only one item per template counts, so its windows are few; they must be within ``p.item_words`` words.
+    ``every`` item of the template, or only the least. Items of up to ``p.item_words`` words are broadcast; beyond, the windows
+    of every item are joined.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_id is not null and length(item_text) > 0").distinct()
     const, n_words = constants(items, p)
+
+    def rows(ids: pa.Array, got: list[tuple]) -> pa.RecordBatch:
+        cols = [ids, *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()), (5, pa.bool_())))]
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in RETOLD.split(", ")])
+
+    if n_words > p.item_words and not every:
+        raise ValueError("more words of items than item_words; ask for every item or raise the bound")
     if n_words > p.item_words:
-        raise ValueError("more words of items than item_words; keep one item of each template or raise the bound")
-    shared = docs.sparkSession.sparkContext.broadcast((const, sorted((r.item_id, r.item_text) for r in items.collect())))
+        constant = docs.sparkSession.sparkContext.broadcast(const)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Retold(Template(shared.value[0], p), shared.value[1])
-        for b in batches:
-            got = scanner.retold(b.column(1).to_pylist())
-            cols = [b.column(0).take(pa.array([g[0] for g in got], pa.int64())), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()), (5, pa.bool_())))]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in RETOLD.split(", ")])
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [(doc, *g[1:]) for doc, text, item, item_text in zip(*(c.to_pylist() for c in b.columns)) for g in Retold(Template(constant.value, p), [(item, item_text)]).retold([text])]
+                yield rows(pa.array([g[0] for g in got], pa.int64()), got)
+
+        found = _met(docs, items, constant, p, Template.shapes).mapInArrow(check, RETOLD)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast((const, sorted((r.item_id, r.item_text) for r in items.collect())))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Retold(Template(shared.value[0], p), shared.value[1], every)
+            for b in batches:
+                got = scanner.retold(b.column(1).to_pylist())
+                yield rows(b.column(0).take(pa.array([g[0] for g in got], pa.int64())), got)
 
-    return docs.mapInArrow(scan, RETOLD).distinct()
+        found = docs.mapInArrow(scan, RETOLD)
+    # repeated documents and items with several texts: the longest passage
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "kept", "replaced", "consistent")).alias("r")).select("doc_id", "item_id", "r.*")
 
 
 def p8_retold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-parameterised items in documents."""
-    return retold(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "item_text"))
+    """Re-parameterised items in documents: every item whose template a document refills."""
+    return retold(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "item_text"), every=True)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

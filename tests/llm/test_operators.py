@@ -532,6 +532,20 @@ def test_refilled_templates_are_told(spark):
     assert leakage.retold(spark.createDataFrame(docs, "doc_id bigint, text string"), its.limit(0)).count() == 0
 
 
+def test_every_item_of_a_refilled_template_is_told(spark):
+    r = random.Random(21)
+    items = [(i, item(r)) for i in range(12)]
+    # twenty words, five of them of the template, but in no twelve of them four
+    sparse = lambda k: " ".join("of" if w in (0, 4, 9, 14, 19) else "".join(random.Random(100 * k + w).choices("abcdefghkmnpqrstuvwxyz", k=9)) for w in range(20))
+    its = spark.createDataFrame([*items, *((60 + k, sparse(k)) for k in range(4))], "item_id bigint, item_text string")
+    docs = spark.createDataFrame([(1, item(r)), (2, items[5][1]), (3, sparse(8)), (4, None)], "doc_id bigint, text string")
+    got = {p.item_words: sorted(tuple(x) for x in leakage.retold(docs, its, p, every=True).collect()) for p in (leakage.Params(), leakage.Params(item_words=0))}
+    pairs = {x[:2] for x in got[5_000_000]}
+    assert got[0] == got[5_000_000]  # probed in the scan, and joined
+    assert {i for d, i in pairs if d == 1} == set(range(12)) and {i for d, i in pairs if d == 2} == set(range(12)) - {5}
+    assert {i for d, i in pairs if d == 3} == {60, 61, 62, 63} and not any(d == 4 for d, _ in pairs)
+
+
 def test_units_are_slots_after_numbers():
     t = leakage.Template(frozenset())
     ids, ends = t.read(["covers 48 m of fence", "m covers it"])
