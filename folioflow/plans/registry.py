@@ -814,27 +814,28 @@ def sql_functions(s, d):
 # -- recognition of drawn pages -----------------------------------------------------------------------------------------
 
 
-def drawn_pages(s, d) -> DataFrame:
-    """Page images drawn from the recognized lines: every sign but a space is a dark cell of its line's box."""
+def drawn_pages(s, d) -> ocr.Pages:
+    """Page images drawn from the recognized lines, in the worker that cuts them: every sign but a space is a dark cell of its line's box.
+
+    The number of partitions is fixed: by their bytes, lines would meet in few tasks, but each page costs milliseconds of drawing and cutting.
+    """
     import numpy as np
-    import pyarrow as pa
 
-    l = lines_of(s, d, PAGE_KEY).where("text is not null and box is not null and extraction_id is not null and page_no is not null")
+    n = max(int(s.conf.get("spark.sql.shuffle.partitions")), 4 * s.sparkContext.defaultParallelism)
+    l = table(s, d, "text_lines").where("line_id is not null and text is not null and box is not null and extraction_id is not null and page_no is not null")
+    l = l.select(*PAGE_KEY, "line_id", "text", "box").repartition(n, *PAGE_KEY).dropDuplicates([*PAGE_KEY, "line_id"])
     g = l.groupBy(*PAGE_KEY).agg(F.collect_list(F.struct("text", "box")).alias("ls"))
 
-    def draw(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                e, p, ls = (c[i].as_py() for c in b.columns)
-                img = np.full((int(max(x["box"]["y"] + x["box"]["h"] for x in ls)) + 8, int(max(x["box"]["x"] + x["box"]["w"] for x in ls)) + 8), 255, np.uint8)
-                for x in ls:
-                    t, q, left, step = int(x["box"]["y"]), int(x["box"]["y"] + x["box"]["h"]), x["box"]["x"], x["box"]["w"] / max(len(x["text"]), 1)
-                    for k, sign in enumerate(x["text"]):
-                        if not sign.isspace():
-                            img[t:q, int(left + k * step) : int(left + (k + 1) * step)] = 0
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((e, pa.int64()), (p, pa.int32()), (img.shape[1], pa.int32()), (img.shape[0], pa.int32()), (1, pa.int32()), (img.tobytes(), pa.binary()))], names=[*PAGE_KEY, "img_w", "img_h", "channels", "data"])
+    def image(ls):
+        img = np.full((int(max(x["box"]["y"] + x["box"]["h"] for x in ls)) + 8, int(max(x["box"]["x"] + x["box"]["w"] for x in ls)) + 8), 255, np.uint8)
+        for x in ls:
+            t, q, left, step = int(x["box"]["y"]), int(x["box"]["y"] + x["box"]["h"]), x["box"]["x"], x["box"]["w"] / max(len(x["text"]), 1)
+            for k, sign in enumerate(x["text"]):
+                if not sign.isspace():
+                    img[t:q, int(left + k * step) : int(left + (k + 1) * step)] = 0
+        return img
 
-    return g.mapInArrow(draw, "extraction_id bigint, page_no int, img_w int, img_h int, channels int, data binary")
+    return ocr.Pages(g, image)
 
 
 def _page_words(s, d) -> DataFrame:
@@ -890,15 +891,15 @@ def recognized_clusters(s, d):
 @query()
 def recognition_pieces(s, d):
     """What the recognizer has to read, with its share of ink, after deskewing and thresholding small images."""
-    p = ocr.pieces(ocr.crops(drawn_pages(s, d), _regions(s, d)), OcrOptions(segmentation=WordSegmentation.WINDOW))
+    p = ocr.pieces(ocr.regions(drawn_pages(s, d), _regions(s, d)), OcrOptions(segmentation=WordSegmentation.WINDOW), image=False)
     return p.select(*ocr.REGION, "comp_no", "line_no", "piece_no", "x0", "x1", F.round("ink", 4).alias("ink"), "img_w", "img_h")
 
 
 @query()
 def recognition_counters(s, d):
     """Pieces, widths and errors of every region; its time is left out, as it is never the same."""
-    p = ocr.pieces(ocr.crops(drawn_pages(s, d), _regions(s, d)), OcrOptions(segmentation=WordSegmentation.WINDOW))
-    return ocr.profile(ocr.read(p, Plugin("stub"))).select(*ocr.REGION, "pieces", r6(F.col("mean_width")).alias("mean_width"), "errors")
+    p = ocr.read_pieces(drawn_pages(s, d), _regions(s, d), Plugin("stub"), OcrOptions(segmentation=WordSegmentation.WINDOW))
+    return ocr.profile(p).select(*ocr.REGION, "pieces", r6(F.col("mean_width")).alias("mean_width"), "errors")
 
 
 @query()

@@ -473,6 +473,20 @@ def test_recognition_puts_lines_in_their_place(spark):
     assert abs(got[W.NONE][0, "Text"].confidence - 1.0) < 0.2
 
 
+def test_pages_are_made_where_they_are_cut(spark):
+    rows = [(1, 1, 20), (1, 2, 60), (2, 1, 90)]
+    draw = lambda y: text_page([(y, 12, [(10, 40), (60, 50), (130, 40)])])
+    det = spark.createDataFrame([(e, p, 0, "Text", 9, 0.9, (5.0, 10.0, 200.0, 150.0)) for e, p, _ in rows], DETECTION)
+    small = ocr.Pages(spark.createDataFrame(rows, "extraction_id bigint, page_no int, y int"), draw)
+    table = spark.createDataFrame([(e, p, 400, 200, 1, bytearray(draw(y).tobytes())) for e, p, y in rows], PAGES)
+    assert "data" not in ocr.regions(small, det).src.columns  # no pixels are shuffled
+    for o in (schema.OcrOptions(segmentation=schema.WordSegmentation.WINDOW), schema.OcrOptions(cluster=True)):
+        got = [sorted(map(repr, ocr.ocr_blocks(x, det, models.Plugin("stub"), o).collect())) for x in (small, table)]
+        assert got[0] == got[1] and len(got[0]) >= 3
+    b = ocr.heuristic_blocks(small, det, models.Plugin("stub")).collect()
+    assert sorted(x.lines[0].text for x in b) == ["200x150"] * 3
+
+
 def test_component_confidence_is_that_of_its_lines(spark):
     line = (0.0, 0.0, 10.0, 10.0)
     rows = [(1, 1, 0, "Text", 0, line, k, (0.0, y, 90.0, 10.0), t, s) for k, (y, t, s) in enumerate([(0.0, "ab cd", 0.9), (12.0, "ABCD", 0.8), (24.0, "  ", 0.1), (90.0, "ab", 0.4), (102.0, "ab", 0.4)])]
