@@ -473,6 +473,15 @@ def test_recognition_puts_lines_in_their_place(spark):
     assert abs(got[W.NONE][0, "Text"].confidence - 1.0) < 0.2
 
 
+def test_equal_rows_are_stretched_once():
+    line = text_page([(4, 12, [(10, 40), (60, 50)])], 130, 16)
+    rows, row = raster.resized_rows(line, 48, 390)
+    assert len(rows) < 24 and len(row) == 48 and np.array_equal(rows[row], raster.resize(line, 48, 390))
+    assert np.array_equal(raster.dark(rows, np.bincount(row))[row], raster.dark(rows[row]))
+    ink = np.array([[1, 1, 0, 1], [1, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 0]], bool)
+    assert raster.components(ink) == [(0, 0, 4, 3, 7)]
+
+
 def test_pages_are_made_where_they_are_cut(spark):
     rows = [(1, 1, 20), (1, 2, 60), (2, 1, 90)]
     draw = lambda y: text_page([(y, 12, [(10, 40), (60, 50), (130, 40)])])
