@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import stats as S
+from .raster import closed
 
 
 def whole_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema: str, order: list[str] = ()) -> DataFrame:
@@ -60,6 +62,26 @@ def _bounds(part: pa.Table, keys: list[str]) -> np.ndarray:
 BLOCK_ROWS = 512  # boxes of a group whose distances are held at once
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(positions a, positions b, distance, rank) of the ``k`` nearest boxes of each box of one group, by blocks of rows."""
+    size = len(x)
+    n = min(k, size - 1)
+    for at in range(0, size if n > 0 else 0, BLOCK_ROWS):
+        r = slice(at, min(at + BLOCK_ROWS, size))
+        dx = np.maximum(0.0, np.maximum(x[r, None] - (x + w), x - (x[r, None] + w[r, None])))
+        dy = np.maximum(0.0, np.maximum(y[r, None] - (y + h), y - (y[r, None] + h[r, None])))
+        d = np.sqrt(dx * dx + dy * dy)
+        rows = np.arange(r.stop - r.start)
+        d[rows, rows + at] = np.inf
+        edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(d <= edge[:, None])
+        best = np.lexsort((ids[j], d[i, j], i))
+        i, j = i[best], j[best]
+        no = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = no < n
+        yield i[keep] + at, j[keep], d[i[keep], j[keep]], no[keep] + 1
+
+
 def neighbours(boxes: DataFrame, keys: list[str], idx: str, k: int) -> DataFrame:
     """(keys, a, b, distance, angle, box_a, box_b): the ``k`` nearest boxes of each box of its group; ties to the earlier index.
 
@@ -76,27 +98,11 @@ def neighbours(boxes: DataFrame, keys: list[str], idx: str, k: int) -> DataFrame
         left, right, dist, rank = [], [], [], []
         bounds = _bounds(part, keys)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            for at in range(lo, hi, BLOCK_ROWS):
-                r, c = slice(at, min(at + BLOCK_ROWS, hi)), slice(lo, hi)
-                dx = np.maximum(0.0, np.maximum(x[r, None] - (x[None, c] + w[None, c]), x[None, c] - (x[r, None] + w[r, None])))
-                dy = np.maximum(0.0, np.maximum(y[r, None] - (y[None, c] + h[None, c]), y[None, c] - (y[r, None] + h[r, None])))
-                d = np.sqrt(dx * dx + dy * dy)
-                rows = np.arange(r.stop - r.start)
-                d[rows, rows + at - lo] = np.inf
-                n = min(k, hi - lo - 1)
-                if n <= 0:
-                    continue
-                edge = np.partition(d, n - 1, axis=1)[:, n - 1]
-                i, j = np.nonzero(d <= edge[:, None])
-                best = np.lexsort((ids[lo:hi][j], d[i, j], i))
-                i, j = i[best], j[best]
-                first = np.searchsorted(i, i)
-                no = np.arange(len(i)) - first
-                keep = no < n
-                left.append(i[keep] + at)
-                right.append(j[keep] + lo)
-                dist.append(d[i[keep], j[keep]])
-                rank.append(no[keep] + 1)
+            for i, j, d, no in _nearest(*(v[lo:hi] for v in (x, y, w, h, ids)), k):
+                left.append(i + lo)
+                right.append(j + lo)
+                dist.append(d)
+                rank.append(no)
         a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (left, right))
         cols = [part[c].take(pa.array(a)).combine_chunks() for c in keys]
         cols += [pa.array(ids[a]), pa.array(ids[b]), pa.array(np.concatenate(rank).astype(np.int32) if rank else np.zeros(0, np.int32)), pa.array(np.concatenate(dist) if dist else np.zeros(0))]
@@ -162,6 +168,52 @@ def component_edges(boxes: DataFrame, keys: list[str], idx: str, k: int = 10, ga
     return e.where(near).select(*keys, "a", "b")
 
 
+def _rounded(x: float) -> Decimal:
+    return Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP)
+
+
+def breaks_of(values: np.ndarray) -> tuple[float, float]:
+    """(break_at, p90) as ``natural_breaks`` gives them, of the values of one group; 0 without any."""
+    v = np.sort(values)
+    n = len(v)
+    if not n:
+        return 0.0, 0.0
+    p90 = float(v[min(n - 1, int(n * 0.9))])
+    if n < 10:
+        return float(v[-1]) * 1.2, p90
+    s, q = np.cumsum(v), np.cumsum(v * v)
+    least = max(2, n // 10)
+    i = np.arange(least, max(n - least, least) + 1)
+    t, u, s, q = s[-1], q[-1], s[i - 1], q[i - 1]
+    wss = q - s * s / i + (u - q) - (t - s) * (t - s) / (n - i)
+    near = np.flatnonzero(wss <= wss.min() + 2e-6)  # only these can be least once they are rounded
+    at = int(i[min(near, key=lambda z: (_rounded(float(wss[z])), z))])
+    lo, hi = float(v[at - 1]), float(v[at])
+    return (hi + lo) / 2 if hi >= 2 * max(1.0, lo) else p90, p90
+
+
+def component_groups(boxes: np.ndarray, gaps: list[tuple[float, float]] = (), k: int = 10) -> np.ndarray:
+    """The groups of one raster's components, (n, 4) of x, y, w, h, inside a worker: what ``groups`` makes of ``component_edges``.
+
+    Each component has the position of the first of its group.
+    """
+    label = np.arange(len(boxes))
+    x, y, w, h = boxes.T.astype(np.float64)
+    near = list(_nearest(x, y, w, h, label, k))
+    if not near:
+        return label
+    a, b, d, _ = (np.concatenate(z) for z in zip(*near))
+    ca, cb, ma, mb = x[a] + w[a] / 2, x[b] + w[b] / 2, y[a] + h[a] / 2, y[b] + h[b] / 2
+    angle = np.abs(np.degrees(np.arctan2(mb - ma, cb - ca)))
+    flat = (angle <= 40) | (angle >= 140)
+    across, down = breaks_of(d[flat])[1], breaks_of(d[~flat])[0]
+    th, tv = across if across > 0 else h.mean() * 1.5, down if down > 0 else h.mean() * 2.0
+    joined = np.where(flat, d <= th, (d <= tv) & (x[a] <= x[b] + w[b]) & (x[b] <= x[a] + w[a]))
+    for l, r in gaps:
+        joined &= ~flat | ((l + r) / 2 <= np.minimum(ca, cb)) | ((l + r) / 2 >= np.maximum(ca, cb))
+    return closed(label, a[joined], b[joined])
+
+
 def groups(nodes: DataFrame, edges: DataFrame, keys: list[str], idx: str) -> DataFrame:
     """Connected groups: each node with the least index of its group.
 
@@ -186,15 +238,7 @@ def groups(nodes: DataFrame, edges: DataFrame, keys: list[str], idx: str) -> Dat
         link = np.flatnonzero(a != b)
         x = np.array([pos[k] for k in zip(code[link].tolist(), a[link].tolist())], np.int64)
         y = np.array([pos[k] for k in zip(code[link].tolist(), b[link].tolist())], np.int64)
-        label = np.arange(len(own))
-        while len(link):
-            before = label.copy()
-            low = np.minimum(label[x], label[y])
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
-            label = label[label]
-            if (label == before).all():
-                break
+        label = closed(np.arange(len(own)), x, y)
         rows = pa.array(own)
         return pa.RecordBatch.from_arrays([*[part[k].take(rows).combine_chunks() for k in keys], pa.array(a[own]), pa.array(a[own][label])], names=[*keys, idx, "cluster"])
 

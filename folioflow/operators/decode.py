@@ -131,9 +131,12 @@ def shared_out(text: Column, widths: Column) -> Column:
     return run(text, widths)
 
 
-def join_parts(parts: DataFrame, keys: list[str], no: str, trim: bool = True) -> DataFrame:
-    """Texts of windows or words of a line joined by spaces; blank ones leave; score is the mean of the others, 0 without."""
+def join_parts(parts: DataFrame, keys: list[str], no: str, trim: bool = True, keep: list[str] = ()) -> DataFrame:
+    """Texts of windows or words of a line joined by spaces; blank ones leave; score is the mean of the others, 0 without.
+
+    ``keep``: further columns, the same for all parts of a line.
+    """
     text = F.trim("text") if trim else F.col("text")
     ok = F.col("text").rlike(r"\S")
     piece = F.when(ok, F.struct(F.col(no), text.alias("t")))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), " ").alias("text"), F.coalesce(F.avg(F.when(ok, F.col("score").cast("double"))), F.lit(0.0)).alias("score"))
+    return parts.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in keep], F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), " ").alias("text"), F.coalesce(F.avg(F.when(ok, F.col("score").cast("double"))), F.lit(0.0)).alias("score"))

@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -63,18 +63,14 @@ class Regions:
     """The crops of detections before they are cut: ``src`` has a page and its detections in each row, ``cut`` makes the crops."""
 
     src: DataFrame
-    cut: Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]]  # a page at a time: (page key, det_idx, label, box, crop, comps)
+    cut: Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]]  # a page at a time: (page key, det_idx, label, box, crop)
 
 
-def regions(pages: DataFrame | Pages, detections: DataFrame, comps: DataFrame | None = None) -> Regions:
-    """Crops to be cut inside the worker that uses them. ``comps``: region key, comps (boxes inside the crop)."""
+def regions(pages: DataFrame | Pages, detections: DataFrame) -> Regions:
+    """Crops to be cut inside the worker that uses them."""
     p = _images(pages)
     held = [F.col("det_idx"), F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("Text")).alias("label"), F.col("box")]
-    dets = detections.where("box is not null")
-    if comps is not None:
-        dets = dets.join(comps.select(*REGION, "comps"), REGION, "left")
-        held.append(F.col("comps"))
-    dets = dets.groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("dets"))
+    dets = detections.where("box is not null").groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("dets"))
     image = p.image
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -88,22 +84,22 @@ def regions(pages: DataFrame | Pages, detections: DataFrame, comps: DataFrame |
                     x, y = max(int(d["box"]["x"]), 0), max(int(d["box"]["y"]), 0)
                     cw, chh = min(int(d["box"]["w"]), w - x), min(int(d["box"]["h"]), h - y)
                     if cw > 0 and chh > 0:
-                        out.append((e, p, d["det_idx"], d["label"], d["box"], img[y : y + chh, x : x + cw], d.get("comps")))
+                        out.append((e, p, d["det_idx"], d["label"], d["box"], img[y : y + chh, x : x + cw]))
                 yield out
 
     return Regions(p.rows.join(dets, PAGE_KEY), cut)
 
 
-def _uncut(cropped: DataFrame, comps: bool = False) -> Regions:
+def _uncut(cropped: DataFrame) -> Regions:
     """Crops that are a table already."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for b in batches:
             for i in range(b.num_rows):
-                e, p, d, label, box, w, h, ch, data, *of = (c[i].as_py() for c in b.columns)
-                yield [(e, p, d, label, box, pixels(data, h, w, ch), of[0] if of else None)]
+                e, p, d, label, box, w, h, ch, data = (c[i].as_py() for c in b.columns)
+                yield [(e, p, d, label, box, pixels(data, h, w, ch))]
 
-    return Regions(cropped.select(*REGION, "label", "box", "img_w", "img_h", "channels", "data", *["comps"] * comps), cut)
+    return Regions(cropped.select(*REGION, "label", "box", "img_w", "img_h", "channels", "data"), cut)
 
 
 def crops(pages: DataFrame | Pages, detections: DataFrame) -> DataFrame:
@@ -127,42 +123,31 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 # -- components -------------------------------------------------------------------------------------------------------
 
-_PART = f"extraction_id bigint, page_no int, det_idx int, part bigint, box {BOX}, area int, crop_w int, crop_h int"
+_COMPS = f"extraction_id bigint, page_no int, det_idx int, comps array<{BOX}>"
 
 
-_GAPS = "extraction_id bigint, page_no int, det_idx int, gaps array<struct<l:double,r:double>>"
+def _box(x: float, y: float, w: float, h: float) -> dict[str, float]:
+    return {"x": float(x), "y": float(y), "w": float(w), "h": float(h)}
 
 
-def ink_components(cropped: DataFrame | Regions) -> tuple[DataFrame, DataFrame]:
-    """Connected components of every crop's ink, in its own coordinates, and the column gaps (region key, gaps) of its ink.
+def ink_groups(crops: list[tuple[str, tuple[np.ndarray, np.ndarray]]]) -> list[list[dict[str, float]]]:
+    """The groups of the crops' ink components of text size, from top to bottom, then left to right; none of a label that is read as one piece.
 
-    Crops whose labels are read as one piece are left out.
+    Crops come with their label and are given by their bands: the rows that differ, and how often each stands.
     """
-    r = cropped if isinstance(cropped, Regions) else _uncut(cropped)
-    cut = r.cut
-
-    def inks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        for found in cut(batches):
-            yield [(e, p, d, raster.binarize(raster.weighted_grey(img))) for e, p, d, label, _, img, _ in found if label.lower() not in ATOMIC]
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in inks(batches):
-            yield _rows([(e, p, d, k, {"x": float(l), "y": float(t), "w": float(r - l), "h": float(q - t)}, n, ink.shape[1], ink.shape[0]) for e, p, d, ink in found for k, (l, t, r, q, n) in enumerate(raster.components(ink))], _PART)
-
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in inks(batches):
-            yield _rows([(e, p, d, [{"l": float(l), "r": float(r)} for l, r in raster.column_gaps(ink)]) for e, p, d, ink in found], _GAPS)
-
-    return r.src.mapInArrow(parts, _PART), r.src.mapInArrow(gaps, _GAPS)
-
-
-def ink_groups(cropped: DataFrame | Regions) -> DataFrame:
-    """(region key, comps): the groups of the ink components of crops that have any."""
-    parts, gaps = ink_components(cropped)
-    parts = written(layout.text_components(parts, REGION, F.col("crop_w"), F.col("crop_h")), "components")
-    groups = cluster.groups(parts, cluster.component_edges(parts, REGION, "part", gaps=written(gaps, "gaps")), REGION, "part")
-    boxes = parts.join(groups, [*REGION, "part"]).groupBy(*REGION, "cluster").agg(G.union_agg(F.col("box")).alias("u"))
-    return boxes.groupBy(*REGION).agg(F.transform(F.array_sort(F.collect_list(F.struct("u.y", "u.x", "cluster", "u"))), lambda z: z["u"]).alias("comps"))
+    parted = [k for k, (label, _) in enumerate(crops) if label.lower() not in ATOMIC]
+    inks = [(raster.binarize(raster.weighted_grey(rows), times), times) for rows, times in (crops[k][1] for k in parted)]
+    out: list[list[dict[str, float]]] = [[] for _ in crops]
+    for k, found, (ink, times) in zip(parted, raster.components_of(inks), inks):
+        parts = raster.text_sized(found, int(times.sum()), ink.shape[1])
+        if parts:
+            l, t, r, b, _ = np.array(parts).T
+            groups: dict[int, list[int]] = {}
+            for g, *x in zip(cluster.component_groups(np.stack([l, t, r - l, b - t], 1), raster.column_gaps(ink, times)).tolist(), *(v.tolist() for v in (t, l, r, b))):
+                u = groups.setdefault(g, x)
+                groups[g] = [min(u[0], x[0]), min(u[1], x[1]), max(u[2], x[2]), max(u[3], x[3])]
+            out[k] = [_box(x, y, right - x, bottom - y) for y, x, _, right, bottom in sorted((y, x, g, right, bottom) for g, (y, x, right, bottom) in groups.items())]
+    return out
 
 
 def components(cropped: DataFrame, o: OcrOptions) -> DataFrame:
@@ -171,16 +156,23 @@ def components(cropped: DataFrame, o: OcrOptions) -> DataFrame:
     The whole crop, or, with clustering, the groups of its ink components; labels that are read as one piece stay whole, and
     so do crops without ink of text size.
     """
-    whole = G.box(F.lit(0.0), F.lit(0.0), F.col("img_w"), F.col("img_h"))
-    if not o.cluster:
-        return cropped.select(*REGION, F.array(whole).alias("comps"))
-    return cropped.select(*REGION, whole.alias("whole")).join(ink_groups(cropped), REGION, "left").select(*REGION, F.coalesce("comps", F.array("whole")).alias("comps"))
+    r = _uncut(cropped)
+    cut = r.cut
+
+    def of(found: list[tuple]) -> list[list[dict[str, float]]]:
+        groups = ink_groups([(x[3], raster.banded(x[5])) for x in found]) if o.cluster else [[] for _ in found]
+        return [g or [_box(0, 0, x[5].shape[1], x[5].shape[0])] for g, x in zip(groups, found)]
+
+    return r.src.mapInArrow(lambda batches: (_rows([(*x[:3], c) for x, c in zip(found, of(found))], _COMPS) for found in cut(batches)), _COMPS)
 
 
 # -- pieces -----------------------------------------------------------------------------------------------------------
 
 PIECE = f"extraction_id bigint, page_no int, det_idx int, label string, comp_no int, comp_box {BOX}, line_no int, line_box {BOX}, piece_no int, x0 int, x1 int, ink double, spans array<double>, {_IMAGE}"
-SPLITTERS: dict[str, Callable[[np.ndarray], list[tuple[int, int]]]] = {"cca": raster.words_by_components, "rlsa": raster.words_by_smearing, "aom": raster.words_by_oversplit}
+#: Words of lines, given by their bands.
+SPLITTERS: dict[str, Callable[[list[tuple[np.ndarray, np.ndarray]]], list[list[tuple[int, int]]]]] = {
+    "cca": raster.words_of, "rlsa": lambda lines: [raster.words_by_smearing(*x) for x in lines], "aom": lambda lines: [raster.words_by_oversplit(*x) for x in lines]
+}
 
 
 def median_strips(strips: list[tuple[int, int]], ratio: float) -> list[tuple[int, int]]:
@@ -191,58 +183,77 @@ def median_strips(strips: list[tuple[int, int]], ratio: float) -> list[tuple[int
     return [s for s in strips if s[1] - s[0] >= m * ratio] or strips
 
 
-def _pieces(region: tuple, o: OcrOptions, prep: PreprocessOptions, splitter: str) -> Iterator[tuple]:
-    """The rows of ``PIECE`` of one crop, each with its image instead of the columns of one."""
-    split = SPLITTERS[splitter]
-    e, p, d, label, box, crop, comps = region
-    for comp_no, c in enumerate(comps or [{"x": 0.0, "y": 0.0, "w": float(crop.shape[1]), "h": float(crop.shape[0])}]):
-        cx, cy = max(int(c["x"]), 0), max(int(c["y"]), 0)
-        comp = crop[cy : cy + int(c["h"]), cx : cx + int(c["w"])]
-        if not comp.size:
-            continue
-        place = {"x": box["x"] + c["x"], "y": box["y"] + c["y"], "w": c["w"], "h": c["h"]}
-        made = raster.preprocess(comp, prep) if prep.enabled else None
-        work = comp if made is None else made
-        for line_no, (top, bottom) in enumerate(median_strips(raster.line_strips(work, o.top_pad), o.median_ratio)):
-            line = work[top:bottom]
-            at = {"x": place["x"], "y": place["y"] + top, "w": float(work.shape[1]), "h": float(bottom - top)}
-            if prep.enabled:
-                line = raster.upscaled(line, prep.upscale_under, prep.upscale_to)
-            spans: list[tuple[int, int]] = []
-            row = times = None  # of a stretched line only the rows that differ are kept
-            if o.segmentation is WordSegmentation.WINDOW:
-                line, row = raster.resized_rows(line, o.line_height, max(1, round(line.shape[1] * o.line_height / line.shape[0])))
-                times = np.bincount(row)
-            dark = raster.dark(line, times)
-            if o.segmentation is WordSegmentation.WINDOW:
-                parts = raster.windows(dark if o.min_ink <= 0 else dark[row], o.window, o.min_gap, o.min_ink)
-            elif o.segmentation is WordSegmentation.WORD:
-                parts = split(line)
+def _lines(found: list[tuple], o: OcrOptions, prep: PreprocessOptions) -> Iterator[tuple]:
+    """The lines of a page's crops: the first columns of ``PIECE``, the rows that differ, and which of them each row is.
+
+    Equal rows are looked at once, and the components of all crops are linked in one go.
+    """
+    edges = [raster.bands(x[5]) for x in found]
+    groups = ink_groups([(x[3], raster.banded(x[5], e)) for x, e in zip(found, edges)]) if o.cluster else [[] for _ in found]
+    works, dark = [], []
+    for (e, p, d, label, box, crop), edge, comps in zip(found, edges, groups):
+        for comp_no, c in enumerate(comps or [_box(0, 0, crop.shape[1], crop.shape[0])]):
+            cx, cy = max(int(c["x"]), 0), max(int(c["y"]), 0)
+            comp = crop[cy : cy + int(c["h"]), cx : cx + int(c["w"])]
+            if not comp.size:
+                continue
+            place = {"x": box["x"] + c["x"], "y": box["y"] + c["y"], "w": c["w"], "h": c["h"]}
+            made = raster.preprocess(comp, prep) if prep.enabled else None
+            work = comp if made is None else made
+            rows = [0, *(y - cy for y in edge if 0 < y - cy < len(comp)), len(comp)] if made is None else raster.bands(work)
+            works.append(((e, p, d, label, comp_no, place), work, rows))
+            seen, times = raster.banded(work, rows)
+            dark.append((raster.mean_grey(seen) < 128, times))
+    for (at, work, rows), parts in zip(works, raster.components_of(dark)):
+        place = at[5]
+        for line_no, (top, bottom) in enumerate(median_strips(raster.strips_of(parts, o.top_pad), o.median_ratio)):
+            line_box = {"x": place["x"], "y": place["y"] + top, "w": float(work.shape[1]), "h": float(bottom - top)}
+            if o.segmentation is WordSegmentation.WINDOW or prep.enabled:
+                line = work[top:bottom]
+                if prep.enabled:
+                    line = raster.upscaled(line, prep.upscale_under, prep.upscale_to)
+                if o.segmentation is WordSegmentation.WINDOW:
+                    line, row = raster.resized_rows(line, o.line_height, max(1, round(line.shape[1] * o.line_height / line.shape[0])))
+                    yield (*at, line_no, line_box), line, np.bincount(row), row
+                    continue
+                line, times = raster.banded(line)
             else:
-                parts = []
-                spans = split(line) if o.segmentation is WordSegmentation.PROPORTIONAL else []
-            pad = o.pad if o.segmentation is WordSegmentation.WINDOW else 0
-            for piece_no, (x0, x1) in enumerate(parts or [(0, line.shape[1] - 1)]):
-                x0, x1 = max(0, x0 - pad), min(line.shape[1], x1 + 1 + pad)
-                ink, image = dark[:, x0:x1], line[:, x0:x1]
-                share = np.count_nonzero(ink) / ink.size if row is None else int(np.count_nonzero(ink, axis=1) @ times) / (len(row) * ink.shape[1])
-                yield e, p, d, label, comp_no, place, line_no, at, piece_no, x0, x1, share, [float(r - l + 1) for l, r in spans], image if row is None else image[row]
+                line, times = raster.banded(work, rows, top, bottom)
+            yield (*at, line_no, line_box), line, times, np.arange(len(times)).repeat(times)
+
+
+def _pieces(found: list[tuple], o: OcrOptions, prep: PreprocessOptions, splitter: str) -> Iterator[tuple]:
+    """The rows of ``PIECE`` of a page's crops, each with its image instead of the columns of one."""
+    lines = list(_lines(found, o, prep))
+    kind = o.segmentation
+    split = SPLITTERS[splitter]([x[1:3] for x in lines]) if kind in (WordSegmentation.WORD, WordSegmentation.PROPORTIONAL) else [[] for _ in lines]
+    pad = o.pad if kind is WordSegmentation.WINDOW else 0
+    for (at, line, times, row), cuts in zip(lines, split):
+        dark = raster.dark(line, times)
+        if kind is WordSegmentation.WINDOW:
+            cuts = raster.windows(dark if o.min_ink <= 0 else dark[row], o.window, o.min_gap, o.min_ink)
+        spans = [float(r - l + 1) for l, r in cuts] if kind is WordSegmentation.PROPORTIONAL else []
+        for piece_no, (x0, x1) in enumerate(cuts if cuts and not spans else [(0, line.shape[1] - 1)]):
+            x0, x1 = max(0, x0 - pad), min(line.shape[1], x1 + 1 + pad)
+            ink = dark[:, x0:x1]
+            share = int(np.count_nonzero(ink, axis=1) @ times) / (len(row) * ink.shape[1])
+            yield *at, piece_no, x0, x1, share, spans, line[:, x0:x1][row]
 
 
 def cut_pieces(r: Regions, o: OcrOptions, prep: PreprocessOptions, splitter: str) -> Cut:
     """Pieces that stay in the worker until they are read."""
     cut = r.cut
-    return Cut(r.src, lambda batches: ([x for region in found for x in _pieces(region, o, prep, splitter)] for found in cut(batches)), PIECE.removesuffix(f", {_IMAGE}"))
+    return Cut(r.src, lambda batches: (list(_pieces(found, o, prep, splitter)) for found in cut(batches)), PIECE.removesuffix(f", {_IMAGE}"))
 
 
 def pieces(cropped: DataFrame | Regions, o: OcrOptions = OcrOptions(), prep: PreprocessOptions = PreprocessOptions(), splitter: str = "cca", image: bool = True) -> DataFrame:
     """What a recognizer has to read: lines, or their words or windows, with their place. Boxes are those of the page.
 
     Lines come from strips of ink, with ``o.median_ratio`` applied; a line of which no part is left is read whole.
-    Regions come with their components. ``image`` off leaves out the pixels.
+    ``image`` off leaves out the pixels.
     """
     if not isinstance(cropped, Regions):
-        cropped = _uncut(cropped.join(components(cropped, o), REGION) if o.cluster else cropped, o.cluster)
+        cropped = _uncut(cropped)
     c = cut_pieces(cropped, o, prep, splitter)
     cut = c.cut
     if image:
@@ -317,9 +328,8 @@ def read(images: DataFrame | Cut, plugin: Plugin, batch: int = 32) -> DataFrame:
 def lines_read(found: DataFrame, o: OcrOptions) -> DataFrame:
     """Lines (region key, label, comp_no, comp_box, line_no, line_box, text, score) from read pieces, joined in order."""
     keys = [*REGION, "comp_no", "line_no"]
-    joined = decode.join_parts(found, keys, "piece_no", trim=o.segmentation is WordSegmentation.WINDOW)
-    places = found.groupBy(*keys).agg(F.any_value("label").alias("label"), F.any_value("comp_box").alias("comp_box"), F.any_value("line_box").alias("line_box"), F.any_value("spans").alias("spans"))
-    out = places.join(joined, keys)
+    # a line is known by its place, which all of its pieces share, so one group gives its place and its text
+    out = decode.join_parts(found, keys, "piece_no", trim=o.segmentation is WordSegmentation.WINDOW, keep=["label", "comp_box", "line_box", "spans"])
     if o.segmentation is WordSegmentation.PROPORTIONAL:
         out = out.withColumn("text", F.when(F.size("spans") > 1, decode.shared_out(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     return out.drop("spans")
@@ -335,35 +345,30 @@ def assembled(lines: DataFrame, penalties: list[Callable[[Column], Column]] = (Q
     l = lines.where(Q.not_blank(F.col("text"))).withColumn("conf", Q.line_confidence(F.col("score"), *[p(F.col("text")) for p in penalties]))
     l = l.withColumn("comp", F.struct(*comp)).withColumn("box", F.col("line_box"))
     l = order.split_paragraphs(l.select("comp", "label", "line_no", "box", "text", "conf"), "comp")
-    mean = l.groupBy("comp").agg(F.avg("conf").alias("confidence"))
-    g = l.groupBy("comp", "paragraph").agg(F.any_value("label").alias("label"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"), G.union_agg(F.col("box")).alias("box"))
-    g = g.join(mean, "comp").select("comp.*", "paragraph", "label", "confidence", "box", "lines")
+    l = l.withColumn("confidence", F.avg("conf").over(Window.partitionBy("comp")))  # in the exchange of the paragraphs: lines are made once
+    g = l.groupBy("comp", "paragraph").agg(F.any_value("label").alias("label"), F.any_value("confidence").alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"), G.union_agg(F.col("box")).alias("box"))
+    g = g.select("comp.*", "paragraph", "label", "confidence", "box", "lines")
     return numbered(g, ["det_idx", "comp_no", "paragraph"])
 
 
 def numbered(blocks: DataFrame, by: list[str]) -> DataFrame:
     """Blocks numbered on their page in the order of ``by``."""
-    from pyspark.sql import Window
-
     no = F.row_number().over(Window.partitionBy(*PAGE_KEY).orderBy(*by)) - 1
     return blocks.withColumn("block_idx", no.cast("int")).select(*REGION, "block_idx", "label", "confidence", "box", "lines")
 
 
 def read_pieces(pages: DataFrame | Pages, detections: DataFrame, plugin: Plugin, o: OcrOptions = OcrOptions(), prep: PreprocessOptions = PreprocessOptions(), splitter: str = "cca") -> DataFrame:
-    """The pieces of detections with what a recognizer says of them. A page is cut and read in one worker; with clustering it is cut twice more before."""
-    comps = written(ink_groups(regions(pages, detections)), "groups") if o.cluster else None
-    return read(cut_pieces(regions(pages, detections, comps), o, prep, splitter), plugin, o.batch)
+    """The pieces of detections with what a recognizer says of them. A page is cut, parted and read in one worker."""
+    return read(cut_pieces(regions(pages, detections), o, prep, splitter), plugin, o.batch)
 
 
 def ocr_blocks(pages: DataFrame | Pages, detections: DataFrame, plugin: Plugin, o: OcrOptions = OcrOptions(), prep: PreprocessOptions = PreprocessOptions(), splitter: str = "cca") -> DataFrame:
     """Blocks recognized in the detections of page images."""
-    return assembled(lines_read(written(read_pieces(pages, detections, plugin, o, prep, splitter), "read"), o))
+    return assembled(lines_read(read_pieces(pages, detections, plugin, o, prep, splitter), o))
 
 
 def profile(found: DataFrame) -> DataFrame:
     """Counters of a recognition run by region: pieces, mean width, milliseconds, errors and each region's share of the time."""
-    from pyspark.sql import Window
-
     g = found.groupBy(*REGION).agg(F.count(F.lit(1)).alias("pieces"), F.avg("img_w").alias("mean_width"), F.sum("ms").alias("ms"), F.count("error").alias("errors"))
     total = F.sum("ms").over(Window.partitionBy())
     return g.withColumn("share", F.coalesce(F.lit(100.0) * F.col("ms") / F.nullif(total, F.lit(0.0)), F.lit(0.0)))
@@ -376,7 +381,7 @@ def region_blocks(pages: DataFrame | Pages, detections: DataFrame, plugin: Plugi
     """
     r = regions(pages, detections)
     cut = r.cut
-    whole = Cut(r.src, lambda batches: ([x[:6] for x in found] for found in cut(batches)), _CROP.removesuffix(f", {_IMAGE}"))
+    whole = Cut(r.src, cut, _CROP.removesuffix(f", {_IMAGE}"))
     found = read(whole, plugin, 1).where(Q.not_blank(F.col("text")))
     texts = Q.text_lines(F.col("text")) if split else F.array("text")
     lines = F.transform(texts, lambda t: F.struct(t.alias("text"), F.col("box").alias("box")))

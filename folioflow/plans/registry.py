@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -826,14 +827,17 @@ def drawn_pages(s, d) -> ocr.Pages:
     l = l.select(*PAGE_KEY, "line_id", "text", "box").repartition(n, *PAGE_KEY).dropDuplicates([*PAGE_KEY, "line_id"])
     g = l.groupBy(*PAGE_KEY).agg(F.collect_list(F.struct("text", "box")).alias("ls"))
 
+    def marks(text: str, left: float) -> list[tuple[int, int]]:
+        """Runs of signs other than spaces; left of the page each sign is a run, as it may lie outside."""
+        return [m.span() for m in re.finditer(r"\S+" if left >= 0 else r"\S", text)]
+
     def image(ls):
         img = np.full((int(max(x["box"]["y"] + x["box"]["h"] for x in ls)) + 8, int(max(x["box"]["x"] + x["box"]["w"] for x in ls)) + 8), 255, np.uint8)
         for x in ls:
             t, q, left, step = int(x["box"]["y"]), int(x["box"]["y"] + x["box"]["h"]), x["box"]["x"], x["box"]["w"] / max(len(x["text"]), 1)
             cells = np.full(img.shape[1], 255, np.uint8)
-            for k, sign in enumerate(x["text"]):
-                if not sign.isspace():
-                    cells[int(left + k * step) : int(left + (k + 1) * step)] = 0
+            for k, end in marks(x["text"], left):
+                cells[int(left + k * step) : int(left + end * step)] = 0
             np.minimum(img[t:q], cells, out=img[t:q])
         return img
 

@@ -516,6 +516,42 @@ def test_components_are_read_on_their_own(spark):
     assert [tuple(c) for c in got[1]] == [(0.0, 0.0, 400.0, 200.0)] and [tuple(c) for c in got[2]] == [(0.0, 0.0, 100.0, 60.0)]  # whole: one piece, or no ink
 
 
+def test_a_page_with_clusters_is_made_once(spark, tmp_path):
+    log = str(tmp_path / "made")
+
+    def draw(y):
+        with open(log, "a") as f:
+            f.write("page\n")
+        return text_page([(y, 12, [(10, 40), (60, 50), (130, 40)])])
+
+    pages = ocr.Pages(spark.createDataFrame([(1, p, 20 * p) for p in (1, 2, 3)], "extraction_id bigint, page_no int, y int"), draw)
+    det = spark.createDataFrame([(1, p, 0, "Text", 9, 0.9, (5.0, 10.0, 200.0, 150.0)) for p in (1, 2, 3)], DETECTION)
+    got = ocr.ocr_blocks(pages, det, models.Plugin("stub"), schema.OcrOptions(segmentation=schema.WordSegmentation.PROPORTIONAL, cluster=True))
+    assert len(got.collect()) >= 3 and len(open(log).readlines()) == 3
+
+
+def test_groups_in_the_worker_are_those_of_the_edges(spark):
+    r = np.random.default_rng(5)
+    boxes = {(1, p): np.unique(r.integers((0, 0, 2, 2), (300, 200, 40, 14), (n, 4)), axis=0).astype(float) for p, n in enumerate((1, 2, 9, 30, 90))}
+    df = spark.createDataFrame([(e, p, i, tuple(b.tolist())) for (e, p), bs in boxes.items() for i, b in enumerate(bs)], B)
+    spark.createDataFrame([(1, 4, [(140.0, 150.0), (200.0, 201.0)])], "extraction_id bigint, page_no int, gaps array<struct<l:double,r:double>>").createOrReplaceTempView("column_gaps")
+    keys = ["extraction_id", "page_no"]
+    edges = cluster.component_edges(df, keys, "block_idx", gaps=spark.table("column_gaps"))
+    want = {(x.page_no, x.block_idx): x.cluster for x in cluster.groups(df, edges, keys, "block_idx").collect()}
+    got = {(p, i): g for (_, p), bs in boxes.items() for i, g in enumerate(cluster.component_groups(bs, [(140, 150), (200, 201)] if p == 4 else ()).tolist())}
+    assert got == want and len({g for (p, _), g in got.items() if p == 4}) > 1
+
+
+def test_components_of_several_masks_are_those_of_each():
+    r = np.random.default_rng(3)
+    inks = [np.repeat(r.random((r.integers(1, 9), r.integers(1, 30))) < 0.4, r.integers(1, 4), 0) for _ in range(40)]
+    many = raster.components_of([raster.banded(i) for i in inks])
+    assert many == [raster.components(i) for i in inks] and all(sum(x[4] for x in found) == i.sum() for found, i in zip(many, inks))
+    lines = [np.where(i, 0, 255).astype(np.uint8) for i in inks]
+    assert raster.words_of([raster.banded(x) for x in lines]) == [raster.words_by_components(x) for x in lines]
+    assert raster.otsu_values([1, 1, 9, 10]) == 1 and raster.otsu_values([4, 4]) == 0
+
+
 def test_read_by_width_and_errors(spark):
     seen = []
 
