@@ -815,15 +815,20 @@ def sql_functions(s, d):
 # -- recognition of drawn pages -----------------------------------------------------------------------------------------
 
 
+LINES_A_TASK = 40_000  # lines whose pages one task draws: some 2000 pages
+
+
 def drawn_pages(s, d) -> ocr.Pages:
     """Page images drawn from the recognized lines, in the worker that cuts them: every sign but a space is a dark cell of its line's box.
 
-    The number of partitions is fixed: by their bytes, lines would meet in few tasks, but each page costs milliseconds of drawing and cutting.
+    The number of partitions goes by the lines: by their bytes, lines would meet in few tasks, but each page costs milliseconds of drawing and
+    cutting, and with a fixed number the pages that a task sorts and hands to its worker would grow with the table.
     """
     import numpy as np
 
-    n = max(int(s.conf.get("spark.sql.shuffle.partitions")), 4 * s.sparkContext.defaultParallelism)
-    l = table(s, d, "text_lines").where("line_id is not null and text is not null and box is not null and extraction_id is not null and page_no is not null")
+    lines = table(s, d, "text_lines")
+    n = max(int(s.conf.get("spark.sql.shuffle.partitions")), 4 * s.sparkContext.defaultParallelism, -(-lines.count() // LINES_A_TASK))
+    l = lines.where("line_id is not null and text is not null and box is not null and extraction_id is not null and page_no is not null")
     l = l.select(*PAGE_KEY, "line_id", "text", "box").repartition(n, *PAGE_KEY).dropDuplicates([*PAGE_KEY, "line_id"])
     g = l.groupBy(*PAGE_KEY).agg(F.collect_list(F.struct("text", "box")).alias("ls"))
 

@@ -18,7 +18,7 @@ from folioflow.functions import sqlfuncs
 from folioflow.functions import stats as S
 from folioflow.operators import cluster, decode, layout, models, order, raster, words
 from folioflow import schema
-from folioflow.plans import cascade, document, ocr
+from folioflow.plans import cascade, document, ocr, registry
 from folioflow.schema import BOX, DETECTION
 from folioflow.sources import files, sinks
 from folioflow.streaming import files as streaming
@@ -552,6 +552,20 @@ def test_components_of_several_masks_are_those_of_each():
     assert raster.otsu_values([1, 1, 9, 10]) == 1 and raster.otsu_values([4, 4]) == 0
 
 
+def test_tasks_of_drawn_pages_do_not_grow(spark, tmp_path, monkeypatch):
+    rows = [(i, 1, i // 2, 9, "ab cd", (5.0, 10.0 + 20 * (i % 2), 90.0, 12.0)) for i in range(60)]
+    spark.createDataFrame(rows, f"line_id bigint, page_no int, extraction_id bigint, line_no int, text string, box {BOX}").write.parquet(str(tmp_path / "text_lines.parquet"))
+    few = registry.drawn_pages(spark, str(tmp_path)).rows.rdd.getNumPartitions()
+    monkeypatch.setattr(registry, "LINES_A_TASK", 1, raising=False)
+    many = registry.drawn_pages(spark, str(tmp_path)).rows
+    assert few == 16 and many.rdd.getNumPartitions() == 60 and many.count() == 30
+    r = ocr.regions(registry.drawn_pages(spark, str(tmp_path)), spark.createDataFrame([(e, 1, 0, "Text", 9, 0.9, (0.0, 0.0, 95.0, 60.0)) for e in range(30)], DETECTION))
+    cut = r.cut
+    page = next(ocr.cut_pieces(r, schema.OcrOptions(segmentation=schema.WordSegmentation.WORD), schema.PreprocessOptions(), "cca").cut(iter(r.src.limit(1).toArrow().to_batches())))
+    whole = next(cut(iter(r.src.limit(1).toArrow().to_batches())))
+    assert page and not any(np.shares_memory(x[-1], w[-1]) for x in page for w in whole) and all(x[-1].base is None for x in page)  # a piece that waits holds no page
+
+
 def test_read_by_width_and_errors(spark):
     seen = []
 
