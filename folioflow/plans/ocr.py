@@ -408,10 +408,12 @@ def embedded_blocks(words: DataFrame, detections: DataFrame, strong: DataFrame)
     labels = dets.where("strong").select(*REGION, "label", "box")
     inside = written(layout.words_in_regions(words.select(*PAGE_KEY, "word_idx", "text", "box"), labels), "words-in-regions")
     groups = cluster.groups(inside, cluster.word_edges(inside, REGION, "word_idx"), REGION, "word_idx")
-    w = inside.join(groups, [*REGION, "word_idx"]).withColumn("comp", F.struct(*REGION, "cluster"))
+    # a write after each step, as the shuffle files of a step go with it
+    w = written(inside.join(groups, [*REGION, "word_idx"]), "word-groups").withColumn("comp", F.struct(*REGION, "cluster"))
     built = order.build_lines(w.select("comp", "word_idx", (-(F.col("box.y") + F.col("box.h"))).alias("bottom"), F.col("box.x").alias("left"), F.col("box.h").alias("height"), "text"), keys=["comp"])
     placed = built.join(w.select("comp", "word_idx", "box"), ["comp", "word_idx"])
     lines = placed.groupBy("comp", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "word_idx", "text"))), lambda x: x["text"]), " ").alias("text"), G.union_agg(F.col("box")).alias("box"))
+    lines = written(lines, "word-lines")
     paras = order.split_paragraphs(lines, "comp").groupBy("comp", "paragraph").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text", "box").alias("l")))), lambda x: x["l"]).alias("lines"), G.union_agg(F.col("box")).alias("box"))
     text = F.array_join(F.transform("lines", lambda x: x["text"]), "")
     conf = Q.block_confidence(Q.line_count_metric(F.size("lines"), F.length(text)), Q.upper_ratio(text))

@@ -4,6 +4,7 @@ import json
 import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from folioflow.functions import sqlfuncs
 from folioflow.functions import stats as S
 from folioflow.operators import cluster, decode, layout, models, order, raster, words
 from folioflow import schema
-from folioflow.plans import cascade, document, ocr, registry
+from folioflow.plans import cascade, document, materialize, ocr, registry
 from folioflow.schema import BOX, DETECTION
 from folioflow.sources import files, sinks
 from folioflow.streaming import files as streaming
@@ -604,6 +605,19 @@ def test_document_from_page_to_json(spark):
     assert [x.lines[0].text for x in document.extract(pages.limit(0), words, det)[0].collect()] == ["embedded words"] and document.extract(pages, words.limit(0), det.limit(0))[0].count() == 0
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {n for f in [blocks.getAllFiles()] for i in range(f.size()) if (n := f.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+    before = held()
+    t = materialize.written(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left and {x.k: x.n for x in t.collect()} == {k: len(range(k, 5000, 7)) for k in range(7)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_many_characters_are_no_strong_text(spark):
     words = spark.createDataFrame([(1, 1, 1, "short", (0.0, 0.0, 10.0, 10.0)), (2, 1, 1, "a" * 90, (0.0, 0.0, 10.0, 10.0))], f"extraction_id bigint, page_no int, word_idx bigint, text string, box {BOX}")
     strong = lambda **o: {x.extraction_id: x.strong for x in cascade.strong_text(words, ["word_idx"], schema.CascadeOptions(**o)).collect()}
