@@ -567,6 +567,63 @@ def test_tasks_of_drawn_pages_do_not_grow(spark, tmp_path, monkeypatch):
     assert page and not any(np.shares_memory(x[-1], w[-1]) for x in page for w in whole) and all(x[-1].base is None for x in page)  # a piece that waits holds no page
 
 
+def plainly_turned(g, degrees):
+    """Linear interpolation over white, a pixel at a time."""
+    h, w = g.shape
+    a, out = np.deg2rad(degrees), np.empty(g.shape)
+    at = lambda y, x: int(g[y, x]) if 0 <= y < h and 0 <= x < w else 255
+    for y in range(h):
+        for x in range(w):
+            u, v = np.cos(a) * (x - w / 2) - np.sin(a) * (y - h / 2) + w / 2, np.sin(a) * (x - w / 2) + np.cos(a) * (y - h / 2) + h / 2
+            i, j = int(np.floor(v)), int(np.floor(u))
+            p, q = v - i, u - j
+            out[y, x] = (at(i, j) * (1 - q) + at(i, j + 1) * q) * (1 - p) + (at(i + 1, j) * (1 - q) + at(i + 1, j + 1) * q) * p
+    return out
+
+
+def test_skewed_crops_are_turned_and_thresholded():
+    r = np.random.default_rng(2)
+    g = r.integers(0, 256, (37, 50)).astype(np.uint8)
+    assert all(np.abs(raster.rotate(g, a) - plainly_turned(g, a)).max() <= 0.51 for a in (-5.0, 0.5, 40.0))
+    assert np.array_equal(raster.rotate(g, 0.0), g)
+    text = np.full((140, 300), 255, np.uint8)
+    for y in range(20, 120, 20):
+        text[y : y + 8, 20:280] = 0
+    for img in (g, text, raster.rotate(text, 2.0), raster.rotate(text, -3.5), r.integers(0, 256, (90, 33)).astype(np.uint8)):
+        spread = [raster.row_variance(raster.rotate(img, a)) for a in np.arange(-5, 5.5, 0.5)]
+        assert raster.skew(img) == -5 + 0.5 * int(np.argmax(spread))  # the first of the best
+    assert raster.row_variance(np.array([[0, 127], [128, 255]])) == 1.0  # dark pixels are counted, not their ink
+    tilted = raster.rotate(text, 3.0)
+    assert raster.skew(tilted) == -3.0 and raster.skew(np.full((70, 90), 255, np.uint8)) == -5.0
+    assert len(raster.line_strips(tilted)) == 1 and len(raster.line_strips(raster.preprocess(tilted))) == 5
+    low = tilted[:59]
+    assert np.array_equal(raster.preprocess(low), np.where(raster.adaptive_ink(low), 0, 255))  # too low to be turned
+    k = np.exp(-((np.arange(31) - 15) ** 2) / 50)
+    along = lambda x, axis: np.apply_along_axis(lambda v: np.convolve(v, k / k.sum(), "valid"), axis, x)
+    for img in (g, tilted, g[:1], g[:, :1]):
+        assert np.array_equal(raster.adaptive_ink(img), img <= np.rint(along(along(np.pad(img.astype(float), 15, mode="edge"), 1), 0)) - 10)
+
+
+def test_recognition_pieces_are_those_of_preprocessed_crops(spark, tmp_path):
+    rows = [(1, 1, 1, 1, "ab cd", (5.0, 10.0, 250.0, 12.0)), (2, 1, 1, 2, "abcd", (5.0, 60.0, 250.0, 90.0))]
+    spark.createDataFrame(rows, f"line_id bigint, page_no int, extraction_id bigint, line_no int, text string, box {BOX}").write.parquet(str(tmp_path / "text_lines.parquet"))
+    boxes = [(0.0, 0.0, 255.0, 30.0), (0.0, 50.0, 255.0, 108.0)]
+    spark.createDataFrame([(1, 1, k, "Text", 9, 0.9, b) for k, b in enumerate(boxes)], DETECTION).write.parquet(str(tmp_path / "detections.parquet"))
+    page = np.full((158, 263), 255, np.uint8)
+    page[10:22, 5:105] = page[10:22, 155:255] = page[60:150, 5:255] = 0
+    want = []
+    for k, (_, y, w, h) in enumerate(boxes):
+        work = raster.preprocess(page[int(y) : int(y + h), : int(w)])
+        for n, (top, bottom) in enumerate(raster.line_strips(work)):
+            line = raster.resize(work[top:bottom], 48, round(work.shape[1] * 48 / (bottom - top)))  # not upscaled before
+            for i, (x0, x1) in enumerate(raster.windows(line)):
+                x0, x1 = max(0, x0 - 4), min(line.shape[1], x1 + 5)
+                want.append((k, n, i, x0, x1, round(float(raster.dark(line)[:, x0:x1].mean()), 4), x1 - x0, 48))
+    got = sorted(tuple(x[c] for c in ("det_idx", "line_no", "piece_no", "x0", "x1", "ink", "img_w", "img_h")) for x in registry.recognition_pieces(spark, str(tmp_path)).collect())
+    assert got == want and {x[0] for x in got} == {0, 1}
+    assert all(x[5] < 0.5 for x in got if x[0] == 1)  # the middle of a block of ink is no darker than what is around it
+
+
 def test_read_by_width_and_errors(spark):
     seen = []
 
